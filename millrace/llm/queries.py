@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP3_SQL, op3_benchmark_decontamination
+from .mixing import OP2_SQL, op2_source_mixing
 from .simhash import op9_simhash_near_dedup
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": OP2_SQL,
+    "op3_benchmark_decontamination": OP3_SQL,
+}
