@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
+from .line_crf import op6_line_crf_quality
 from .mixing import OP2_SQL, op2_source_mixing
+from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op9_simhash_near_dedup
+from .syncmers import op4_closed_syncmers
 
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_closed_syncmers": op4_closed_syncmers,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_line_crf_quality": op6_line_crf_quality,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
+    "op5_secret_scan": OP5_SQL,
 }
