@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_chat_prefix_targets
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
 from .line_crf import op6_line_crf_quality
 from .mixing import OP2_SQL, op2_source_mixing
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op9_simhash_near_dedup
 from .syncmers import op4_closed_syncmers
+from .token_counts import op10_token_counts
+from .warc_zip import OP8_SQL, op8_warc_zip_packages
 
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
@@ -15,11 +18,16 @@ QUERIES = {
     "op4_closed_syncmers": op4_closed_syncmers,
     "op5_secret_scan": op5_secret_scan,
     "op6_line_crf_quality": op6_line_crf_quality,
+    "op7_chat_prefix_targets": op7_chat_prefix_targets,
+    "op8_warc_zip_packages": op8_warc_zip_packages,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op5_secret_scan": OP5_SQL,
+    "op7_chat_prefix_targets": OP7_SQL,
+    "op8_warc_zip_packages": OP8_SQL,
 }
