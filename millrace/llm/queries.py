@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_prefix_targets
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
+from .html_text import op1_html_layout_text
 from .line_crf import op6_line_crf_quality
 from .mixing import OP2_SQL, op2_source_mixing
 from .secrets import OP5_SQL, op5_secret_scan
@@ -13,6 +14,7 @@ from .token_counts import op10_token_counts
 from .warc_zip import OP8_SQL, op8_warc_zip_packages
 
 QUERIES = {
+    "op1_html_layout_text": op1_html_layout_text,
     "op2_source_mixing": op2_source_mixing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_closed_syncmers": op4_closed_syncmers,
