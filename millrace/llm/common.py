@@ -39,6 +39,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def with_columns_of(frame: DataFrame, like: DataFrame) -> DataFrame:
-    """``frame`` cut down to the columns of ``like``, in that order."""
-    return frame.select(*like.columns)
+def broadcast_if_small(df: DataFrame, row_bytes: int, most_bytes: int = 8 << 20) -> DataFrame:
+    """``df``, which has been cut, marked for broadcast if it was counted to be small; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
