@@ -144,9 +144,12 @@ def _slices() -> Column:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes words of, with ``taken`` and ``slices`` added; rows are found again by doc_id, source and size."""
+    """The documents that the mix takes words of, with ``mix_taken`` and ``mix_slices`` in place of any columns of those names.
+
+    Rows are found again by doc_id, source and size; repeated rows all get what one of them is taken for.
+    """
     taken = mix(docs).where("taken > 0").select("doc_id", "source", "size", "taken", "slices").dropDuplicates(["doc_id", "source", "size"])
-    d, t = docs.withColumn("_size", word_count()).alias("d"), taken.alias("t")
+    d, t = docs.drop("mix_taken", "mix_slices").withColumn("_size", word_count()).alias("d"), taken.alias("t")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("_size") == F.col("t.size"))
     return d.join(t, same).select("d.*", F.col("t.taken").alias("mix_taken"), F.col("t.slices").alias("mix_slices")).drop("_size")
 
