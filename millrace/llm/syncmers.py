@@ -106,8 +106,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     copy = F.when(F.col("wraps").isNotNull(), F.struct(F.col("range"), F.lit(True).alias("copy")))
     spread = both.select("doc_id", "text", "sketch", F.explode(F.filter(F.array(own, copy), lambda x: x.isNotNull())).alias("_to"))
     order = Window.partitionBy("_to.range").orderBy("_to.copy", F.col("doc_id").desc_nulls_last(), "text")
-    found = spread.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
-    return found.where(~F.col("_to.copy")).drop("_to")
+    found = spread.withColumn("_next", F.lead(F.struct("text", "sketch")).over(order)).where(~F.col("_to.copy"))
+    return found.select("doc_id", "text", "sketch", F.col("_next.text").alias("next_text"), F.col("_next.sketch").alias("next_sketch"))
 
 
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
