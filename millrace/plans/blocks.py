@@ -73,7 +73,7 @@ def chunk_count(spark, sf_dir):
 
 def catalogue_merge(spark, sf_dir):
     known = _locations(spark, sf_dir).select("file_no", "fragment", "server")
-    full = known.where("server = 1 and file_no % 3 = 0")
+    full = known.where("server = 1 and file_no % 5 <> 0")
     short = known.where("server = 2").withColumn("file_no", F.col("file_no") + 1000)
     return blocks.merged_catalogue(blocks.merged_catalogue(known, full, True), short, False)
 
@@ -166,7 +166,7 @@ ORACLE_SQL = {
     "last_heartbeat": f"{_BEATS} SELECT server, max(beat_ms) AS beat_ms FROM hb GROUP BY server",
     "dead_servers": f"{_BEATS} SELECT server, max(beat_ms) AS last_ms, (SELECT max(beat_ms) FROM hb) - max(beat_ms) AS silent_ms FROM hb WHERE event_type = 'error' GROUP BY server HAVING (SELECT max(beat_ms) FROM hb) - max(beat_ms) > 180000",
     "chunk_count": f"WITH {_CHUNK} SELECT doc_id AS file, max(chunk) AS last_chunk FROM c GROUP BY doc_id",
-    "catalogue_merge": f"""{_LOC} SELECT DISTINCT file_no, fragment, server FROM locations WHERE server <> 1 OR file_no % 3 = 0 UNION SELECT file_no + 1000, fragment, server FROM locations WHERE server = 2""",
+    "catalogue_merge": f"""{_LOC} SELECT DISTINCT file_no, fragment, server FROM locations WHERE server <> 1 OR file_no % 5 <> 0 UNION SELECT file_no + 1000, fragment, server FROM locations WHERE server = 2""",
     "read_failover": f"""{_LOC}, r AS (SELECT DISTINCT file_no, server, (server + file_no) % 3 <> 0 AS ok FROM locations WHERE server < 9), f AS (SELECT *, min(server) FILTER (ok) OVER (PARTITION BY file_no) AS first_ok FROM r)
       SELECT file_no, max(first_ok) AS source, count(*) FILTER (NOT ok AND (first_ok IS NULL OR server < first_ok)) AS skipped FROM f GROUP BY file_no""",
     "rereplication_plan": f"""{_LOC}, {_S160}, h AS (SELECT file_no, list_sort(list(DISTINCT server)) AS held FROM locations GROUP BY file_no HAVING bool_or(server = {LOST}))

@@ -8,7 +8,7 @@ from ..functions.keys import hash16, hex_id, is_hex_id, ring_distance, shared_di
 from ..operators import keyring, overlay, traffic
 from ..sources.bindings import bound, ctes
 
-DEGREE, ODD_DEGREE = 10, 3
+DEGREE, ODD_DEGREE = 8, 3
 MEASURES = ["sent_count", "sent_sum", "received_count", "received_sum"]
 
 
