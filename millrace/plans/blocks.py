@@ -78,6 +78,12 @@ def catalogue_merge(spark, sf_dir):
     return blocks.merged_catalogue(blocks.merged_catalogue(known, full, True), short, False)
 
 
+def alive_replicas(spark, sf_dir):
+    """Replicas on servers that aren't lost: a semi join with the registry."""
+    alive = blocks.used_space(_locations(spark, sf_dir)).where("server % 5 <> 2").select("server")
+    return _locations(spark, sf_dir).join(alive, "server", "left_semi").groupBy("file_no").agg(F.count_distinct("server").alias("replicas"))
+
+
 def read_failover(spark, sf_dir):
     replicas = _locations(spark, sf_dir).groupBy("file_no", "server").agg(F.min("fragment").alias("place"))
     return blocks.read_choice(replicas.where("server < 9").withColumn("place", F.col("server")), (F.col("server") + F.col("file_no")) % 3 != 0)
@@ -143,7 +149,7 @@ def synth_faults(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        block_chunks, block_slice_sha1, block_corruption, used_space, place_replicas, place_shards, last_heartbeat, dead_servers, chunk_count, catalogue_merge, read_failover, rereplication_plan,
+        block_chunks, block_slice_sha1, block_corruption, used_space, place_replicas, place_shards, last_heartbeat, dead_servers, chunk_count, catalogue_merge, alive_replicas, read_failover, rereplication_plan,
         fragment_health, fragment_plan, part_names, rs_roundtrip, pow_sha3, synth_trips, synth_weather, synth_events, synth_faults,
     )
 }
@@ -167,6 +173,7 @@ ORACLE_SQL = {
     "dead_servers": f"{_BEATS} SELECT server, max(beat_ms) AS last_ms, (SELECT max(beat_ms) FROM hb) - max(beat_ms) AS silent_ms FROM hb WHERE event_type = 'error' GROUP BY server HAVING (SELECT max(beat_ms) FROM hb) - max(beat_ms) > 180000",
     "chunk_count": f"WITH {_CHUNK} SELECT doc_id AS file, max(chunk) AS last_chunk FROM c GROUP BY doc_id",
     "catalogue_merge": f"""{_LOC} SELECT DISTINCT file_no, fragment, server FROM locations WHERE server <> 1 OR file_no % 5 <> 0 UNION SELECT file_no + 1000, fragment, server FROM locations WHERE server = 2""",
+    "alive_replicas": f"{_LOC} SELECT file_no, count(DISTINCT server) AS replicas FROM locations WHERE server % 5 <> 2 GROUP BY file_no",
     "read_failover": f"""{_LOC}, r AS (SELECT DISTINCT file_no, server, (server + file_no) % 3 <> 0 AS ok FROM locations WHERE server < 9), f AS (SELECT *, min(server) FILTER (ok) OVER (PARTITION BY file_no) AS first_ok FROM r)
       SELECT file_no, max(first_ok) AS source, count(*) FILTER (NOT ok AND (first_ok IS NULL OR server < first_ok)) AS skipped FROM f GROUP BY file_no""",
     "rereplication_plan": f"""{_LOC}, {_S160}, h AS (SELECT file_no, list_sort(list(DISTINCT server)) AS held FROM locations GROUP BY file_no HAVING bool_or(server = {LOST}))

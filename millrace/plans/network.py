@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash16, hex_id, is_hex_id, ring_distance, shared_digits
@@ -62,6 +63,15 @@ def ring_neighbours(spark, sf_dir):
     return traffic.ring(_nodes(spark, sf_dir))
 
 
+def random_peers(spark, sf_dir):
+    """For each node another one, drawn by seed: a step of 1 to n - 1 around the ring of ids."""
+    nodes = _nodes(spark, sf_dir)
+    n = nodes.count()
+    placed = nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("at"))
+    drawn = placed.select("node", F.pmod(F.col("at") + 1 + F.pmod(F.xxhash64("node", F.lit(11)), F.lit(max(1, n - 1))), F.lit(n)).alias("to"))
+    return drawn.join(placed.select(F.col("node").alias("peer"), F.col("at").alias("to")), "to").select("node", "peer").where("node <> peer")
+
+
 def overlay_edges(spark, sf_dir):
     return _edges(spark, sf_dir)
 
@@ -126,7 +136,7 @@ def dht_next_hop(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        traffic_rollup, load_share, conservation_check, recorded_vs_observed, balance_plan, ring_neighbours, overlay_edges, overlay_edges_odd, overlay_degree, overlay_weights, overlay_connected,
+        traffic_rollup, load_share, conservation_check, recorded_vs_observed, balance_plan, ring_neighbours, random_peers, overlay_edges, overlay_edges_odd, overlay_degree, overlay_weights, overlay_connected,
         overlay_bfs, mst, mst_levels, relay_counts, dht_hash16, dht_owner, dht_leaf_set, dht_routing_table, dht_next_hop,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import study
@@ -84,6 +85,13 @@ def study_match_phrase(spark, sf_dir):
     return study.match_phrase(t["questions"].select("id", "question_text"), PHRASES)
 
 
+def study_random_order(spark, sf_dir):
+    """Each quiz's questions in an order drawn by seed, by hash of the id: the same on every run."""
+    drawn = F.xxhash64("id", F.lit(17))
+    place = F.row_number().over(Window.partitionBy("quiz_id").orderBy(drawn, "id"))
+    return _t(spark, sf_dir)["questions"].select("id", "quiz_id", place.alias("place"))
+
+
 def study_integrity(spark, sf_dir):
     """Keys that repeat, and rows whose parent is missing, by table."""
     t = _t(spark, sf_dir)
@@ -107,7 +115,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         study_quizzes, study_stats, study_stats_one, study_session_results, study_answers, study_complete_session, study_delete_cascade, study_insert_returning,
-        study_update_explanations, study_match_prefix, study_match_phrase, study_integrity, study_titles,
+        study_update_explanations, study_match_prefix, study_match_phrase, study_random_order, study_integrity, study_titles,
     )
 }
 

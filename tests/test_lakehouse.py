@@ -114,3 +114,22 @@ def test_tables_are_created_empty(spark):
     assert spark.table("silver.trips_cleaned").isEmpty() and spark.catalog.tableExists("silver.trips_cleaned")
     for t in made:
         spark.sql(f"DROP TABLE {t}")
+
+
+def test_stored_tables(spark, tmp_path):
+    from millrace.sources import tables
+
+    path = str(tmp_path / "q")
+    rows = silver.trips(bronze(spark, 30))
+    tables.write_batch(rows, path, 1)
+    tables.write_batch(rows, path, 1)
+    tables.write_batch(rows.withColumn("failure_reason", F.lit("x")), path, 2)
+    found = tables.read_evolving(spark, path)
+    assert found.count() == 60 and found.where("failure_reason is null").count() == 30
+    tables.write_partitioned(rows, str(tmp_path / "p"), "silver.trips_cleaned")
+    assert spark.read.parquet(str(tmp_path / "p")).select("timestamp_day").distinct().count() == 1
+    tables.write_records(generators.trips(spark, 20, seed=1).drop("id"), F.col("pickupLocationId"), "trips.yellow", str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 20
+    with pytest.raises(ValueError):
+        tables.require_tables(spark, ["silver.nowhere"])
+    assert tables.first_records(rows).count() == 10
