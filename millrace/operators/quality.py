@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,12 @@ class Constraint:
     def name(self) -> str:
         return f"{self.kind}({self.column}" + (")" if self.bound is None else f", {self.bound:g})")
 
-    def metric(self) -> Column:
+    def aggregate(self) -> Column:
         c = F.col(self.column)
-        if self.kind == "complete":
-            return F.count_if(c.isNull()).cast("double")
-        return (F.min(c) if self.kind == "min" else F.max(c)).cast("double")
+        return {"complete": F.count_if(c.isNull()), "min": F.min(c), "max": F.max(c)}[self.kind]
+
+    def metric(self) -> Column:
+        return self.aggregate().cast("double")
 
     def holds(self, metric: Column) -> Column:
         test = {"complete": metric == 0, "min": metric >= F.lit(self.bound), "max": metric <= F.lit(self.bound)}[self.kind]
@@ -93,12 +94,15 @@ def gate(df: DataFrame, constraints: list[Constraint], mode: str = "batch") -> t
 
     In mode "batch" one bad row sends its whole batch away; in mode "row" only
     rows that break a constraint themselves go.  Quarantined rows get the reason.
+    A batch is judged by windows over it, so rows are read and shuffled once.
     """
     if mode == "row":
         judged = df.withColumn("failure_reason", row_failures(df, constraints))
     else:
-        found = verdicts(df, constraints).select("batch_id", F.col("failures").alias("failure_reason"))
-        judged = df.join(found, "batch_id")
+        batch = Window.partitionBy("batch_id")
+        failed = F.array_compact(F.array(*(F.when(~c.holds(F.col(f"_m{i}")), c.name) for i, c in enumerate(constraints))))
+        judged = df.withColumns({f"_m{i}": c.aggregate().over(batch).cast("double") for i, c in enumerate(constraints)})
+        judged = judged.withColumn("failure_reason", F.when(F.size(failed) > 0, F.array_join(failed, "; "))).drop(*(f"_m{i}" for i in range(len(constraints))))
     return judged.where("failure_reason is null").drop("failure_reason"), judged.where("failure_reason is not null")
 
 
