@@ -119,7 +119,7 @@ def slow_anchors(text):
         v = xxhash.xxh64_intdigest(w.encode(), 42)
         return v - (1 << 64) if v >> 63 else v
 
-    hs = [0] * (K - 1) + [h(w) for w in re.split(r"[\x20\x09-\x0D]+", text)] + [0] * (K - 1)
+    hs = [0] * (K - 1) + [h(w) for w in re.findall(r"[^\x20\x09-\x0D]{1,8}", text)] + [0] * (K - 1)
     p = [_murmur((a, b)) + ((1 << 32) if 0 in (a, b) else 0) for a, b in zip(hs, hs[1:], strict=False)]
     return [(i - K + 1, _murmur((p[i], p[i + 2]))) for i in range(len(p) - 2) if min(p[i], p[i + 2]) <= p[i + 1]]
 
