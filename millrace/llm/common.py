@@ -42,3 +42,11 @@ def text_of(column: str = "text") -> Column:
 def broadcast_if_small(df: DataFrame, row_bytes: int, most_bytes: int = 8 << 20) -> DataFrame:
     """``df``, which has been cut, marked for broadcast if it was counted to be small; else Spark joins it by shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, table, text_of, with_row_key
+from .common import broadcast_if_small, cut, fresh, table, text_of, with_row_key
 from .textbytes import ALNUM, LOWER, Words, bytes_of, gram_hashes, slices, word_hashes, words_of
 
 WINDOW, GRAM = 10, 5
@@ -178,10 +178,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item hits.  Rows are told apart by doc_id and text."""
-    keyed = docs.withColumn("_text", F.xxhash64(text_of()))
-    found = contamination(keyed, benchmark, ("doc_id", "_text")).where("contaminated").select("doc_id", "_text").distinct()
+    mark = fresh("_text", docs)
+    keyed = docs.withColumn(mark, F.xxhash64(text_of()))
+    found = contamination(keyed, benchmark, ("doc_id", mark)).where("contaminated").select("doc_id", mark).distinct()
     found = broadcast_if_small(cut(found), 32)
-    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_text"] == found["_text"])
+    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed[mark] == found[mark])
     return keyed.join(found, same, "left_anti").select(*docs.columns)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, fresh, table, text_of
 from .textbytes import LOWER, NOT_SPACE, bytes_of, mix, slices, word_hashes, words_of
 
 TRAIN_DOCS, TRAIN_LINES = 4000, 200_000  # bounds of the labelled sample that the fit reads
@@ -213,7 +213,8 @@ def scored(docs: DataFrame, model: Crf, text: str = "text", out: str = "quality_
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns as they were."""
-    return scored(docs, train(docs, labels), out="_quality_score").where(F.col("_quality_score") >= KEEP_AT).select(*docs.columns)
+    score = fresh("_quality_score", docs)
+    return scored(docs, train(docs, labels), out=score).where(F.col(score) >= KEEP_AT).select(*docs.columns)
 
 
 def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

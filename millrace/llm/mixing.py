@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, fresh, table, text_of
 
 WEIGHTS, SHARE, REPEAT = (5, 2, 1), 1.5, 2
 BLOCKS, LEAST_BLOCKS = 65536, 100
@@ -78,7 +78,7 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS,
     )
 
     def seats(house: Column) -> Column:
-        return F.greatest(F.lit(0), F.ceil(F.col("target") * house / F.col("total") - 0.5)).cast("long")
+        return F.greatest(F.lit(0), F.ceil(F.try_divide(F.col("target") * house, F.col("total")) - 0.5)).cast("long")
 
     few, many = F.greatest(F.lit(0), F.col("house") - F.col("sources") / 2 - 1), F.col("house") + F.col("sources") / 2 + 1
     based = sized.withColumn("base", F.coalesce(seats(few), F.lit(0))).withColumn("most", F.coalesce(seats(many), F.lit(0)))
@@ -149,9 +149,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows are found again by doc_id, source and size; repeated rows all get what one of them is taken for.
     """
     taken = mix(docs).where("taken > 0").select("doc_id", "source", "size", "taken", "slices").dropDuplicates(["doc_id", "source", "size"])
-    d, t = docs.drop("mix_taken", "mix_slices").withColumn("_size", word_count()).alias("d"), taken.alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("_size") == F.col("t.size"))
-    return d.join(t, same).select("d.*", F.col("t.taken").alias("mix_taken"), F.col("t.slices").alias("mix_slices")).drop("_size")
+    docs = docs.drop("mix_taken", "mix_slices")
+    size = fresh("_size", docs)
+    d, t = docs.withColumn(size, word_count()).alias("d"), taken.alias("t")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{size}") == F.col("t.size"))
+    return d.join(t, same).select("d.*", F.col("t.taken").alias("mix_taken"), F.col("t.slices").alias("mix_slices")).drop(size)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

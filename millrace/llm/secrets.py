@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, table, text_of, with_row_key
+from .common import broadcast_if_small, cut, fresh, table, text_of, with_row_key
 
 # fixed values: the base patterns, the least length of what each must match, the group that is the value
 KINDS = {
@@ -132,14 +132,16 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars`` counted anew; no row is dropped, texts without spans are untouched."""
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    found = scan(keyed, ["doc_id", "_h"]).where(F.size("spans") > 0).select("doc_id", "_h", "spans").dropDuplicates(["doc_id", "_h"])
+    mark, spans = fresh("_h", docs), fresh("_spans", docs)
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
+    found = scan(keyed, ["doc_id", mark]).where(F.size("spans") > 0).select("doc_id", mark, F.col("spans").alias(spans)).dropDuplicates(["doc_id", mark])
     d, f = keyed.alias("d"), broadcast_if_small(cut(found), 256).alias("f")
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._h") == F.col("f._h"))
-    out = d.join(f, same, "left").select("d.*", F.col("f.spans").alias("_spans")).drop("_h")
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"))))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{mark}") == F.col(f"f.{mark}"))
+    out = d.join(f, same, "left").select("d.*", f"f.{spans}").drop(mark)
+    clean = F.col(spans).isNull()
+    out = out.withColumn("text", F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col(spans))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ LEAST_REVISIT = 0  # payloads of at least so many bytes are written once and the
 PACKAGE_BYTES = 64 << 20
 SALTS = 8
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+KEPT_IN_KEYS = ":/?#[]@!$&'()*+,;=%~"
 DATE = "2024-01-01T00:00:00Z"
 
 # fixed values: signatures and sizes of the ZIP format
@@ -143,7 +145,7 @@ class Package:
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
         packed = packer.compress(record) + packer.flush()
         self.member.write(packed)
-        self.lines.append(f"{key} {self.at} {len(packed)}\n")
+        self.lines.append(f"{quote(key, safe=KEPT_IN_KEYS)} {self.at} {len(packed)}\n")
         self.at += len(packed)
 
     def close(self) -> None:
