@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 SCORE = "decimal(5,2)"
 
+# fixed values: marks of quiz files, what answers look like, topics by keyword (in names or questions; in names only), and how code begins
+SPLIT = r"Results for question \d+\."
+POINTS = r"^\d+\s*/\s*\d+\s*point"
+ANSWER, NOT_CHOSEN = "Correct answer:", ", Not Selected"
+TRUTHS, CHOICES = ("True", "False"), ("High", "Low")
+TOPICS = (("thread", "Threads & Concurrency"), ("synchron", "Synchronization"))
+NAME_TOPICS = (("lock", "Synchronization"), ("p2p", "Distributed Systems"), ("pastry", "Distributed Systems"), ("chord", "Distributed Systems"))
+CODE = r"(^|\n)([ \t]{4,}|(public|private|protected|class|interface|void|int|String|byte\[\])).*"
+
 
 def quizzes_with_counts(quizzes: DataFrame, questions: DataFrame) -> DataFrame:
     """Every quiz with its number of questions, zero too."""
@@ -148,9 +157,6 @@ def _first(met: DataFrame, keys: list[str]) -> DataFrame:
 
 # Quiz files
 
-SPLIT = r"Results for question \d+\."
-ANSWER = "Correct answer:"
-
 
 def parse(texts: DataFrame, strict: bool = False) -> DataFrame:
     """``texts(file, text)`` to ``(file, block, question, correct_answer, question_type)``.
@@ -164,24 +170,23 @@ def parse(texts: DataFrame, strict: bool = False) -> DataFrame:
     """
     blocks = texts.select("file", F.posexplode(F.split("text", SPLIT)).alias("block", "body"))
     lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
-    points = r"^\d+\s*/\s*\d+\s*point"
     listed = blocks.withColumn("ls", lines)
     kept = F.filter(
         F.transform("ls", lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get("ls", i + 1), F.lit("")).alias("next"), F.when(i > 0, F.get("ls", i - 1)).otherwise("").alias("prior"))),
-        lambda x: ~((x["line"].rlike(r"^\d+$") & x["next"].rlike(points)) | (x["line"].rlike(points) & x["prior"].rlike(r"^\d+$"))),
+        lambda x: ~((x["line"].rlike(r"^\d+$") & x["next"].rlike(POINTS)) | (x["line"].rlike(POINTS) & x["prior"].rlike(r"^\d+$"))),
     )
     listed = listed.withColumn("ls", F.transform(kept, lambda x: x["line"]))
-    marks = F.transform("ls", lambda x: x.isin("True", "False") | x.startswith(ANSWER))
+    marks = F.transform("ls", lambda x: x.isin(*TRUTHS) | x.startswith(ANSWER))
     listed = listed.withColumn("ends", F.array_position(marks, True)).where("ends > 1")
     told = F.array_position(F.transform("ls", lambda x: x.startswith(ANSWER)), True)
-    options = F.filter(F.slice("ls", F.col("told") + 1, F.size("ls")), lambda x: ~F.contains(x, F.lit(", Not Selected")))
+    options = F.filter(F.slice("ls", F.col("told") + 1, F.size("ls")), lambda x: ~F.contains(x, F.lit(NOT_CHOSEN)))
     found = F.when(F.col("told") > 0, F.get(options, 0))
     ended = F.get("ls", (F.col("ends") - 1).cast("int"))
-    answer = F.coalesce(found, F.when(ended.isin("True", "False"), ended))
+    answer = F.coalesce(found, F.when(ended.isin(*TRUTHS), ended))
     listed = listed.withColumn("told", told.cast("int")).withColumn("correct_answer", answer).where("correct_answer is not null")
     if strict:
         listed = listed.where(~F.exists("ls", lambda x: F.lower(x).startswith("incorrect answer")))
-    kind = F.when(F.col("correct_answer").rlike(r"^\d+$"), "numeric").when(F.col("correct_answer").isin("High", "Low"), "choice").otherwise("boolean")
+    kind = F.when(F.col("correct_answer").rlike(r"^\d+$"), "numeric").when(F.col("correct_answer").isin(*CHOICES), "choice").otherwise("boolean")
     question = F.array_join(F.slice("ls", F.lit(1), F.col("ends").cast("int") - 1), "\n")
     return listed.select("file", "block", question.alias("question"), "correct_answer", kind.alias("question_type"))
 
@@ -198,19 +203,18 @@ def topic(name: Column, first_questions: Column, wide: bool = True) -> Column:
     def told(word: str) -> Column:
         return F.contains(name, F.lit(word)) | F.exists(F.slice(first_questions, 1, 3), lambda q: F.contains(F.lower(q), F.lit(word)))
 
-    out = F.when(told("thread"), "Threads & Concurrency").when(told("synchron"), "Synchronization")
-    if wide:
-        out = out.when(F.contains(name, F.lit("lock")), "Synchronization").when(name.rlike("p2p|pastry|chord"), "Distributed Systems")
-    return out.otherwise("General")
+    out = F.lit("General")
+    for word, label in reversed(NAME_TOPICS if wide else ()):
+        out = F.when(F.contains(name, F.lit(word)), label).otherwise(out)
+    for word, label in reversed(TOPICS):
+        out = F.when(told(word), label).otherwise(out)
+    return out
 
 
 def answer_is_right(given: Column, correct: Column) -> Column:
     return F.trim(given) == F.trim(correct)
 
 
-CODE = r"(^|\n)([ \t]{4,}|(public|private|protected|class|interface|void|int|String|byte\[\])).*"
-
-
 def looks_like_code(text: Column) -> Column:
     return (F.size(F.split(text, "\n")) > 3) & text.rlike(CODE)
 
