@@ -12,8 +12,8 @@ from millrace.llm.common import cut, table
 from millrace.llm.decontaminate import clean_documents
 from millrace.llm.line_crf import keep_good
 from millrace.llm.mixing import mixed_documents
+from millrace.llm.near_copies import keep_least
 from millrace.llm.secrets import redact
-from millrace.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates."""
-    return keep_one(docs)
+    """One document of each group of near copies: 5-word shingles, a similarity of 0.8 or more."""
+    return keep_least(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
