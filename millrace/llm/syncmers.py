@@ -1,13 +1,14 @@
 """Document fingerprints from closed syncmers of words.
 
-A text is padded with marks on both sides and read as words of at most eight
-characters.  Of every run of
-K words, those are kept whose smallest run of S words (by hash) lies at either
-edge.  Whether a run is kept depends on its own words alone, so an edit moves
-or removes only anchors that overlap it.  The fingerprint is the smallest
-distinct hashes of the kept runs; the likeness of two fingerprints is the share
-of their joint smallest hashes that both have, an estimate of the Jaccard
-similarity of their anchors.
+A text is padded with marks on both sides and read as words of at most
+eight characters.  Of
+every run of K words, those are kept whose smallest run of S words (by hash)
+lies at either edge.  Whether a run is kept depends on its own words alone, so
+an edit moves or removes only anchors that overlap it.  The anchors of a text
+are the hashes of all kept runs with their places; the fingerprint is a digest
+of that list.  Likeness is the Jaccard similarity of all distinct hashes, and
+matches pair the places of equal hashes.  ``sketch`` and ``likeness`` estimate
+the same from the smallest distinct hashes, where a short column is wanted.
 
 DataFrame expressions only.
 """
@@ -63,9 +64,34 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull() | F.col(b).isNull(), None).otherwise(both / F.size(joint)).cast("double")
 
 
-def written(sketch_column: str) -> Column:
-    """A sketch as one string, 8 hex digits for each hash."""
-    return F.array_join(F.transform(sketch_column, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def digest(column: str) -> Column:
+    """SHA-256 of a whole list of anchors with their places."""
+    return F.sha2(F.to_json(column), 256)
+
+
+def similarity(a: str, b: str) -> Column:
+    """Jaccard similarity of all distinct hashes of two lists of anchors with places."""
+    both = F.size(F.array_intersect(f"{a}.hash", f"{b}.hash"))
+    return (both / F.size(F.array_union(f"{a}.hash", f"{b}.hash"))).cast("double")
+
+
+def matches(a: str, b: str) -> Column:
+    """Places ``(at, other)`` of anchors that ``a`` and ``b`` share, by place in ``a``: of equal hashes the first goes with the first, the second with the second, and so on."""
+
+    def ranked(column: str, side: int) -> str:
+        coded = f"sort_array(transform({column}, e -> shiftleft(e.hash, 31) + e.at + {K}))"
+        firsts = "filter(sequence(0, size(s) - 1), i -> i = 0 OR shiftright(s[i], 31) <> shiftright(s[i - 1], 31))"
+        ranks = "flatten(transform(f, (at, j) -> sequence(0, coalesce(get(f, j + 1), size(s)) - at - 1)))"
+        one = f"named_struct('hash', shiftright(v, 31), 'rank', r, 'side', {side}, 'at', cast((v & 2147483647L) - {K} as int))"
+        return f"transform(array({coded}), s -> transform(array({firsts}), f -> zip_with(s, {ranks}, (v, r) -> {one}))[0])[0]"
+
+    pair = "IF(u[i].hash = u[i + 1].hash AND u[i].rank = u[i + 1].rank, named_struct('at', u[i].at, 'other', u[i + 1].at), NULL)"
+    return F.expr(
+        f"""
+        transform(array(sort_array(concat({ranked(a, 0)}, {ranked(b, 1)}))), u ->
+          sort_array(filter(transform(sequence(0, size(u) - 2), i -> {pair}), x -> x IS NOT NULL)))[0]
+        """
+    )
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,7 +111,7 @@ def id_range(cuts: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, sketch)`` with ``next_text`` and ``next_sketch``: of the next row by descending doc_id, after the last the first.
+    """``docs(doc_id, text)`` with ``next_text`` (and ``next_sketch`` if there is a ``sketch``): of the next row by descending doc_id, after the last the first.
 
     Null ids come last; rows of the same id follow by text.  Ids are cut into
     ranges by approximate quantiles, one sort for each range, so that texts are
@@ -105,26 +131,38 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = docs.join(F.broadcast(sent), docs["doc_id"].eqNullSafe(sent["head"]), "left")
     own = F.struct(place.alias("range"), F.lit(False).alias("copy"))
     copy = F.when(F.col("wraps").isNotNull(), F.struct(F.col("range"), F.lit(True).alias("copy")))
-    spread = both.select("doc_id", "text", "sketch", F.explode(F.filter(F.array(own, copy), lambda x: x.isNotNull())).alias("_to"))
+    carried = ["text", *(c for c in docs.columns if c == "sketch")]
+    spread = both.select("doc_id", *carried, F.explode(F.filter(F.array(own, copy), lambda x: x.isNotNull())).alias("_to"))
     order = Window.partitionBy("_to.range").orderBy("_to.copy", F.col("doc_id").desc_nulls_last(), "text")
-    found = spread.withColumn("_next", F.lead(F.struct("text", "sketch")).over(order)).where(~F.col("_to.copy"))
-    return found.select("doc_id", "text", "sketch", F.col("_next.text").alias("next_text"), F.col("_next.sketch").alias("next_sketch"))
+    found = spread.withColumn("_next", F.lead(F.struct(*carried)).over(order)).where(~F.col("_to.copy"))
+    return found.select("doc_id", *carried, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
 
 
-def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    found = with_next(fingerprints(docs))
+def compared(docs: DataFrame) -> DataFrame:
+    """A row for each of ``docs(doc_id, text)``: all anchors with their places, digests, and how they compare with those of the edited text and of the next one.
+
+    Anchors are made after the one shuffle of texts, which so carries no lists.
+    """
+    found = with_next(docs)
     n = F.char_length("text")
     moved = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - moved), F.substring(F.col("next_text"), F.lit(1), moved))
     found = found.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    found = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", sketch("edited").alias("edited_sketch"), "next_sketch")
+    lists = {"anchors": "text", "edited_anchors": "edited", "next_anchors": "next_text"}
+    found = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(anchors(c, with_position=True).alias(k) for k, c in lists.items()))
     return found.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written("sketch").alias("fingerprint"),
-        written("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        digest("anchors").alias("fingerprint"),
+        digest("edited_anchors").alias("edited_fingerprint"),
+        similarity("anchors", "edited_anchors").alias("near_edited"),
+        similarity("anchors", "next_anchors").alias("near_next"),
+        "anchors",
+        matches("anchors", "edited_anchors").alias("matches_edited"),
+        matches("anchors", "next_anchors").alias("matches_next"),
     )
+
+
+def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text")))
