@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers of words.
 
-A text is padded with marks on both sides and read as words of at most
-eight characters.  Of
+A text is padded with marks on both sides and read as words; an unbroken run of
+more than eight characters is read as all its windows of eight characters.  Of
 every run of K words, those are kept whose smallest run of S words (by hash)
 lies at either edge.  Whether a run is kept depends on its own words alone, so
 an edit moves or removes only anchors that overlap it.  The anchors of a text
@@ -24,14 +24,15 @@ from .common import table, text_of
 
 K, S = 4, 2
 SKETCH = 128
-WORD = r"[^\x20\x09-\x0D]{1,8}"  # longer runs are read in pieces of eight, so that unbroken texts have anchors too
+_IN, _SHORT = r"[^\x20\x09-\x0D]", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,8}+(?![^\x20\x09-\x0D])"
+WORD = rf"(?=({_SHORT}|{_IN}{{8}}))(?:{_SHORT}|{_IN})"  # group 1: a run of at most eight characters, or each window of eight of a longer one
 ROWS_IN_BUCKET, MOST_BUCKETS = 1000, 16384
 
 
 def _word_hashes(text: str) -> str:
     """Hashes of the padded words.  A mark's hash is never the smaller one of a pair: marks sort last."""
     return f"""
-      concat(array_repeat(0L, {K - 1}), transform(regexp_extract_all({text}, r'{WORD}', 0), w -> xxhash64(w)), array_repeat(0L, {K - 1}))
+      concat(array_repeat(0L, {K - 1}), transform(regexp_extract_all({text}, r'{WORD}', 1), w -> xxhash64(w)), array_repeat(0L, {K - 1}))
     """
 
 

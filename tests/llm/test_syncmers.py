@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from millrace.llm.syncmers import SKETCH, compared
+from millrace.llm.syncmers import SKETCH, anchors, compared, similarity
 
 
 def texts(spark, *rows):
@@ -32,3 +32,11 @@ def test_long_texts_differ_outside_the_smallest_hashes(spark):
         assert [(m["at"], m["other"]) for m in rows[a]["matches_next"]] == want
     moved = Counter(m["other"] - m["at"] for m in rows[1]["matches_next"]).most_common(1)[0]
     assert moved[0] == 300 - 1000 and moved[1] > 25
+
+
+@pytest.mark.parametrize("front", ["x", "長い"])
+def test_unbroken_runs_stay_alike_after_a_character_in_front(spark, front):
+    rng = random.Random(2)
+    run = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1500)) + "😀" + "".join(rng.choice("abcdef0123") for _ in range(500))
+    pair = spark.createDataFrame([(run, front + run)], "a string, b string").select(anchors("a", True).alias("a"), anchors("b", True).alias("b"))
+    assert pair.select(similarity("a", "b")).first()[0] > 0.98
