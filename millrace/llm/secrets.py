@@ -27,6 +27,15 @@ KINDS = {
 # a run that holds fewer characters than its kind asks for can't match any other way, so the length may go into the pattern
 PATTERNS = {"assign": KINDS["assign"][0], "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 MIXED = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9+/_=.-])"
+_ALL_THREE = "(?={0}*[0-9])(?={0}*[a-z])(?={0}*[A-Z])"
+# for masking: bounded by characters outside the token's own alphabet only, so '=', '.', '/' and '+' beside it don't hide it
+WIDE = "|".join(
+    (
+        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",  # JWT
+        r"(?<![A-Za-z0-9+/])" + _ALL_THREE.format("[A-Za-z0-9+/]") + r"(?=[A-Za-z0-9+/]*[A-Za-z0-9]{16})[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/_-])",  # base64
+        r"(?<![A-Za-z0-9_-])" + _ALL_THREE.format("[A-Za-z0-9_-]") + r"[A-Za-z0-9_-]{24,}",
+    )
+)
 SALTS = 8
 LIVE_OWNERS = 1
 MASK = "[SECRET]"
@@ -57,13 +66,13 @@ def _spans(text: str, kind: int, pattern: str, group: int = 0, least: int = 0) -
     )
 
 
-def candidates(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` with ``base`` and ``mixed`` spans in place of the text; mixed ones that touch a base span are left out."""
+def candidates(docs: DataFrame, keys: list[str], text: str = "text", wide: bool = False) -> DataFrame:
+    """``keys`` with ``base`` and ``mixed`` spans in place of the text; mixed ones that touch a base span are left out, unless they are ``wide``."""
     found = docs.select(*keys, F.col(text).alias("_t"))
     names = list(KINDS)
     kinds = [_spans("_t", i, PATTERNS[k], KINDS[k][2], KINDS[k][1]) for i, k in enumerate(names)]
-    found = found.select(*keys, *(c.alias(k) for c, k in zip(kinds, names, strict=True)), _spans("_t", len(names), MIXED).alias("mixed"))
-    apart = F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    found = found.select(*keys, *(c.alias(k) for c, k in zip(kinds, names, strict=True)), _spans("_t", len(names), WIDE if wide else MIXED).alias("mixed"))
+    apart = F.col("mixed") if wide else F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return found.withColumn("base", F.array_sort(F.concat(*names))).withColumn("mixed", apart).select(*keys, *names, "base", "mixed")
 
 
@@ -82,18 +91,19 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """A row for each row of ``docs``: ``keys``, n_assign, n_access, n_hex, base, spans, n_live, n_copied.
 
     ``base`` and ``spans`` are arrays of (start, kind, end, value), by start and
     then kind.  ``n_live`` counts the document's base spans whose value one
     owner holds, ``n_copied`` the others.  A null text is empty.  Values that
     many rows share are joined to their counts in ``SALTS`` parts, so that no
-    task gets all rows of one value.
+    task gets all rows of one value.  ``wide`` takes mixed tokens by ``WIDE``, as
+    masking does; without it they are those of ``OP5_SQL``.
     """
     rows = with_row_key(docs.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), text_of(text).alias("_text")))
     kept = [f"_k{i}" for i in range(len(keys))]
-    found = cut(candidates(rows, ["_row", *kept, "_owner", "_repo"], "_text"))
+    found = cut(candidates(rows, ["_row", *kept, "_owner", "_repo"], "_text", wide))
     each = found.select("_row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode(F.concat("base", "mixed")).alias("span"))
     each = each.withColumn("hash", F.sha2(F.col("span.value"), 256))
     counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -134,7 +144,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars`` counted anew; no row is dropped, texts without spans are untouched."""
     mark, spans = fresh("_h", docs), fresh("_spans", docs)
     keyed = docs.withColumn(mark, F.xxhash64("text"))
-    found = scan(keyed, ["doc_id", mark]).where(F.size("spans") > 0).select("doc_id", mark, F.col("spans").alias(spans)).dropDuplicates(["doc_id", mark])
+    found = scan(keyed, ["doc_id", mark], wide=True).where(F.size("spans") > 0).select("doc_id", mark, F.col("spans").alias(spans)).dropDuplicates(["doc_id", mark])
     d, f = keyed.alias("d"), broadcast_if_small(cut(found), 256).alias("f")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{mark}") == F.col(f"f.{mark}"))
     out = d.join(f, same, "left").select("d.*", f"f.{spans}").drop(mark)
