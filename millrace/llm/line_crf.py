@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, table, text_of
 from .textbytes import LOWER, NOT_SPACE, bytes_of, mix, slices, word_hashes, words_of
 
 TRAIN_DOCS, TRAIN_LINES = 4000, 200_000  # bounds of the labelled sample that the fit reads
+PIECES = 8  # runs that a text with more lines than its share gives
 KEEP_AT = 0.3
 STEPS, RATE, RIDGE = 120, 0.08, 1e-3
 
@@ -159,28 +160,51 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def line_share(counts: np.ndarray, most: int) -> int:
+    """The largest number of lines for each document, one at least, at which all of them together have at most ``most``."""
+    low, high = 1, max(1, int(counts.max(initial=1)))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(counts, middle).sum() <= most else (low, middle - 1)
+    return low
+
+
+def pieces(n: int, share: int) -> list[tuple[int, int]]:
+    """Runs of lines of a text of ``n`` lines: all of them, or up to ``PIECES`` runs of ``share`` lines in all, spread over the whole text."""
+    if n <= share:
+        return [(0, n)]
+    runs = min(PIECES, share)
+    sizes = [share // runs + (i < share % runs) for i in range(runs)]
+    starts = [sum(sizes[:i]) + i * (n - share) // max(1, runs - 1) for i in range(runs)]
+    return [(a, a + size) for a, size in zip(starts, sizes, strict=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Crf:
-    """Fit on labelled documents that aren't held out: the first ``most_docs`` by hash of their id, as far as ``most_lines`` lines go.
+    """Fit on labelled documents that aren't held out: the first ``most_docs`` by hash of their id.
 
-    Of labels that repeat for an id the lowest counts; null labels and ids are left out.
+    If they have more than ``most_lines`` lines, each gives at most the same
+    number of them, spread over its whole text, so a long text pushes no other
+    out.  Of labels that repeat for an id the lowest counts; null labels and
+    ids are left out.
     """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = cut(known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most_docs))
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most most_docs rows
+    place = F.md5(F.col("doc_id").cast("string")).alias("place")
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select(place, "quality", "text")  # at most most_docs ids
+    breaks = F.char_length("text") - F.char_length(F.regexp_replace("text", "\n", ""))
+    share = line_share(np.array([r[0] for r in texts.select(breaks + 1).collect()], np.int64), most_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x, _, first = line_features(*bytes_of(part.column("text")))
-                blobs = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("quality"), pa.array(np.diff(first)), pa.array(blobs, pa.binary())], ["doc_id", "quality", "n_lines", "x"]
-                )
-
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, quality {dict(labels.dtypes)['quality']}, n_lines long, x binary"
-    lines = F.sum("n_lines").over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "x").rowsBetween(Window.unboundedPreceding, 0))
-    sample = texts.mapInArrow(run, schema).withColumn("_lines", lines).where(F.col("_lines") <= most_lines)
-    rows = sample.select("quality", "n_lines", "x").collect()
+                at = [(i, a + begin, a + end) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) for begin, end in pieces(int(b - a), share)]
+                of = pa.array([i for i, _, _ in at], pa.int64())
+                blobs = pa.array([x[a:b].tobytes() for _, a, b in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("place").take(of), part.column("quality").take(of), pa.array([int(b - a) for _, a, b in at], pa.int64()), blobs], ["place", "quality", "n_lines", "x"])
+
+    found = texts.mapInArrow(run, f"place string, quality {dict(labels.dtypes)['quality']}, n_lines long, x binary")
+    rows = sorted(found.collect(), key=lambda r: (r["place"], r["x"]))
     x = np.concatenate([np.zeros((0, N_FEATURES), np.float32), *(np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows)])
     first = np.concatenate(([0], np.cumsum([r["n_lines"] for r in rows]))).astype(np.int64)
     return fit(x, first, np.array([r["quality"] for r in rows]))
