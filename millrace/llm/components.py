@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -42,3 +44,31 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             return edges
     raise RuntimeError("components did not settle")
+
+
+def classes_under_hubs(members: DataFrame, hub_links: Callable[[DataFrame], DataFrame], other_links: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``members(hub, node)``, each once, hubs being members of their own, to ``(u, v)`` as ``components`` gives them.
+
+    Each member is first compared with its hub, which is linear in their number:
+    ``hub_links`` takes pairs ``(u, v)``, u above v, and returns those that link.
+    Where members are still in several components, those outside the largest
+    one of a hub are compared with all members of other components, so no link
+    is lost, while those of the largest one, however many, don't meet one
+    another.  ``other_links`` takes both sides, ``(hub, node, root, main)`` each,
+    and returns their links; ``apart`` is the condition on ``a`` and ``b``.
+    """
+    pair = [F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")]
+    classes = components(hub_links(members.where("node <> hub").select(*pair).distinct()))
+    rooted = members.join(classes.withColumnRenamed("u", "node").withColumnRenamed("v", "root"), "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("hub", "root").agg(F.count("*").alias("n"))
+    still_open = sizes.groupBy("hub").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("hub", "main")
+    left = cut(rooted.join(still_open, "hub"))
+    if left.isEmpty():
+        return classes
+    more = cut(other_links(left.where("root <> main"), left).distinct())
+    return classes if more.isEmpty() else components(classes.unionByName(more))
+
+
+def apart(a: str = "a", b: str = "b") -> Column:
+    """Of two members of one hub, a outside its main component: whether they are in different components; of two outside it, true in one order only."""
+    return (F.col(f"{a}.hub") == F.col(f"{b}.hub")) & (F.col(f"{a}.root") != F.col(f"{b}.root")) & ((F.col(f"{b}.root") == F.col(f"{b}.main")) | (F.col(f"{a}.root") < F.col(f"{b}.root")))

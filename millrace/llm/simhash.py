@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import cut, table
-from .components import components
+from .common import cut, keep_rows, spread, table, text_key
+from .components import apart, classes_under_hubs
 from .textbytes import LOWER, NOT_SPACE, bytes_of, slices, squeezed, words_of, xxh64
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
+KEYED_AT_ONCE = 20_000  # fingerprints that one task makes all keys of
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 
 
@@ -62,8 +63,8 @@ def with_fingerprints(docs: DataFrame, text: str = "text", n: int = SHINGLE, see
     return docs.select(*rest, F.col(text)).mapInArrow(run, schema)
 
 
-def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of some fingerprints, and for each the number of its fingerprint."""
+def key_rows(fp: np.ndarray, of_three: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of some fingerprints, and for each the number of its fingerprint; ``of_three``: also those of a Golay key of all three segments, five in six of all."""
     parts = [((fp >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
     near = [golay.keys(p) for p in parts]
     made, owner = [], []
@@ -78,6 +79,8 @@ def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if i != j:
                 add(kind, (parts[i] << 12)[:, None] | near[j], near[j] >= 0)
                 kind += 1
+    if not of_three:
+        return np.concatenate(made), np.concatenate(owner)
     a, b, c = near[0][:, :, None, None], near[1][:, None, :, None], near[2][:, None, None, :]
     good = (a >= 0) & (b >= 0) & (c >= 0)
     add(kind, (a << 24) | (b << 12) | c, good)
@@ -102,26 +105,21 @@ def near(a: str, b: str, bits: int = MAX_BITS):
 
 
 def fingerprint_classes(fps: DataFrame) -> DataFrame:
-    """``fps(fp)``, each once, to ``(fp, root)`` for each that is linked to a smaller one.
+    """``fps(fp)``, each once and cut, to ``(fp, root)`` for each that is linked to a smaller one.
 
-    First each key's members are compared with its smallest fingerprint, which
-    is linear in their number however many near copies meet there.  Only keys
-    whose members are still in different components are then joined with
-    themselves, across components, so that no link is lost.
+    A key's hub is its smallest fingerprint.  All keys of one fingerprint are
+    made in one task, so fingerprints are dealt out by their number first.
     """
     by_key = Window.partitionBy("key")
-    met = cut(fingerprint_keys(fps).withColumn("hub", F.min("fp").over(by_key)).withColumn("top", F.max("fp").over(by_key)).where("hub <> top").select("key", "fp", "hub"))
-    star = met.where((F.col("fp") != F.col("hub")) & near("fp", "hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    classes = components(star)
-    rooted = met.join(classes.withColumnRenamed("u", "fp").withColumnRenamed("v", "root"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    left = cut(rooted.join(open_keys, "key"))
-    other = left.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    more = left.join(other, "key").where((F.col("root") < F.col("root2")) & near("fp", "fp2")).select(F.col("root2").alias("u"), F.col("root").alias("v")).distinct()
-    more = cut(more)
-    if not more.isEmpty():
-        classes = components(classes.unionByName(more))
-    return classes.withColumnRenamed("u", "fp").withColumnRenamed("v", "root")
+    keyed = fingerprint_keys(spread(fps.select("fp"), fps.count(), KEYED_AT_ONCE))
+    met = keyed.withColumn("hub", F.min("fp").over(by_key)).withColumn("top", F.max("fp").over(by_key)).where("hub <> top")
+
+    def linked(minor: DataFrame, members: DataFrame) -> DataFrame:
+        found = minor.alias("a").join(members.alias("b"), apart() & near("a.node", "b.node"))
+        return found.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+
+    members = cut(met.select("hub", F.col("fp").alias("node")).distinct())
+    return classes_under_hubs(members, lambda pairs: pairs.where(near("u", "v")), linked).withColumnRenamed("u", "fp").withColumnRenamed("v", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,22 +135,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
     fps = cut(known.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = fps.join(fingerprint_classes(fps), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # cut, so that Spark may split the rows of a large root
     ids = rooted.join(least, "root").select("fp", "component_id")
     return known.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that with the smallest doc_id; of rows that share it, one.
+    """One row of each near-duplicate group: that with the smallest doc_id, of those the one whose ``text_key`` is smallest; of rows equal in both, one.
 
     A row without a doc_id can't be the smallest and is no copy that an id
-    could name, so it stays.
+    could name, so it stays.  An id that repeats with texts of several groups
+    stands for a row in each of them.
     """
-    named = docs.where("doc_id is not null")
-    kept = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").select("doc_id", text_key().alias("h"), "text")
+    known = cut(with_fingerprints(named))
+    fps = cut(known.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least")))
+    rooted = fps.join(fingerprint_classes(fps), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first")).select("first.*")
+    return keep_rows(docs, known, firsts)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, 4-word shingles and links at 4 bits, as ``near_duplicates`` says."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
