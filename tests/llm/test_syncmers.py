@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from millrace.llm.syncmers import SKETCH, anchors, compared, similarity
+from millrace.llm.syncmers import anchors, compared, similarity
 
 
 def texts(spark, *rows):
@@ -21,7 +21,7 @@ def test_long_texts_differ_outside_the_smallest_hashes(spark):
     assert len({r["fingerprint"] for r in rows.values()}) == 3
     for a, b in ((2, 1), (1, 0)):
         x, y = ([(p["at"], p["hash"]) for p in rows[i]["anchors"]] for i in (a, b))
-        assert len(x) > 10 * SKETCH
+        assert len(x) > 1280
         hx, hy = {h for _, h in x}, {h for _, h in y}
         assert rows[a]["near_next"] == pytest.approx(len(hx & hy) / len(hx | hy))
         places = [defaultdict(list), defaultdict(list)]
