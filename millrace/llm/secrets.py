@@ -3,9 +3,13 @@
 Regular expressions give candidates in each text: the base kinds (assigned
 values, access keys, long hex runs) and, beside them, tokens of mixed letters
 and digits.  The hash of each candidate's value is counted over the whole
-corpus by distinct repository and owner.  A value that several owners hold is a
-copied example; one that a single owner holds looks live.  Base spans are kept
-either way; of mixed tokens only live-looking ones are added.
+corpus by distinct repository and owner.  A value that several owners hold, or
+many repositories of one owner, is a copied example; one that a few
+repositories of a single owner hold looks live.  Base spans are kept either way;
+of mixed tokens only live-looking ones are added.
+
+Where no column names repositories, each distinct whole text is one, and belongs
+to the least of its owners: so copies of a document raise neither count.
 
 DataFrame expressions only.  A kind's positions come from the lengths of what a
 split on its pattern leaves between its matches.
@@ -36,8 +40,7 @@ WIDE = "|".join(
         r"(?<![A-Za-z0-9_-])" + _ALL_THREE.format("[A-Za-z0-9_-]") + r"[A-Za-z0-9_-]{24,}",
     )
 )
-SALTS = 8
-LIVE_OWNERS = 1
+LIVE_OWNERS, LIVE_REPOS = 1, 4  # a value that more of either hold is a copied example
 MASK = "[SECRET]"
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -46,20 +49,19 @@ SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 def _spans(text: str, kind: int, pattern: str, group: int = 0, least: int = 0) -> Column:
     """All leftmost non-overlapping matches of one pattern, in code points, those with a short value dropped."""
     quoted = "r'" + pattern.replace("'", r"\x27") + "'"
-    value = f"regexp_extract(m, {quoted}, {group})" if group else "m"
+    value = f"regexp_extract(hits[i], {quoted}, {group})" if group else "hits[i]"
     return F.expr(
         f"""
         CASE WHEN {text} RLIKE {quoted} THEN
           filter(
-            zip_with(
-              regexp_extract_all({text}, {quoted}, 0),
-              slice(aggregate(
-                zip_with(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0),
-                         (gap, m) -> named_struct('gap', char_length(gap), 'len', coalesce(char_length(m), 0))),
-                named_struct('at', 0, 'starts', cast(array() as array<int>)),
-                (acc, x) -> named_struct('at', acc.at + x.gap + x.len, 'starts', concat(acc.starts, array(acc.at + x.gap))),
-                acc -> acc.starts), 1, size(regexp_extract_all({text}, {quoted}, 0))),
-              (m, start) -> named_struct('start', start, 'kind', {kind}, 'end', start + char_length(m), 'value', {value})),
+            transform(array(regexp_extract_all({text}, {quoted}, 0)), hits ->
+              transform(array(aggregate(
+                  zip_with(slice(split({text}, {quoted}, -1), 1, size(hits)), hits, (gap, m) -> named_struct('gap', char_length(gap), 'len', char_length(m))),
+                  named_struct('at', 0, 'starts', cast(array() as array<int>)),
+                  (acc, x) -> named_struct('at', acc.at + x.gap + x.len, 'starts', concat(acc.starts, array(acc.at + x.gap))),
+                  acc -> acc.starts)), starts ->
+                transform(sequence(0, size(hits) - 1), i ->
+                  named_struct('start', starts[i], 'kind', {kind}, 'end', starts[i] + char_length(hits[i]), 'value', {value})))[0])[0],
             x -> char_length(x.value) >= {least})
         ELSE cast(array() as {SPAN}) END
         """
@@ -86,47 +88,61 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
+def text_owners(found: DataFrame) -> DataFrame:
+    """``found(hash, repo, owner)``, a row for each hash and repository, of the least of its owners; null, as ``chr(1)``, comes first."""
+    return found.groupBy("hash", "repo").agg(F.min(F.coalesce("owner", F.lit("\x01"))).alias("owner"))
+
+
 def listed(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in [*KINDS, "mixed"]))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """A row for each row of ``docs``: ``keys``, n_assign, n_access, n_hex, base, spans, n_live, n_copied.
+def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str | None = None, text: str = "text", wide: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: ``keys``, n_assign, n_access, n_hex, base, spans, held, n_live, n_copied.
 
     ``base`` and ``spans`` are arrays of (start, kind, end, value), by start and
-    then kind.  ``n_live`` counts the document's base spans whose value one
-    owner holds, ``n_copied`` the others.  A null text is empty.  Values that
-    many rows share are joined to their counts in ``SALTS`` parts, so that no
-    task gets all rows of one value.  ``wide`` takes mixed tokens by ``WIDE``, as
-    masking does; without it they are those of ``OP5_SQL``.
+    then kind.  ``held`` says of each of ``spans`` how many (repos, owners) hold
+    its value.  ``n_live`` counts the document's base spans that look live,
+    ``n_copied`` the others.  A null text is empty and has none, texts are
+    scanned whole, rows that repeat give their result each and count once.
+    ``repo`` names a column of repositories; None takes distinct texts for them.
+    Values are joined to their counts by broadcast if there are few, else as
+    plain columns, so that Spark may split the rows of a value that many share.
+    ``wide`` takes mixed tokens by ``WIDE``, as masking does; without it they
+    are those of ``OP5_SQL``.
     """
-    rows = with_row_key(docs.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), text_of(text).alias("_text")))
+    held_by = F.col(repo) if repo else F.sha1(text_of(text))
+    rows = with_row_key(docs.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(owner).alias("_owner"), held_by.alias("_repo"), text_of(text).alias("_text")))
     kept = [f"_k{i}" for i in range(len(keys))]
     found = cut(candidates(rows, ["_row", *kept, "_owner", "_repo"], "_text", wide))
     each = found.select("_row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode(F.concat("base", "mixed")).alias("span"))
     each = each.withColumn("hash", F.sha2(F.col("span.value"), 256))
-    counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = each.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(counts, ["hash", "salt"])
-    live = F.col("owners") <= LIVE_OWNERS
+    counts = cut(ownership(each if repo else text_owners(each)))
+    judged = each.select("_row", "hash", "span").join(broadcast_if_small(counts, 128), "hash")
+    live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repos") <= LIVE_REPOS)
     is_base = F.col("span.kind") < len(KINDS)
     by_row = judged.groupBy("_row").agg(
-        F.collect_list(F.when(live & ~is_base, F.col("span"))).alias("added"),
+        F.array_sort(F.collect_list(F.when(live | is_base, F.struct("span", F.struct("repos", "owners").alias("held"))))).alias("told"),
         F.count(F.when(live & is_base, 1)).alias("live"),
         F.count(F.when(~live & is_base, 1)).alias("copied"),
     )
     out = found.join(by_row, "_row", "left")
-    none = F.expr(f"cast(array() as {SPAN})")
     return out.select(
         *(F.col(k).alias(name) for k, name in zip(kept, keys, strict=True)),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         "base",
-        F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"),
+        F.coalesce("told.span", F.expr(f"cast(array() as {SPAN})")).alias("spans"),
+        F.coalesce("told.held", F.expr("cast(array() as array<struct<repos:bigint,owners:bigint>>)")).alias("held"),
         F.coalesce("live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("copied", F.lit(0)).cast("long").alias("n_copied"),
     )
 
 
+def held_list(held: Column) -> Column:
+    return F.array_join(F.transform(held, lambda h: F.concat_ws(":", h["repos"].cast("string"), h["owners"].cast("string"))), ",")
+
+
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced; spans that overlap are replaced as one."""
     done = F.aggregate(
@@ -156,17 +172,20 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; sources own them, and each distinct text is a repository. A row for each row of ``documents``, as ``scan`` says."""
     found = scan(table(spark, sf_dir, "documents"), ["doc_id"])
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), held_list(F.col("held")).alias("held"), "n_live", "n_copied"
+    )
 
 
 def _duck_spans(kind: int, pattern: str, group: int, least: int) -> str:
     """The same spans in DuckDB SQL: the pieces between matches give the places."""
     value = f"regexp_extract(m[i], {pattern}, {group})"
     return f"""
-      SELECT r, doc_id, source, {kind} AS kind, m[i] AS hit, {value} AS value,
+      SELECT r, doc_id, source, text, {kind} AS kind, m[i] AS hit, {value} AS value,
              list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
-      FROM (SELECT r, doc_id, source, regexp_extract_all(text, {pattern}, 0) AS m, regexp_split_to_array(text, {pattern}) AS p FROM d WHERE regexp_matches(text, {pattern})),
+      FROM (SELECT r, doc_id, source, text, regexp_extract_all(text, {pattern}, 0) AS m, regexp_split_to_array(text, {pattern}) AS p FROM d WHERE regexp_matches(text, {pattern})),
            unnest(range(1, len(m) + 1)) AS u(i) WHERE length({value}) >= {least}"""
 
 
@@ -180,16 +199,18 @@ mixed AS (
   SELECT * FROM runs WHERE regexp_full_match(hit, '[A-Za-z0-9_-]+') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = runs.r AND b.start < runs.start + length(runs.hit) AND runs.start < b.start + length(b.hit))),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM mixed),
-held AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM every GROUP BY value),
+texts AS (SELECT value, text, min(coalesce(source, chr(1))) AS owner FROM every GROUP BY value, text),
+held AS (SELECT value, count(DISTINCT owner) AS owners, count(*) AS repos FROM texts GROUP BY value),
 judged AS (
-  SELECT e.*, h.owners, ['assign', 'access', 'hex', 'mixed'][e.kind + 1] || ':' || CAST(e.start AS BIGINT) || ':' || CAST(e.start + length(e.hit) AS BIGINT) AS item
+  SELECT e.*, h.owners, h.repos, h.owners <= {LIVE_OWNERS} AND h.repos <= {LIVE_REPOS} AS live, h.repos || ':' || h.owners AS counts, ['assign', 'access', 'hex', 'mixed'][e.kind + 1] || ':' || CAST(e.start AS BIGINT) || ':' || CAST(e.start + length(e.hit) AS BIGINT) AS item
   FROM every e JOIN held h USING (value)),
 by_row AS (
   SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS x,
-         string_agg(item, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(item, ',' ORDER BY start, kind) FILTER (kind < 3 OR owners = 1) AS spans,
-         count(*) FILTER (kind < 3 AND owners = 1) AS live, count(*) FILTER (kind < 3 AND owners > 1) AS copied
+         string_agg(item, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(item, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+         string_agg(counts, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS held,
+         count(*) FILTER (kind < 3 AND live) AS live, count(*) FILTER (kind < 3 AND NOT live) AS copied
   FROM judged GROUP BY r)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied
+       coalesce(spans, '') AS spans, coalesce(held, '') AS held, coalesce(live, 0) AS n_live, coalesce(copied, 0) AS n_copied
 FROM d LEFT JOIN by_row USING (r)
 """

@@ -5,7 +5,7 @@ import pytest
 from millrace.llm.chat import OP7_SQL, PROBE, TARGET, examples, read_back, read_turns
 from millrace.llm.decontaminate import OP3_SQL, clean_documents, contamination
 from millrace.llm.mixing import OP2_SQL, mix, mixed_documents
-from millrace.llm.secrets import MASK, OP5_SQL, listed, redact, scan
+from millrace.llm.secrets import LIVE_REPOS, MASK, OP5_SQL, held_list, listed, redact, scan
 from millrace.llm.warc_zip import OP8_SQL, round_trip
 from pyspark.sql import functions as F
 
@@ -79,10 +79,21 @@ def secret_rows():
 def test_secret_scan(spark, rows):
     docs = documents(spark, secret_rows() if rows is None else rows)
     found = scan(docs, ["doc_id"])
-    digest = found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
+    digest = found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), held_list(F.col("held")).alias("held"), "n_live", "n_copied")
     assert spark_rows(digest) == duck(OP5_SQL, documents=docs.select("doc_id", "text", "source"))
 
 
+def test_copies_raise_no_count_and_many_repositories_do(spark):
+    key = "Zx9fQw3rT7uPk2LmN8vB4cXd"
+    rows = [(i, f"copy {key} of one text", "en", f"s{i}", 0, 1, "h", 2, 0.5, "z") for i in range(9)]
+    other = "Aa1bB2cC3dD4eE5fF6gG7hH8iI9"
+    rows += [(20 + i, f"text {i} of one source with {other}", "en", "s0", 0, 1, "h", 2, 0.5, "z") for i in range(LIVE_REPOS + 1)]
+    found = {r["doc_id"]: (r["spans"], r["held"]) for r in scan(documents(spark, rows), ["doc_id"]).select("doc_id", listed(F.col("spans")).alias("spans"), held_list(F.col("held")).alias("held")).collect()}
+    assert all(found[i] == ("mixed:5:29", "1:1") for i in range(9)) and all(found[20 + i] == ("", "") for i in range(LIVE_REPOS + 1))
+    told = scan(documents(spark, rows), ["doc_id"], repo="doc_id").where("doc_id = 0").select(F.size("spans")).first()
+    assert told[0] == 0  # nine repositories of nine owners
+
+
 def test_redaction_masks_secrets_and_leaves_other_texts(spark):
     docs = documents(spark, secret_rows())
     out = redact(docs)
