@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, table, text_of
+from .common import broadcast_if_small, checkpoint_dir, cut, table, text_of
 
 LEAST_REVISIT = 0  # payloads of at least so many bytes are written once and then revisited
 PACKAGE_BYTES = 64 << 20
-SALTS = 8
+READ_TASKS = 20_000  # at most so many tasks read packages
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 KEPT_IN_KEYS = ":/?#[]@!$&'()*+,;=%~"
 DATE = "2024-01-01T00:00:00Z"
@@ -173,17 +173,24 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, mo
     """Write each row of ``pages(page_id, url, html)`` as a record; ``(path, records)`` of each package written.
 
     Of equal payloads of at least ``least`` bytes that with the smallest page_id
-    is a response and the others revisit it.  Payload digests are joined to
-    their smallest page_id in ``SALTS`` parts.  A null html is empty; a page
-    without a page_id is a response; of rows that repeat, one is the response.
+    is a response and the others revisit it.  Only digests that repeat are
+    joined to their smallest page_id, by broadcast if there are few; else Spark
+    may split the rows of a payload that many pages share.  A null html is
+    empty; a page without a page_id is a response; of rows that repeat, one is
+    the response: those rows alone are dealt out by payload and page.
     A task that runs again writes packages of new names, and the list that is
     kept names those of one run only.
     """
     rows = pages.select("page_id", "url", text_of("html").cast("binary").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     rows = rows.withColumn("_n", F.octet_length("payload").cast("long"))
-    firsts = rows.where("page_id is not null").where(F.col("_n") >= least).groupBy("sha1", "_n").agg(F.min("page_id").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    ready = salted.join(firsts, ["sha1", "_n", "salt"], "left").select("page_id", "url", "payload", "sha1", "first")
+    named = rows.where("page_id is not null").where(F.col("_n") >= least).groupBy("sha1", "_n", "page_id").agg(F.count("*").alias("rows"))
+    firsts = named.groupBy("sha1", "_n").agg(F.min("page_id").alias("first"), F.min_by("rows", "page_id").alias("same"), F.sum("rows").alias("all"))
+    firsts = cut(firsts.where(F.col("all") > 1).drop("all"))
+    ready = rows.join(broadcast_if_small(firsts, 64), ["sha1", "_n"], "left").select("page_id", "url", "payload", "sha1", "first", "same")
+    if not firsts.where("same > 1").isEmpty():
+        again = F.coalesce((F.col("same") > 1) & (F.col("page_id") == F.col("first")), F.lit(False))
+        ready = ready.where(~again).unionByName(ready.where(again).repartition("sha1", "page_id"))
+    ready = ready.drop("same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _file_system(folder)
@@ -238,8 +245,8 @@ def read_packages(packages: DataFrame, folder: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = packages.select("path").repartition(F.xxhash64("path"))
-    return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    paths = packages.select("path")
+    return paths.repartition(max(1, min(paths.count(), READ_TASKS))).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -254,6 +261,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def op8_warc_zip_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ZIP packages and back; a row for each row of ``pages``, as ``write_packages`` and ``read_packages`` say."""
     return round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
