@@ -1,10 +1,12 @@
 """Operators that SQL can't express, against plain Python."""
 
+import hashlib
 import io
 import itertools
 import random
 import re
 import struct
+import time
 import zipfile
 from html.parser import HTMLParser
 
@@ -15,8 +17,9 @@ import xxhash
 from millrace.llm import golay
 from millrace.llm.html_text import extract, render
 from millrace.llm.line_crf import chain, document_scores, fit, held_out, keep_good, line_features, scored, train
+from millrace.llm.near_copies import keep_least
 from millrace.llm.simhash import keep_one, key_rows, near_duplicates, simhash
-from millrace.llm.syncmers import K, SKETCH, anchors, fingerprints, likeness, with_next
+from millrace.llm.syncmers import LONG, WINDOW, K, compared, fingerprints, with_next
 from millrace.llm.token_counts import count_tokens, parts_of, token_counts, vocabulary_path
 from millrace.llm.warc_zip import DATA, INDEX, Package, directory, read_package
 from pyspark.sql import functions as F
@@ -66,6 +69,17 @@ def test_near_duplicates(spark, kind):
     assert sum(r["doc_id"] is None for r in kept) == sum(r[0] is None for r in rows)
 
 
+def test_no_row_is_lost_to_an_id_that_repeats(spark):
+    """One row of each group stays, though rows of other texts share its id."""
+    a, b = "one two three four five six", "wholly other words in this text here now"
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "z"), (7, None, "n"), (8, "", "n"), (None, a, "i")]
+    given = spark.createDataFrame([(*r[:2], "en", r[2], 0, 1, "h", 2, 0.5, "z") for r in rows], documents(spark, []).schema)
+    for stage in (keep_one, keep_least):
+        kept = stage(given)
+        assert kept.columns == given.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (5, b), (7, None), (None, a)], key=repr)
+
+
 def test_golay_keys_meet_within_two_bits():
     rng = np.random.default_rng(1)
     for word in rng.integers(0, 1 << 23, 300):
@@ -119,32 +133,71 @@ def slow_anchors(text):
         v = xxhash.xxh64_intdigest(w.encode(), 42)
         return v - (1 << 64) if v >> 63 else v
 
-    hs = [0] * (K - 1) + [h(w) for w in re.findall(r"[^\x20\x09-\x0D]{1,8}", text)] + [0] * (K - 1)
+    words = [x for w in re.findall(r"[^\x20\x09-\x0D]+", text) for x in ([w] if len(w) <= LONG else [w[i : i + WINDOW] for i in range(len(w) - WINDOW + 1)])]
+    hs = [0] * (K - 1) + [h(w) for w in words] + [0] * (K - 1)
     p = [_murmur((a, b)) + ((1 << 32) if 0 in (a, b) else 0) for a, b in zip(hs, hs[1:], strict=False)]
     return [(i - K + 1, _murmur((p[i], p[i + 2]))) for i in range(len(p) - 2) if min(p[i], p[i + 2]) <= p[i + 1]]
 
 
-def test_anchors_and_sketches(spark):
-    docs = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
-    found = fingerprints(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("at", anchors("text", with_position=True)).collect()
+def test_anchors(spark):
+    docs = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({"_t": F.lit("mine"), "_given": F.lit("too"), "anchors": F.lit(1)})
+    found = fingerprints(docs).collect()
+    assert len(found) == docs.count()
+    for r in found:
+        assert [(a["at"], a["hash"]) for a in r["anchors"]] == slow_anchors(r["text"] or "")
+        assert (r["_t"], r["_given"]) == ("mine", "too")
+    prints = {}
     for r in found:
-        want = slow_anchors(r["text"])
-        assert [(a["at"], a["hash"]) for a in r["at"]] == want
-        assert r["sketch"] == sorted({h for _, h in want})[:SKETCH]
+        prints.setdefault(r["text"] or "", set()).add(r["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values())
+    assert fingerprints(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rows", ["all", "one", "none"])
+def in_order(rows):
+    return sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+
+
+@pytest.mark.parametrize("rows", ["all", "one", "none", "null ids"])
 def test_next_document(spark, rows, monkeypatch):
     from millrace.llm import syncmers
 
-    monkeypatch.setattr(syncmers, "ROWS_IN_BUCKET", 5)
-    given = document_rows()[:: 1 if rows == "all" else 1000] if rows != "none" else []
-    docs = fingerprints(documents(spark, given).withColumn("text", F.coalesce("text", F.lit(""))))
-    found = with_next(docs).withColumn("near", likeness("sketch", "next_sketch")).collect()
-    order = sorted(((r[0], r[1] or "") for r in given), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 5)
+    monkeypatch.setattr(syncmers, "STEP", 3)
+    given = {"all": document_rows(), "one": document_rows()[:1], "none": [], "null ids": [(None, *r[1:]) for r in document_rows()[:30]] + document_rows()[:30]}[rows]
+    docs = documents(spark, given).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = with_next(docs, {"n": F.length("text")}).collect()
+    order = in_order(given)
     want = [(*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)]
     assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in found), key=repr) == sorted(want, key=repr)
-    assert all(r["near"] == 1 for r in found if r["text"] == r["next_text"]) and all(0 <= r["near"] <= 1 for r in found)
+    assert all(r["n"] == len(r["text"]) and r["next_n"] == len(r["next_text"]) for r in found)
+
+
+def slow_likeness(a, b):
+    """Steps between shared anchors, at their first places, that both texts make."""
+    ours, theirs = ([h for h in dict.fromkeys(x) if h in set(y)] for x, y in ((a, b), (b, a)))
+    steps = set(itertools.pairwise(ours)) & set(itertools.pairwise(theirs))
+    return (len(steps) + 1) / len({*a, *b}) if ours else 0.0
+
+
+def test_edited_texts_and_likeness(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(300)]
+    swapped = base[200:] + base[:200]
+    rows = [*document_rows(), (300, " ".join(base), *document_rows()[0][2:]), (301, " ".join(swapped), *document_rows()[0][2:]), (302, " ".join(base[::-1]), *document_rows()[0][2:]), (303, "a b " + "😀é日本" * 90 + " c", *document_rows()[0][2:])]
+    order = in_order(rows)
+    want = []
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        moved = len(text) // 2
+        edited = text[: len(text) - moved] + after[:moved]
+        a, e, n = ([h for _, h in slow_anchors(t)] for t in (text, edited, after))
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), slow_likeness(a, e), slow_likeness(a, n)))
+    found = compared(documents(spark, rows)).collect()
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in found]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:])
+    near = {r["doc_id"]: r["near_next"] for r in found}
+    assert 0.9 < near[301] < 1 and near[302] < 0.05  # a moved block costs its ends, the reverse text shares nothing
 
 
 # Line CRF
@@ -319,6 +372,68 @@ def test_layout(page, text):
     assert render(page) == text
 
 
+def test_random_tables_line_up():
+    """Cells of any width, some spanning columns, against a plain placement of the same grid."""
+    rng = random.Random(12)
+    for _ in range(60):
+        n_cols, rows, page = rng.randint(1, 6), [], "<table>"
+        for _ in range(rng.randint(1, 8)):
+            at, row = 0, {}
+            page += "<tr>"
+            while at < n_cols:
+                cols = min(rng.choice((1, 1, 1, 2, 3)), n_cols - at)
+                word = "w" * rng.choice((1, 3, 9, 45, 120)) + str(rng.randint(0, 9)) if rng.random() < 0.8 else ""
+                page += f"<td colspan={cols}>{word}"
+                row[at] = word
+                if cols > 1:
+                    row[at + cols - 1] = ""
+                at += cols
+            rows.append(row)
+        width = {c: max([len(r[c]) for r in rows if c in r]) for c in sorted({c for r in rows for c in r})}
+        want = []
+        for r in rows:
+            line = [r.get(c, "").ljust(width[c]) for c in width]
+            while line and not line[-1].strip():
+                line.pop()
+            if line:  # a row without text has no line
+                want.append(" | ".join(line).rstrip())
+        assert render(page) == "\n".join(want).strip("\n")
+
+
+def test_random_trees_show_what_is_visible():
+    """Nested elements, each shown, without display or invisible, against a walk over the same tree."""
+    rng = random.Random(13)
+    kinds = [("<div>", "</div>", None), ("<b>", "</b>", None), ("<i hidden>", "</i>", "off"), ("<div style='display:none'>", "</div>", "off"), ("<span style='visibility:hidden'>", "</span>", False),
+             ("<span style='visibility:visible'>", "</span>", True), ("<svg>", "</svg>", "off"), ("<math>", "</math>", None), ("<object>", "</object>", None), ("<i class=gone>", "</i>", "off"), ("<u id=Faint>", "</u>", False)]
+
+    def grow(depth, shown, seen, want):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            word = f"w{rng.randint(0, 999)}"
+            out += f" {word} "
+            if shown and seen:
+                want.append(word)
+            if depth:
+                start, end, rule = rng.choice(kinds)
+                out += start + grow(depth - 1, shown and rule != "off", seen if rule in (None, "off") else rule, want) + end
+        return out
+
+    for _ in range(60):
+        want = []
+        page = "<style>@media print{u{display:none}} .gone,.x{display:none} #faint{visibility:hidden}</style>" + grow(5, True, True, want)
+        assert render(page).split() == want
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 340_000, '<a "x\' ' * 140_000, "</a " * 250_000, "<a" * 500_000, "<table>" + "x<b>y</b>" * 100_000, "<div>" * 190_000, "<table>" + "<tr><td rowspan=65534>a" * 40_000, "<style>" + "a{" * 500_000 + "</style>", "<table><tr><td>" + "w" * 500_000 + "<td>b" + "<tr><td>a<td>b" * 30_000],
+)
+def test_a_page_of_a_megabyte_takes_seconds(page):
+    began = time.process_time()
+    shown = render(page)
+    assert time.process_time() - began < 40 and len(shown) <= 66 * len(page)
+    assert shown.count("y") == page.count("y<") if "y<" in page else True
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "<p>x", "t"), (2, "<p>x", "t"), (None, "y", "t")], "page_id long, html string, text string")
     assert sorted(map(tuple, extract(pages).collect()), key=repr) == sorted([(1, ""), (2, "x"), (2, "x"), (None, "y")], key=repr)
