@@ -1,10 +1,14 @@
-"""Near copies by Jaccard similarity of word shingles, for the pipeline's stage.
+"""Near copies by SimHash and Golay keys, verified by word shingles, for the pipeline's stage.
 
 A text is the set of its 5-word shingles.  Texts with equal sets are one node.
-Nodes become candidates by meeting under one of 25 keys, each made of 5 least
-hashes of the set; two nodes of similarity 0.8 miss all keys with a chance of
-5 in 100,000, those of more with less.  Every candidate pair is then verified
-by the exact similarity of its sets, so no link is an estimate.
+Links at similarity 0.8 are too far apart for one fingerprint of shingles (a
+replaced word changes five of them), so candidates come from ``PRINTS``
+independent 64-bit SimHashes of a text's distinct words, where it changes one:
+nodes meet under keys of an exact segment with a Golay index of another one, of
+any print.  Of pairs at similarity 0.8 to 0.85 some 96 % meet, of all 99 %
+(measured); most of the others are linked through a third text.  Pairs whose wide SimHash of shingles (``64 * WIDE`` bits) is too far apart for
+that similarity are passed over; every other one is verified by the exact
+similarity of its sets, so no link is an estimate.
 """
 
 from __future__ import annotations
@@ -13,26 +17,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
-from .components import components
-from .textbytes import LOWER, NOT_SPACE, U, bytes_of, gram_hashes, mix, slices, word_hashes, words_of
+from .common import broadcast_if_small, cut, keep_rows, spread, text_key
+from .components import apart, classes_under_hubs
+from .simhash import KEYED_AT_ONCE, key_rows
+from .textbytes import LOWER, NOT_SPACE, U, Words, bytes_of, gram_hashes, mix, slices, word_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
-_FLIP, _TIMES = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * U(2) + U(1)
+PRINTS = 4
+WIDE, WIDE_BITS = 4, 70  # longs of the wide SimHash, and how many of its bits similar sets differ in at most: 39 are expected at 0.8, 48 of sets of 4 and 5 shingles
+SHAPE = ["n", *(f"w{i}" for i in range(WIDE))]
 
 
-def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(values: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each owner in rising order, and how many each has."""
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.bincount(owner[new], minlength=owners)
+
+
+def _words(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    buf, at = bytes_of(texts)
+    w = words_of(LOWER[buf], at, NOT_SPACE)
+    return w, word_hashes(w)
+
+
+def shingle_sets(w: Words, h: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, text after text in rising order, and how many each text has.
 
     A text of fewer than ``n`` words has one shingle of all of them, one without words has none.
     """
-    buf, at = bytes_of(texts)
-    w = words_of(LOWER[buf], at, NOT_SPACE)
-    h, first, count = word_hashes(w), w.first[:-1], np.diff(w.first)
+    first, count = w.first[:-1], np.diff(w.first)
     many = np.where(count >= n, count - n + 1, 0)
     of = np.repeat(np.arange(len(count)), many)
     found = [gram_hashes(h, n)[np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]]
@@ -41,12 +60,7 @@ def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarra
         short = np.flatnonzero(count == size)
         found.append(gram_hashes(h, size)[first[short]])
         owner.append(short)
-    g, of = np.concatenate(found), np.concatenate(owner)
-    order = np.lexsort((g, of))
-    g, of = g[order], of[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
-    return g[new], np.bincount(of[new], minlength=len(count))
+    return _distinct(np.concatenate(found), np.concatenate(owner), len(count))
 
 
 def set_hashes(g: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -58,34 +72,34 @@ def set_hashes(g: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_keys(g: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The keys of each set that isn't empty, a row for each."""
+def prints(values: np.ndarray, count: np.ndarray, first: int, number: int) -> np.ndarray:
+    """``number`` SimHashes of each text's values, a row for each, from seed ``first``; zero without values."""
+    out = np.zeros((number, len(count)), U)
     some = np.flatnonzero(count)
-    keys = np.zeros((len(some), BANDS), U)
     if len(some):
         starts = (np.cumsum(count) - count)[some]
-        for i in range(BANDS * ROWS):
-            least = np.minimum.reduceat((g ^ _FLIP[i]) * _TIMES[i], starts)
-            keys[:, i // ROWS] = mix(keys[:, i // ROWS] * _TIMES[0] + least + _FLIP[i])
-    return keys
-
-
-def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(values.view(np.int64)))
+        for i in range(number):
+            bits = np.unpackbits(mix(values ^ U(first + i)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            out[i, some] = np.packbits(ones * 2 > count[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fp, n, keys)``: hash and size of its shingle set, and the set's keys."""
-    schema = docs.select("doc_id").withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "keys": F.expr("cast(array() as array<long>)")}).schema
+def with_prints(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, h, text)`` to ``(doc_id, h, fp, p0, p1 .., n, w0, w1 ..)``: hash of its shingle set, SimHashes of its words, size and wide SimHash of the set."""
+    made = ["fp", *(f"p{i}" for i in range(PRINTS)), *SHAPE]
+    schema = docs.select("doc_id", "h", *(F.lit(0).cast("long").alias(c) for c in made)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                g, count = shingle_sets(part.column("text"))
-                keys = _lists(set_keys(g, count).ravel(), np.where(count > 0, BANDS, 0))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_hashes(g, count).view(np.int64)), pa.array(count.astype(np.int64)), keys], ["doc_id", "fp", "n", "keys"])
+                w, h = _words(part.column("text"))
+                g, count = shingle_sets(w, h)
+                narrow, wide = prints(*_distinct(h, w.doc, len(w.first) - 1), 1, PRINTS), prints(g, count, 1 + PRINTS, WIDE)
+                values = [set_hashes(g, count).view(np.int64), *narrow.view(np.int64), count.astype(np.int64), *wide.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), *map(pa.array, values)], ["doc_id", "h", *made])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "h", "text").mapInArrow(run, schema)
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -94,75 +108,90 @@ def with_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                g, count = shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(g, count).view(np.int64)), _lists(g, count)], ["fp", "shingles"])
+                g, count = shingle_sets(*_words(part.column("text")))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(g.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(g, count).view(np.int64)), lists], ["fp", "shingles"])
 
     return docs.select("text").mapInArrow(run, "fp long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose shingle sets have a Jaccard similarity of at least ``SIMILARITY``."""
-    a, b = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("u", "v"))
-    both = F.size(F.array_intersect("su", "sv"))
-    found = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("su") + F.size("sv")).alias("all"))
-    return found.where(F.col("both") / (F.col("all") - F.col("both")) >= SIMILARITY).select("u", "v")
+def node_keys(nodes: DataFrame) -> DataFrame:
+    """``nodes(fp, p0, p1 ..)`` to ``(key, fp)``: about 32 rows for each print of a node."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            for p in range(PRINTS):
+                of = batch.column(f"p{p}").to_numpy(zero_copy_only=False).view(U)
+                for i in range(0, len(fp), 1000):
+                    key, owner = key_rows(of[i : i + 1000], of_three=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(key | (p << 48)), pa.array(fp[i : i + 1000][owner])], ["key", "fp"])
 
-def _pair(a: str, b: str) -> list:
-    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+    return nodes.select("fp", *(f"p{p}" for p in range(PRINTS))).mapInArrow(run, "key long, fp long")
 
 
-def _sizes_allow(a: str, b: str):
-    """Sets whose sizes differ by more can't be that similar."""
-    return F.least(a, b) / F.greatest(a, b) >= SIMILARITY
+def may_be_similar(a: str = "a", b: str = "b") -> Column:
+    """Whether sizes and wide SimHashes of two nodes allow a similarity of ``SIMILARITY``."""
+    bits = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(WIDE)), F.lit(0))
+    return (F.least(f"{a}.n", f"{b}.n") >= SIMILARITY * F.greatest(f"{a}.n", f"{b}.n")) & (bits <= WIDE_BITS)
 
 
-def links_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``nodes(fp, n, least, keys)``, each once, and the rows that their ``least`` ids name, to components ``(u, v)``.
+def are_similar(a: str = "a", b: str = "b") -> Column:
+    both = F.size(F.array_intersect(f"{a}.shingles", f"{b}.shingles"))
+    return both >= SIMILARITY * (F.size(f"{a}.shingles") + F.size(f"{b}.shingles") - both)
 
-    Each key's members are first verified against one of them, another in each
-    key, which is linear in their number.  Only keys whose members are still in
-    different components are then joined with themselves, across components, so
-    that no candidate pair is left out.
-    """
-    by_key = Window.partitionBy("key")
-    keyed = nodes.select("fp", "n", "least", F.explode("keys").alias("key"))
-    hub = F.min(F.struct(F.xxhash64("fp", "key").alias("rank"), "fp", "n")).over(by_key)
-    met = cut(keyed.withColumn("hub", hub).withColumn("members", F.count("*").over(by_key)).where("members > 1").select("key", "fp", "n", "least", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")))
-    ids = cut(met.select(F.col("least").alias("doc_id")).distinct())
-    fps = met.select("fp").distinct()
-    sets = cut(with_sets(docs.join(broadcast_if_small(ids, 16), "doc_id", "left_semi")).join(fps, "fp", "left_semi").dropDuplicates(["fp"]))
-    star = cut(met.where((F.col("fp") != F.col("hub")) & _sizes_allow("n", "hub_n")).select(*_pair("fp", "hub")).distinct())
-    classes = components(verified(star, sets))
-    rooted = met.join(classes.withColumnRenamed("u", "fp").withColumnRenamed("v", "root"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    left = cut(rooted.join(open_keys, "key"))
-    other = left.select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    more = left.join(other, "key").where((F.col("root") < F.col("root2")) & _sizes_allow("n", "n2")).select(*_pair("fp", "fp2")).distinct()
-    more = cut(verified(more.join(star, ["u", "v"], "left_anti"), sets))
-    return classes if more.isEmpty() else components(classes.unionByName(more))
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` without null ids to ``(doc_id, component_id)``: the smallest doc_id that links of similar texts reach.
-
-    Texts without words have the same, empty, set and are one another's copies.
+
+def sets_of(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(fp, shingles)`` of the nodes that ``named(fp)`` lists, made anew from one text of each."""
+    rows = cut(nodes.join(named.distinct(), "fp").select("first.*").distinct())
+    return cut(with_sets(docs.join(broadcast_if_small(rows, 24), ["doc_id", "h"], "left_semi")).dropDuplicates(["fp"]))
+
+
+def links_with_hubs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` that are similar."""
+    a, b = (nodes.select(F.col("fp").alias(k), F.struct(*SHAPE).alias(f"s{k}")) for k in ("u", "v"))
+    near = cut(pairs.join(a, "u").join(b, "v").where(may_be_similar("su", "sv")).select("u", "v"))
+    sets = sets_of(near.select(F.explode(F.array("u", "v")).alias("fp")), nodes, docs)
+    a, b = (sets.select(F.col("fp").alias(k), F.struct("shingles").alias(f"s{k}")) for k in ("u", "v"))
+    return near.join(a, "u").join(b, "v").where(are_similar("su", "sv")).select("u", "v")
+
+
+def links_with_others(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between ``members`` of the same hub, one of them outside its main component.
+
+    Rows that may have a partner are found first, each once, then their sets are
+    joined to them and compared within the join: pairs that aren't links are
+    never written, however large a group.
     """
-    known = cut(with_keys(docs))
-    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    # an id that several texts share names all of them; with_sets tells them apart by fp
-    classes = links_of(nodes, docs).withColumnRenamed("u", "fp").withColumnRenamed("v", "root")
-    rooted = nodes.join(classes, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.select("doc_id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    shaped = cut(members.join(nodes.select(F.col("fp").alias("node"), *SHAPE), "node"))
+    outer = shaped.where("root <> main")
+    might = apart() & may_be_similar()
+    some = cut(outer.alias("a").join(shaped.alias("b"), might, "left_semi"))
+    others = cut(shaped.alias("b").join(some.alias("a"), might, "left_semi"))
+    sets = sets_of(some.select("node").unionByName(others.select("node")).withColumnRenamed("node", "fp"), nodes, docs).withColumnRenamed("fp", "node")
+    found = some.join(sets, "node").alias("a").join(others.join(sets, "node").alias("b"), might & are_similar())
+    return found.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
 
 
 def keep_least(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies: that with the smallest doc_id; of rows that share it, one.
+    """One row of each group of near copies: that with the smallest doc_id, of those the one whose ``text_key`` is smallest; of rows equal in both, one.
 
-    A row without a doc_id can't be the smallest and is no copy that an id
-    could name, so it stays.
+    Texts without words (null ones too) have the same, empty, set and are one
+    another's copies.  A row without a doc_id can't be the smallest and is no
+    copy that an id could name, so it stays.  An id that repeats with texts of
+    several groups stands for a row in each of them.  Texts are read whole;
+    columns other than doc_id and text are carried, whatever their names.
     """
-    named = docs.where("doc_id is not null")
-    kept = near_copies(named.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    texts = docs.where("doc_id is not null").select("doc_id", text_key().alias("h"), "text")
+    known = cut(with_prints(texts))
+    nodes = cut(known.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("first"), *(F.min(c).alias(c) for c in [*(f"p{i}" for i in range(PRINTS)), *SHAPE])))
+    by_key = Window.partitionBy("key")
+    keyed = node_keys(spread(nodes.where("n > 0"), nodes.count(), KEYED_AT_ONCE))
+    met = keyed.withColumn("members", F.count("*").over(by_key)).where("members > 1")
+    met = met.withColumn("weight", F.sum("members").over(Window.partitionBy("fp")))  # texts in the middle of a group meet most others, so few hubs serve all its keys
+    met = met.withColumn("hub", F.max(F.struct("weight", "fp")).over(by_key)["fp"])
+    members = cut(met.select("hub", F.col("fp").alias("node")).distinct())
+    classes = classes_under_hubs(members, lambda pairs: links_with_hubs(pairs, nodes, texts), lambda _, all_members: links_with_others(all_members, nodes, texts))
+    rooted = nodes.join(classes.withColumnRenamed("u", "fp").withColumnRenamed("v", "root"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    return keep_rows(docs, known, firsts)
