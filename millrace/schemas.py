@@ -53,6 +53,22 @@ QUALITY_METRICS = _schema(
     "constraint_failures string, batch_quarantined boolean"
 )
 
+TRIP_METRICS = _schema(
+    "window_start timestamp, window_end timestamp, pickup_location_id bigint not null, dropoff_location_id bigint not null, trip_count bigint not null, total_revenue double not null, total_distance double not null, "
+    "total_passengers bigint not null, avg_fare double not null, avg_distance double not null, avg_passengers double not null, avg_fare_per_mile double, rush_hour_trip_count bigint not null, weekend_trip_count bigint not null, "
+    "economy_fare_count bigint not null, standard_fare_count bigint not null, premium_fare_count bigint not null, luxury_fare_count bigint not null, short_trip_count bigint not null, medium_trip_count bigint not null, "
+    "long_trip_count bigint not null, very_long_trip_count bigint not null, last_updated timestamp not null"
+)
+TIME_DIM = _schema(
+    "hour_timestamp timestamp not null, hour_of_day int not null, day_of_week string not null, day_of_week_num int not null, day_of_month int not null, month int not null, month_name string not null, quarter int not null, "
+    "year int not null, is_weekend boolean not null, is_rush_hour boolean not null, is_morning_rush boolean not null, is_evening_rush boolean not null, date_key string not null"
+)
+LOCATION_DIM = _schema("location_id bigint not null, zone_name string, borough string, service_zone string")
+LATENCY_METRICS = _schema(
+    "window_start timestamp, window_end timestamp, events_processed bigint not null, events_per_second double, latency_p50_ms bigint not null, latency_p95_ms bigint not null, latency_p99_ms bigint not null, "
+    "min_latency_ms bigint not null, max_latency_ms bigint not null, avg_latency_ms double not null"
+)
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -89,7 +105,11 @@ TABLES = {
         TableSpec("silver.trips_cleaned", SILVER_TRIPS, "timestamp", "day"),
         TableSpec("silver.weather_cleaned", SILVER_WEATHER, "timestamp", "day"),
         TableSpec("silver.events_cleaned", SILVER_EVENTS, "timestamp", "month"),
+        TableSpec("gold.trip_metrics_live", TRIP_METRICS, "window_start", "day"),
+        TableSpec("gold.time_dim", TIME_DIM),
+        TableSpec("gold.location_dim", LOCATION_DIM),
         TableSpec("monitoring.silver_quality_metrics", QUALITY_METRICS, "timestamp", "day"),
+        TableSpec("monitoring.pipeline_latency_metrics", LATENCY_METRICS, "window_start", "day"),
     )
 }
 

@@ -1,8 +1,9 @@
 """Streaming jobs of the three layers.
 
 Each is one spec: a source, a pure transformation, and a sink.  Batches are
-written under their own partition, so that a batch that runs again replaces
-what it wrote before.
+written under their own partition.  A batch that runs again replaces what it
+left unfinished, and leaves alone what it had committed: streams that read the
+table know files by name, and new names would be read as new rows.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gold, quality, silver
 from ..rules import RULES, Rules
-from ..sources.files import record_stream
 from ..schemas import TABLES
+from ..sources.files import record_stream
+from ..sources.tables import committed, overwrite
 
 log = logging.getLogger(__name__)
 
@@ -49,7 +51,7 @@ def _gold(make: Transform) -> Transform:
 
 
 def jobs(rules: Rules = RULES) -> dict[str, Job]:
-    """All jobs by name. Dimensions are batch loads: see ``gold.time_dimension`` and ``gold.location_dimension``."""
+    """All jobs by name. Dimensions are a batch load: ``load_dimensions``."""
     bronze = {n: TABLES[f"bronze.{n}"].schema for n in ("trips", "weather", "events")}
     made = [
         Job("trips-cleaned", "bronze/trips", "silver/trips_cleaned", bronze["trips"], _silver(lambda b: silver.trips(b, rules), silver.TRIP_KEYS), "30 seconds", constraints=tuple(quality.TRIPS)),
@@ -78,7 +80,9 @@ def gated_sink(spark: SparkSession, root: str, job: Job) -> Callable[[DataFrame,
             if found is None:  # an empty batch
                 return
             if found["passed"]:
-                rows.drop("batch_id").write.mode("overwrite").parquet(f"{root}/{job.target}/batch={batch_id}")
+                done = f"{root}/{job.target}/batch={batch_id}"
+                if not committed(spark, done):
+                    rows.drop("batch_id").write.mode("overwrite").option("compression", "zstd").parquet(done)
             else:
                 bad = quality.quarantined(rows.withColumn("failure_reason", F.lit(found["failures"])), F.current_timestamp())
                 bad.write.mode("overwrite").parquet(f"{root}/{quality.quarantine_name(table).replace('.', '/')}/batch={batch_id}")
@@ -115,6 +119,13 @@ def start_bronze(spark: SparkSession, root: str, name: str, records_schema: T.St
     return writer.format("parquet").start(f"{root}/bronze/{name}")
 
 
+def load_dimensions(spark: SparkSession, root: str, start: str, end: str, rules: Rules = RULES) -> None:
+    """Both gold dimensions anew, in full: hours from ``start`` up to ``end``, and the zones of silver trips."""
+    overwrite(gold.time_dimension(spark, start, end, rules).select(TABLES["gold.time_dim"].schema.fieldNames()), f"{root}/gold/time_dim")
+    trips = spark.read.parquet(f"{root}/silver/trips_cleaned")
+    overwrite(gold.location_dimension(trips).select(TABLES["gold.location_dim"].schema.fieldNames()), f"{root}/gold/location_dim")
+
+
 def run(spark: SparkSession, root: str, name: str, once: bool = False) -> None:
     """Run one job by name until it ends."""
     query = start(spark, root, jobs()[name], once)

@@ -89,6 +89,50 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert spark.read.parquet(f"{flat}/monitoring/pipeline_latency").agg(F.sum("events_processed")).first()[0] == 600
 
 
+def test_the_chain_bears_repeats_restarts_and_lost_metrics(spark, tmp_path):
+    """Gold reads the folders that silver writes; a batch that runs again adds nothing, a restart goes on, and metrics that can't be written hold nothing up."""
+    root = str(tmp_path)
+    (tmp_path / "monitoring").write_text("a file where the metrics' folder should be")
+    bronze(spark, 200).coalesce(1).write.parquet(f"{root}/bronze/trips")
+    jobs.run(spark, root, "trips-cleaned", once=True)
+    job = jobs.jobs()["trips-cleaned"]
+    again = spark.read.parquet(f"{root}/silver/trips_cleaned").where("batch = 0").drop("batch")
+    jobs.run(spark, root, "trip-metrics-live", once=True)
+    jobs.gated_sink(spark, root, job)(again, 0)
+    later = bronze(spark, 50).withColumns({"timestamp": F.col("timestamp") + 86400000, "offset": F.col("offset") + 9000})
+    later.withColumn("ingestion_timestamp", F.timestamp_millis("timestamp")).coalesce(1).write.mode("append").parquet(f"{root}/bronze/trips")
+    jobs.run(spark, root, "trips-cleaned", once=True)
+    jobs.run(spark, root, "trip-metrics-live", once=True)
+    done = spark.read.parquet(f"{root}/silver/trips_cleaned")
+    assert done.count() == 250 and done.agg(F.count_distinct("batch")).first()[0] >= 2
+    closed = spark.read.parquet(f"{root}/gold/trip_metrics_live")
+    assert closed.where(F.col("window_end") < F.lit("2024-01-01 23:00:00").cast("timestamp")).agg(F.sum("trip_count")).first()[0] == 200
+    jobs.load_dimensions(spark, root, "2024-01-01", "2024-01-03")
+    assert spark.read.parquet(f"{root}/gold/time_dim").count() == 48
+    zones = {r[0] for r in done.selectExpr("explode(array(pickup_location_id, dropoff_location_id))").collect()}
+    assert {r["location_id"] for r in spark.read.parquet(f"{root}/gold/location_dim").collect()} == zones
+
+
+def test_gold_and_latency_tables_hold_what_their_jobs_make(spark):
+    rows = silver.trips(bronze(spark, 30))
+    made = {
+        "gold.trip_metrics_live": gold.trip_metrics(rows).withColumn("last_updated", F.current_timestamp()), "gold.location_dim": gold.location_dimension(rows),
+        "gold.time_dim": gold.time_dimension(spark, "2024-01-01", "2024-01-02"), "monitoring.pipeline_latency_metrics": gold.latency(rows, F.current_timestamp()),
+    }
+    assert set_up(spark, "gold") == ["gold.location_dim", "gold.time_dim", "gold.trip_metrics_live"]
+    for name, frame in made.items():
+        assert {(f.name, f.dataType) for f in TABLES[name].schema} == {(f.name, f.dataType) for f in frame.schema}, name
+    for name in list(made)[:3]:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_gate_by_join_is_the_gate_by_broadcast(spark, monkeypatch):
+    rows = quality.with_batch(silver.trips(bronze(spark, 400, faults=0.01)), 40)
+    halves = [sorted(map(repr, part.collect())) for part in quality.gate(rows, quality.TRIPS)]
+    monkeypatch.setattr(quality, "MOST_VERDICTS", 0)
+    assert halves == [sorted(map(repr, part.collect())) for part in quality.gate(rows, quality.TRIPS)] and all(halves)
+
+
 def test_a_bad_batch_goes_to_quarantine_whole(spark, tmp_path):
     root = str(tmp_path)
     bronze(spark, 300, faults=0.1).coalesce(1).write.parquet(f"{root}/bronze/trips")
