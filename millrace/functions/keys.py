@@ -11,12 +11,16 @@ DIGITS = 4
 
 def hash16(text: str | Column) -> Column:
     """The low 16 bits of the sum of a text's UTF-16 units times falling powers of 31; as a long."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    return F.aggregate(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.length(units), F.lit(1)), F.lit(4)), lambda i: i <= F.length(units)),
-        F.lit(0).cast("long"),
-        lambda acc, i: (acc * 31 + F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long")).bitwiseAND(F.lit(RING - 1)),
-    )
+
+    def unit(acc: Column, value: Column) -> Column:
+        return (acc * 31 + value).bitwiseAND(F.lit(RING - 1))
+
+    def char(acc: Column, c: Column) -> Column:  # one beyond the basic plane is two units
+        point = F.ascii(c).cast("long")
+        above = point - 0x10000
+        return F.when(point < 0x10000, unit(acc, point)).otherwise(unit(unit(acc, F.shiftright(above, 10) + 0xD800), above.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), char)
 
 
 def hex_id(value: Column) -> Column:

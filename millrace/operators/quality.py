@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_VERDICTS = 20_000  # rows of a name or two and some constraints' names
+
+
 @dataclass(frozen=True)
 class Constraint:
     """``kind`` is complete, min or max. A bound ignores nulls, and fails where every value is null."""
@@ -94,15 +97,16 @@ def gate(df: DataFrame, constraints: list[Constraint], mode: str = "batch") -> t
 
     In mode "batch" one bad row sends its whole batch away; in mode "row" only
     rows that break a constraint themselves go.  Quarantined rows get the reason.
-    A batch is judged by windows over it, so rows are read and shuffled once.
+    A batch is judged by one aggregation over it, whose verdicts go back to the
+    rows: by broadcast, so that no row is shuffled, if they are counted to be at
+    most ``MOST_VERDICTS``, else by a join.  Rows without a batch are one batch.
     """
     if mode == "row":
         judged = df.withColumn("failure_reason", row_failures(df, constraints))
     else:
-        batch = Window.partitionBy("batch_id")
-        failed = F.array_compact(F.array(*(F.when(~c.holds(F.col(f"_m{i}")), c.name) for i, c in enumerate(constraints))))
-        judged = df.withColumns({f"_m{i}": c.aggregate().over(batch).cast("double") for i, c in enumerate(constraints)})
-        judged = judged.withColumn("failure_reason", F.when(F.size(failed) > 0, F.array_join(failed, "; "))).drop(*(f"_m{i}" for i in range(len(constraints))))
+        found = verdicts(df, constraints).select(F.col("batch_id").alias("_batch"), F.col("failures").alias("failure_reason"))
+        found = F.broadcast(found) if df.select("batch_id").distinct().count() <= MOST_VERDICTS else found
+        judged = df.join(found, df["batch_id"].eqNullSafe(found["_batch"])).drop("_batch")
     return judged.where("failure_reason is null").drop("failure_reason"), judged.where("failure_reason is not null")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE = "decimal(5,2)"
+SHORT = 16  # characters that longer texts and keys are joined on
 
 # fixed values: marks of quiz files, what answers look like, topics by keyword (in names or questions; in names only), and how code begins
 SPLIT = r"Results for question \d+\."
@@ -120,30 +121,32 @@ def tidy(text: Column) -> Column:
 def match_prefix(questions: DataFrame, entries: DataFrame, text: str = "question_text") -> DataFrame:
     """The first entry ``(place, key, explanation)`` that a text begins with, or that begins with it.
 
-    One side is the prefix of the other exactly if the first n characters of
-    both agree, n being the shorter length.  So texts are joined on equal
-    prefixes, once for each length that a key or text has.
+    Where both have ``SHORT`` characters they are joined on that many and then
+    compared; the shorter ones of either side are joined whole to the other
+    side's prefixes of fewer characters, so a text gives at most ``SHORT`` rows.
+    Empty texts and keys match nothing.
     """
     q = questions.withColumn("_t", tidy(F.col(text))).withColumn("_n", F.char_length("_t"))
     e = entries.withColumn("_k", tidy(F.col("key"))).withColumn("_m", F.char_length("_k"))
 
-    def prefixes(df: DataFrame, text: str, length: str, cuts: list[int], strictly: bool) -> DataFrame:
-        wanted = F.filter(F.array(*map(F.lit, cuts)), lambda x: (x < F.col(length)) | (F.lit(not strictly) & (x == F.col(length)))) if cuts else F.array().cast("array<int>")
-        return df.withColumn("_l", F.explode(wanted)).withColumn("_p", F.expr(f"left({text}, _l)"))
+    def prefixes(df: DataFrame, text: str, longest: Column) -> DataFrame:
+        return df.withColumn("_l", F.explode(F.sequence(F.lit(1), longest))).withColumn("_p", F.expr(f"left({text}, _l)"))
 
-    def lengths(df: DataFrame, length: str) -> list[int]:  # as many as there are different lengths
-        return sorted(r[0] for r in df.select(length).distinct().collect() if r[0] is not None)
-
-    down = prefixes(q, "_t", "_n", lengths(e, "_m"), False).select(*questions.columns, "_p")
-    whole = q.select(*questions.columns, F.col("_t").alias("_p"))
-    keys_whole = e.select("place", "explanation", F.col("_k").alias("_p"))
-    keys_cut = prefixes(e, "_k", "_m", lengths(q, "_n"), True).select("place", "explanation", "_p")
-    met = down.join(keys_whole, "_p").unionByName(whole.join(keys_cut, "_p"))
-    return _first(met, questions.columns)
+    told = [*questions.columns, "place", "explanation"]
+    short_keys = e.where(F.col("_m").between(1, SHORT - 1)).select("place", "explanation", F.col("_k").alias("_p"))
+    down = prefixes(q.where("_n > 0"), "_t", F.least("_n", F.lit(SHORT - 1))).join(short_keys, "_p").select(told)
+    cut_keys = prefixes(e.where("_m > 1"), "_k", F.least(F.col("_m") - 1, F.lit(SHORT - 1))).select("place", "explanation", "_p")
+    up = q.where(F.col("_n").between(1, SHORT - 1)).withColumn("_p", F.col("_t")).join(cut_keys, "_p").select(told)
+    long_texts = q.where(F.col("_n") >= SHORT).withColumn("_p", F.expr(f"left(_t, {SHORT})"))
+    long_keys = e.where(F.col("_m") >= SHORT).select("place", "explanation", "_k", F.expr(f"left(_k, {SHORT})").alias("_p"))
+    both = long_texts.join(long_keys, "_p").where(F.startswith("_t", "_k") | F.startswith("_k", "_t")).select(told)
+    return _first(down.unionByName(up).unionByName(both), questions.columns)
 
 
 def match_phrase(questions: DataFrame, phrases: list[tuple[int, str, str]], text: str = "question_text") -> DataFrame:
-    """The first of a short fixed list of ``(place, phrase, explanation)`` that a text holds, letter case aside."""
+    """The first of a short fixed list of ``(place, phrase, explanation)`` that a text holds, letter case aside; only for rows whose explanation, if they have the column, is null."""
+    if "explanation" in questions.columns:
+        questions = questions.where("explanation is null")
     out = F.lit(None).cast("string")
     for _, phrase, explanation in sorted(phrases, reverse=True):
         out = F.when(F.contains(F.lower(text), F.lit(phrase.lower())), explanation).otherwise(out)

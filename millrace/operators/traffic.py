@@ -32,11 +32,11 @@ def with_total(by_node: DataFrame, measures: list[str], node: str = "node") -> D
 
 
 def load_share(stats: DataFrame) -> DataFrame:
-    """Node statistics with a total row and each row's share of completed tasks, in percent; zero where none completed."""
+    """Node statistics with a total row and each row's share of completed tasks, in percent to 4 places; zero where none completed."""
     measures = ["generated", "pulled", "pushed", "completed"]
     out = with_total(stats, measures)
     total = F.max(F.when(F.col("node") == TOTAL, F.col("completed"))).over(Window.partitionBy(F.lit(0)))
-    return out.withColumn("percent", F.when(total == 0, F.lit(0.0)).otherwise(F.col("completed") * 100 / total))
+    return out.withColumn("percent", F.when(total == 0, F.lit(0.0)).otherwise(F.round(F.col("completed") * 100 / total, 4)))
 
 
 def unbalanced(stats: DataFrame) -> DataFrame:

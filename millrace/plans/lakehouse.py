@@ -71,6 +71,15 @@ def silver_weather_dedup(spark, sf_dir):
     return without_zone(silver.first_of_each(silver.weather(weather_bronze(spark, sf_dir)), silver.WEATHER_KEYS))
 
 
+def silver_events_dedup(spark, sf_dir):
+    return without_zone(silver.first_of_each(silver.events(special_bronze(spark, sf_dir)), silver.EVENT_KEYS))
+
+
+def zones_in_order(spark, sf_dir):
+    """The zones of all trips, sorted as a whole."""
+    return gold.location_dimension(_trips(spark, sf_dir)).orderBy("location_id")
+
+
 def dq_trips(spark, sf_dir):
     return quality.report(_trips(spark, sf_dir), quality.TRIPS)
 
@@ -172,7 +181,7 @@ def producer_stats(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bronze_metadata, silver_trips, silver_weather, silver_events, silver_trips_dedup, silver_weather_dedup, dq_trips, dq_weather, dq_events, gate_verdict, gate_accepted,
+        bronze_metadata, silver_trips, silver_weather, silver_events, silver_trips_dedup, silver_weather_dedup, silver_events_dedup, zones_in_order, dq_trips, dq_weather, dq_events, gate_verdict, gate_accepted,
         gate_quarantined, gate_rows, dq_pass_rate, gold_trip_metrics, gold_latency_exact, gold_latency_approx, dim_time, dim_location, star_trip_metrics, producer_stats,
     )
 }
@@ -282,6 +291,9 @@ ORACLE_SQL = {
     "silver_weather_dedup": f"WITH {ctes('weather_bronze')}, {SILVER_WEATHER} SELECT * FROM sw QUALIFY row_number() OVER (PARTITION BY timestamp, location_id ORDER BY bronze_offset, bronze_partition) = 1",
     "dq_trips": f"{_TRIPS} {_report('st', quality.TRIPS)}",
     "dq_weather": f"WITH {ctes('weather_bronze')}, {SILVER_WEATHER} {_report('sw', quality.WEATHER)}",
+    "silver_events_dedup": f"WITH {ctes('special_bronze')}, {SILVER_EVENTS} SELECT * FROM se QUALIFY row_number() OVER (PARTITION BY timestamp, location_id, event_type, start_time ORDER BY bronze_offset, bronze_partition) = 1",
+    "zones_in_order": f"""{_TRIPS} SELECT DISTINCT location_id, 'Zone_' || location_id AS zone_name, 'Unknown' AS borough, 'Unknown' AS service_zone
+      FROM (SELECT pickup_location_id AS location_id FROM st UNION ALL SELECT dropoff_location_id FROM st) ORDER BY location_id""",
     "dq_events": f"WITH {ctes('special_bronze')}, {SILVER_EVENTS} {_report('se', quality.EVENTS)}",
     "gate_verdict": f"""{_UNIQUE}, {VERDICTS}
       SELECT {_NOW} AS timestamp, 'silver.trips_cleaned' AS table_name, '{TRIP_JOB}' AS job_name, batch_id, record_count, CASE WHEN len(failed) = 0 THEN 'Success' ELSE 'Error' END AS status,

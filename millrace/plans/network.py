@@ -68,7 +68,7 @@ def random_peers(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     n = nodes.count()
     placed = nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("at"))
-    drawn = placed.select("node", F.pmod(F.col("at") + 1 + F.pmod(F.xxhash64("node", F.lit(11)), F.lit(max(1, n - 1))), F.lit(n)).alias("to"))
+    drawn = placed.select("node", F.pmod(F.col("at") + 1 + F.pmod(F.conv(F.left(F.md5(F.concat_ws(":", "node", F.lit(11))), F.lit(12)), 16, 10).cast("long"), F.lit(max(1, n - 1))), F.lit(n)).alias("to"))
     return drawn.join(placed.select(F.col("node").alias("peer"), F.col("at").alias("to")), "to").select("node", "peer").where("node <> peer")
 
 
@@ -115,6 +115,13 @@ def dht_hash16(spark, sf_dir):
     return _keys(spark, sf_dir).select("page_id", "key16", hex_id(F.col("key16")).alias("hex"), is_hex_id(hex_id(F.col("key16"))).alias("well_formed"))
 
 
+def dht_well_formed(spark, sf_dir):
+    """Ids as nodes give them, some too short, too long or not hexadecimal."""
+    odd = F.concat(F.substring("p_type", 1, 1), F.lower(F.hex(F.col("p_partkey") % 70000 * 13)))
+    given = F.when(F.col("p_partkey") % 2 == 0, F.lower(F.hex(F.col("p_partkey") % 70000 * 13))).otherwise(odd)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", given.alias("given"), is_hex_id(given).alias("well_formed"))
+
+
 def dht_owner(spark, sf_dir):
     found = keyring.owners(_keys(spark, sf_dir), _dht(spark, sf_dir))
     return found.select("page_id", "key16", "owner", ring_distance(F.col("key16"), F.col("owner")).alias("distance"), shared_digits(hex_id(F.col("key16")), hex_id(F.col("owner"))).alias("digits"))
@@ -137,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         traffic_rollup, load_share, conservation_check, recorded_vs_observed, balance_plan, ring_neighbours, random_peers, overlay_edges, overlay_edges_odd, overlay_degree, overlay_weights, overlay_connected,
-        overlay_bfs, mst, mst_levels, relay_counts, dht_hash16, dht_owner, dht_leaf_set, dht_routing_table, dht_next_hop,
+        overlay_bfs, mst, mst_levels, relay_counts, dht_hash16, dht_well_formed, dht_owner, dht_leaf_set, dht_routing_table, dht_next_hop,
     )
 }
 
@@ -165,7 +172,7 @@ ORACLE_SQL = {
         CAST(sum(CASE WHEN sent THEN 0 ELSE payload END) AS BIGINT) AS received_sum FROM e GROUP BY ROLLUP (node)""",
     "load_share": f"""{_STATS}, t AS (SELECT coalesce(CAST(node AS VARCHAR), 'TOTAL') AS node, CAST(sum(generated) AS BIGINT) AS generated, CAST(sum(pulled) AS BIGINT) AS pulled, CAST(sum(pushed) AS BIGINT) AS pushed,
       CAST(sum(completed) AS BIGINT) AS completed FROM node_stats GROUP BY ROLLUP (node))
-      SELECT *, CASE WHEN (SELECT sum(completed) FROM node_stats) = 0 THEN 0 ELSE completed * 100 / (SELECT CAST(sum(completed) AS BIGINT) FROM node_stats) END AS percent FROM t""",
+      SELECT *, CASE WHEN (SELECT sum(completed) FROM node_stats) = 0 THEN 0 ELSE round(completed * 100 / (SELECT CAST(sum(completed) AS BIGINT) FROM node_stats), 4) END AS percent FROM t""",
     "conservation_check": f"{_STATS} SELECT *, generated + pulled - pushed AS expected FROM node_stats WHERE generated + pulled - pushed <> completed",
     "recorded_vs_observed": f"""{_STATS}, a AS (SELECT node, completed AS n FROM node_stats WHERE node % 7 <> 0), b AS (SELECT node, completed + CASE WHEN node % 3 = 0 THEN 1 ELSE 0 END AS n FROM node_stats WHERE node % 5 <> 0)
       SELECT coalesce(a.node, b.node) AS node, a.n AS recorded, b.n AS observed, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'not found' WHEN a.n = b.n THEN 'match' ELSE 'mismatch' END AS verdict FROM a FULL JOIN b ON a.node = b.node""",
@@ -174,6 +181,9 @@ ORACLE_SQL = {
         CAST(CASE WHEN queued < 100 THEN greatest(20, 2000 - queued) ELSE 0 END AS BIGINT) AS asks_for FROM q""",
     "ring_neighbours": """SELECT s_suppkey AS node, coalesce(lead(s_suppkey) OVER (ORDER BY s_suppkey), (SELECT min(s_suppkey) FROM supplier)) AS successor,
       coalesce(lag(s_suppkey) OVER (ORDER BY s_suppkey), (SELECT max(s_suppkey) FROM supplier)) AS predecessor FROM supplier""",
+    "random_peers": """WITH p AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS seat, count(*) OVER () AS n FROM supplier),
+      d AS (SELECT node, (seat + 1 + CAST('0x' || left(md5(node || ':11'), 12) AS BIGINT) % greatest(1, n - 1)) % n AS go FROM p)
+      SELECT d.node, p.node AS peer FROM d JOIN p ON p.seat = d.go WHERE d.node <> p.node""",
     "overlay_edges": f"{_graph(DEGREE)} SELECT * FROM e",
     "overlay_edges_odd": f"{_graph(ODD_DEGREE)} SELECT * FROM e",
     "overlay_degree": f"{_graph(DEGREE)} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node",
@@ -181,6 +191,8 @@ ORACLE_SQL = {
     "overlay_connected": f"{_BFS} SELECT (SELECT count(*) FROM p) AS nodes, count(*) AS reached, count(*) = (SELECT count(*) FROM p) AS connected FROM d",
     "overlay_bfs": f"{_BFS} SELECT d.node, CAST(d.depth AS INT) AS depth, min(u.node) AS parent FROM d LEFT JOIN ways ON ways.b = d.node LEFT JOIN d u ON u.node = ways.a AND u.depth = d.depth - 1 GROUP BY 1, 2",
     "dht_hash16": f"WITH {_KEYS} SELECT page_id, key16, {_HEX.format('key16')} AS hex, true AS well_formed FROM k",
+    "dht_well_formed": """WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE substr(p_type, 1, 1) END || lower(printf('%x', p_partkey % 70000 * 13)) AS given FROM part)
+      SELECT *, regexp_full_match(given, '[0-9a-fA-F]{4}') AS well_formed FROM g""",
     "dht_owner": f"""{_DHT}, {_KEYS}, o AS (
       SELECT page_id, key16, id16 AS owner, least(abs(key16 - id16), 65536 - abs(key16 - id16)) AS distance FROM k, dht_nodes QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY distance, id16 DESC) = 1)
       SELECT *, CAST(CASE WHEN {_HEX.format('key16')} = {_HEX.format('owner')} THEN 4 WHEN left({_HEX.format('key16')}, 3) = left({_HEX.format('owner')}, 3) THEN 3 WHEN left({_HEX.format('key16')}, 2) = left({_HEX.format('owner')}, 2) THEN 2

@@ -85,9 +85,23 @@ def study_match_phrase(spark, sf_dir):
     return study.match_phrase(t["questions"].select("id", "question_text"), PHRASES)
 
 
+def study_fill_phrase(spark, sf_dir):
+    """Only questions that have no explanation yet are matched."""
+    t = _t(spark, sf_dir)
+    return study.match_phrase(t["questions"].select("id", "question_text", F.when(F.col("id") % 3 == 0, "old").alias("explanation")), PHRASES)
+
+
+def study_checked_answers(spark, sf_dir):
+    """Typed answers, with blanks around some and other letter case in others, against the right ones."""
+    t = _t(spark, sf_dir)
+    right = F.col("correct_answer")
+    given = F.when(F.col("id") % 3 == 0, F.concat(F.lit("  "), right, F.lit(" "))).when(F.col("id") % 3 == 1, F.lower(right)).otherwise(right)
+    return t["questions"].select("id", given.alias("given"), study.answer_is_right(given, right).alias("is_right"))
+
+
 def study_random_order(spark, sf_dir):
     """Each quiz's questions in an order drawn by seed, by hash of the id: the same on every run."""
-    drawn = F.xxhash64("id", F.lit(17))
+    drawn = F.md5(F.concat_ws(":", "id", F.lit(17)))
     place = F.row_number().over(Window.partitionBy("quiz_id").orderBy(drawn, "id"))
     return _t(spark, sf_dir)["questions"].select("id", "quiz_id", place.alias("place"))
 
@@ -115,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         study_quizzes, study_stats, study_stats_one, study_session_results, study_answers, study_complete_session, study_delete_cascade, study_insert_returning,
-        study_update_explanations, study_match_prefix, study_match_phrase, study_random_order, study_integrity, study_titles,
+        study_update_explanations, study_match_prefix, study_match_phrase, study_fill_phrase, study_checked_answers, study_random_order, study_integrity, study_titles,
     )
 }
 
@@ -149,6 +163,10 @@ ORACLE_SQL = {
     "study_match_prefix": f"""{_ALL}, e AS (SELECT id AS place, left(question_text, CAST(9 + id % 14 AS INT)) AS key, 'e' || id AS explanation FROM questions WHERE id % 7 = 0)
       SELECT q.id, q.question_text, arg_min(e.explanation, e.place) AS explanation FROM questions q JOIN e ON starts_with(q.question_text, e.key) OR starts_with(e.key, q.question_text) GROUP BY 1, 2""",
     "study_match_phrase": f"{_ALL} SELECT id, question_text, {_PHRASE} AS explanation FROM questions WHERE {_PHRASE} IS NOT NULL",
+    "study_fill_phrase": f"{_ALL} SELECT id, question_text, {_PHRASE} AS explanation FROM questions WHERE id % 3 <> 0 AND {_PHRASE} IS NOT NULL",
+    "study_checked_answers": f"""{_ALL}, g AS (SELECT id, correct_answer, CASE id % 3 WHEN 0 THEN '  ' || correct_answer || ' ' WHEN 1 THEN lower(correct_answer) ELSE correct_answer END AS given FROM questions)
+      SELECT id, given, trim(given) = trim(correct_answer) AS is_right FROM g""",
+    "study_random_order": f"{_ALL} SELECT id, quiz_id, CAST(row_number() OVER (PARTITION BY quiz_id ORDER BY md5(id || ':17'), id) AS INT) AS place FROM questions",
     "study_integrity": f"""{_ALL} SELECT 'quizzes' AS table_name, 'repeated id' AS problem, count(*) - count(DISTINCT id) AS n FROM quizzes
       UNION ALL SELECT 'questions', 'repeated id', count(*) - count(DISTINCT id) FROM questions UNION ALL SELECT 'session_answers', 'repeated id', count(*) - count(DISTINCT id) FROM session_answers
       UNION ALL SELECT 'study_sessions', 'repeated id', count(*) - count(DISTINCT id) FROM study_sessions
