@@ -53,6 +53,11 @@ def file_info(locations: DataFrame) -> DataFrame:
     return locations.groupBy("file").agg(F.coalesce(F.max("chunk"), F.lit(0)).alias("last_chunk"))
 
 
+def parts_of(locations: DataFrame, key: str, file: str | int) -> DataFrame:
+    """The rows of one file; an equality, which reaches the scan."""
+    return locations.where(F.col(key) == F.lit(file))
+
+
 def merged_catalogue(catalogue: DataFrame, beat: DataFrame, full: bool) -> DataFrame:
     """``catalogue(file_no, fragment, server)`` after a heartbeat: a full one replaces what its servers had, a short one adds to it."""
     kept = catalogue.join(beat.select("server").distinct(), "server", "left_anti") if full else catalogue

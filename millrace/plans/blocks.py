@@ -1,12 +1,11 @@
-"""Queries of the block store, generators and proofs of work, with DuckDB twins where SQL can say them."""
+"""Queries of the block store and proofs of work, with DuckDB twins where SQL can say them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.keys import base_name, clean_path, host_port, part_name, part_of
-from ..operators import blocks, erasure, quality, silver
-from ..sources import generators
+from ..operators import blocks, erasure
 from ..sources.bindings import bound, ctes
 
 CHARS, SLICE = 4096, 512
@@ -78,6 +77,11 @@ def catalogue_merge(spark, sf_dir):
     return blocks.merged_catalogue(blocks.merged_catalogue(known, full, True), short, False)
 
 
+def file_parts(spark, sf_dir):
+    """The stored parts of one file, found by the file's column of their key."""
+    return blocks.parts_of(_locations(spark, sf_dir), "file_no", 7).select("file_no", "fragment", "server")
+
+
 def alive_replicas(spark, sf_dir):
     """Replicas on servers that aren't lost: a semi join with the registry."""
     alive = blocks.used_space(_locations(spark, sf_dir)).where("server % 5 <> 2").select("server")
@@ -126,31 +130,11 @@ def pow_sha3(spark, sf_dir):
     return erasure.with_proof(nodes, "s_name", PROOF_BITS)
 
 
-def synth_trips(spark, sf_dir):
-    return generators.trips(spark, 10_000, seed=1)
-
-
-def synth_weather(spark, sf_dir):
-    return generators.weather(spark, 10_000, seed=1)
-
-
-def synth_events(spark, sf_dir):
-    return generators.special_events(spark, 10_000, seed=1)
-
-
-def synth_faults(spark, sf_dir):
-    """Faults put into generated trips, and how many of each kind the gate's constraints catch by row."""
-    faulty = generators.with_trip_faults(generators.trips(spark, 10_000, seed=1), 0.2, seed=2)
-    bronze = faulty.withColumns({"ingestion_timestamp": F.timestamp_millis("timestamp"), "offset": F.col("id"), "partition": F.lit(0)})
-    rows = silver.trips(bronze).join(faulty.select(F.col("id").alias("bronze_offset"), "fault"), "bronze_offset")
-    return rows.groupBy("fault").agg(F.count("*").alias("n_rows"), F.count(quality.row_failures(rows, quality.TRIPS)).alias("caught"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         block_chunks, block_slice_sha1, block_corruption, used_space, place_replicas, place_shards, last_heartbeat, dead_servers, chunk_count, catalogue_merge, alive_replicas, read_failover, rereplication_plan,
-        fragment_health, fragment_plan, part_names, rs_roundtrip, pow_sha3, synth_trips, synth_weather, synth_events, synth_faults,
+        fragment_health, fragment_plan, part_names, file_parts, rs_roundtrip, pow_sha3,
     )
 }
 
@@ -173,6 +157,7 @@ ORACLE_SQL = {
     "dead_servers": f"{_BEATS} SELECT server, max(beat_ms) AS last_ms, (SELECT max(beat_ms) FROM hb) - max(beat_ms) AS silent_ms FROM hb WHERE event_type = 'error' GROUP BY server HAVING (SELECT max(beat_ms) FROM hb) - max(beat_ms) > 180000",
     "chunk_count": f"WITH {_CHUNK} SELECT doc_id AS file, max(chunk) AS last_chunk FROM c GROUP BY doc_id",
     "catalogue_merge": f"""{_LOC} SELECT DISTINCT file_no, fragment, server FROM locations WHERE server <> 1 OR file_no % 5 <> 0 UNION SELECT file_no + 1000, fragment, server FROM locations WHERE server = 2""",
+    "file_parts": f"{_LOC} SELECT file_no, fragment, server FROM locations WHERE file_no = 7",
     "alive_replicas": f"{_LOC} SELECT file_no, count(DISTINCT server) AS replicas FROM locations WHERE server % 5 <> 2 GROUP BY file_no",
     "read_failover": f"""{_LOC}, r AS (SELECT DISTINCT file_no, server, (server + file_no) % 3 <> 0 AS ok FROM locations WHERE server < 9), f AS (SELECT *, min(server) FILTER (ok) OVER (PARTITION BY file_no) AS first_ok FROM r)
       SELECT file_no, max(first_ok) AS source, count(*) FILTER (NOT ok AND (first_ok IS NULL OR server < first_ok)) AS skipped FROM f GROUP BY file_no""",

@@ -125,11 +125,21 @@ def study_titles(spark, sf_dir):
     return parts.select("p_partkey", study.title(file).alias("title"), study.topic(F.col("p_name"), F.array("p_type")).alias("topic"), study.tidy(F.concat(F.lit("  "), F.col("p_type"), F.lit(" \t x "))).alias("tidied"))
 
 
+def study_parsed(spark, sf_dir):
+    """Quiz files of two questions each, made of parts and parsed: true or false, numbers and choices, with and without a marked answer."""
+    key = F.col("p_partkey")
+    first = F.when(key % 3 == 0, "True\nFalse\nCorrect answer:\nFalse, Not Selected\nTrue").when(key % 3 == 1, F.concat(F.lit("Correct answer:\n"), key)).otherwise("Correct answer:\nLow, Not Selected\n\tHigh ")
+    second = F.when(key % 2 == 0, "False\nTrue").otherwise("no answer")
+    lines = ["Results for question 1.", "1", "1 / 1 point", F.col("p_name"), "  ", first, "Results for question 2.", "2", "0 / 1 point", F.col("p_type"), F.col("p_name"), second]
+    text = F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
+    return study.parse(spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("file"), text.alias("text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         study_quizzes, study_stats, study_stats_one, study_session_results, study_answers, study_complete_session, study_delete_cascade, study_insert_returning,
-        study_update_explanations, study_match_prefix, study_match_phrase, study_fill_phrase, study_checked_answers, study_random_order, study_integrity, study_titles,
+        study_update_explanations, study_match_prefix, study_match_phrase, study_fill_phrase, study_checked_answers, study_random_order, study_integrity, study_titles, study_parsed,
     )
 }
 
@@ -173,6 +183,9 @@ ORACLE_SQL = {
       UNION ALL SELECT 'questions', 'no quiz_id', count(*) FROM questions WHERE quiz_id NOT IN (SELECT id FROM quizzes) UNION ALL SELECT 'study_sessions', 'no quiz_id', count(*) FROM study_sessions WHERE quiz_id NOT IN (SELECT id FROM quizzes)
       UNION ALL SELECT 'session_answers', 'no question_id', count(*) FROM session_answers WHERE question_id NOT IN (SELECT id FROM questions)
       UNION ALL SELECT 'session_answers', 'no session_id', count(*) FROM session_answers WHERE session_id NOT IN (SELECT id FROM study_sessions)""",
+    "study_parsed": """SELECT p_partkey AS file, CAST(1 AS INT) AS block, p_name AS question, CASE p_partkey % 3 WHEN 0 THEN 'True' WHEN 1 THEN CAST(p_partkey AS VARCHAR) ELSE 'High' END AS correct_answer,
+        CASE p_partkey % 3 WHEN 0 THEN 'boolean' WHEN 1 THEN 'numeric' ELSE 'choice' END AS question_type FROM part
+      UNION ALL SELECT p_partkey, CAST(2 AS INT), p_type || chr(10) || p_name, 'False', 'boolean' FROM part WHERE p_partkey % 2 = 0""",
     "study_titles": r"""SELECT p_partkey, array_to_string(list_transform(string_split(replace(p_name, '_', ' ') || ' lock', ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title,
       CASE WHEN contains(lower(p_name), 'thread') OR contains(lower(p_type), 'thread') THEN 'Threads & Concurrency' WHEN contains(lower(p_name), 'synchron') OR contains(lower(p_type), 'synchron') OR contains(lower(p_name), 'lock') THEN 'Synchronization'
            WHEN regexp_matches(lower(p_name), 'p2p|pastry|chord') THEN 'Distributed Systems' ELSE 'General' END AS topic,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 
 # fixed values: bands are half-open, lowest first; the last label has no upper edge
 DISTANCE = ((1.0, "short"), (5.0, "medium"), (20.0, "long"), (None, "very_long"))
@@ -53,6 +54,41 @@ class Rules:
 
 RULES = Rules()
 
+
+def settings_of(rules: Rules = RULES) -> dict[str, object]:
+    """Every threshold by its dotted name, such as ``weather.severe_wind``."""
+    out = {}
+    for name, value in asdict(rules).items():
+        out |= {f"{name}.{k}": v for k, v in value.items()} if isinstance(value, dict) else {name: value}
+    return out
+
+
+def unset(given: Mapping[str, str], rules: Rules = RULES) -> list[str]:
+    """Names of thresholds that ``given`` doesn't set."""
+    return sorted(settings_of(rules).keys() - given.keys())
+
+
+def with_settings(given: Mapping[str, str], rules: Rules = RULES) -> Rules:
+    """``rules`` with thresholds from texts by dotted name; lists are comma-separated. Unknown names and values of the wrong type raise."""
+    known = settings_of(rules)
+    lost = sorted(given.keys() - known.keys())
+    if lost:
+        raise ValueError(f"no such thresholds: {', '.join(lost)}")
+
+    def read(name: str, was: object) -> object:
+        if name not in given:
+            return was
+        if isinstance(was, tuple):
+            parts = tuple(type(was[0])(x.strip()) for x in given[name].split(","))
+            if isinstance(was[0], int) and len(parts) != len(was):
+                raise ValueError(f"{name} takes {len(was)} numbers")
+            return parts
+        return type(was)(given[name])
+
+    parts = {f.name: getattr(rules, f.name) for f in fields(rules)}
+    made = {k: replace(v, **{f.name: read(f"{k}.{f.name}", getattr(v, f.name)) for f in fields(v)}) if is_dataclass(v) else read(k, v) for k, v in parts.items()}
+    return Rules(**made)
+
 # fixed values: what producers call a valid record; wider than what the gate lets through
 ZONES = (1, 263)
 VALID_DISTANCE, VALID_PASSENGERS, VALID_TEMPERATURE, VALID_ATTENDANCE = (0.0, 100.0), (0, 10), (-50.0, 150.0), (0, 100000)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ FAULTS = {
     "NULL_FARE": 0.20, "NULL_PASSENGERS": 0.15, "INVALID_PICKUP_ZONE": 0.15, "INVALID_DROPOFF_ZONE": 0.15, "NEGATIVE_DISTANCE": 0.10, "ZERO_DISTANCE": 0.10,
     "EXCESSIVE_DISTANCE": 0.05, "NEGATIVE_FARE": 0.05, "ZERO_PASSENGERS": 0.03, "EXCESSIVE_PASSENGERS": 0.02,
 }
+WEATHER_FAULTS = ("EXTREME_COLD", "EXTREME_HEAT", "NEGATIVE_PRECIPITATION", "NEGATIVE_WIND", "WET_CLEAR_SKY")
+EVENT_FAULTS = ("NEGATIVE_CROWD", "VAST_CROWD", "ENDS_FIRST", "INVALID_ZONE")
 VENUES = [
     (186, "Madison Square Garden", "SPORTS", 15000, 25000), (186, "Madison Square Garden", "CONCERT", 18000, 20000), (132, "Yankee Stadium", "SPORTS", 45000, 55000),
     (125, "Citi Field", "SPORTS", 38000, 45000), (162, "Lincoln Center", "THEATER", 2000, 5000), (164, "Barclays Center", "SPORTS", 17000, 19000),
@@ -23,9 +28,49 @@ VENUES = [
 HOURS = {"CONCERT": 3, "SPORTS": 4, "CONFERENCE": 8, "FESTIVAL": 10, "THEATER": 3, "OTHER": 4}
 
 
+@dataclass(frozen=True)
+class StreamSettings:
+    """What a stream of generated events carries: events a second (none at 0), share of faults, number of events (None: no end)."""
+
+    topic: str
+    rate: float
+    faults: float = 0.0
+    total: int | None = None
+
+    def problems(self) -> list[str]:
+        checks = {"rate is below 0": self.rate >= 0, "share of faults is outside 0 to 1": 0 <= self.faults <= 1, "number of events is below 1": self.total is None or self.total >= 1}
+        return [text for text, holds in checks.items() if not holds]
+
+
+# fixed values: topics and events a second of the streams, by the prefix of their settings
+STREAMS = {"TRIP": StreamSettings("trips.yellow", 500.0), "WEATHER": StreamSettings("weather.updates", 10.0), "EVENT": StreamSettings("special.events", 0.1)}
+
+
+def stream_settings(given: Mapping[str, str]) -> dict[str, StreamSettings]:
+    """Streams as ``given`` (``os.environ``, say) sets them: ``<prefix>_TOPIC``, ``_RATE``, ``_ERROR_RATE`` and ``_TOTAL_EVENTS`` (-1: no end).
+
+    All that is wrong is told in one error: values that aren't numbers or out of range, and that no stream would run.
+    """
+    made, wrong = {}, []
+    for prefix, usual in STREAMS.items():
+        try:
+            total = int(given.get(f"{prefix}_TOTAL_EVENTS", -1))
+            rate, faults = (float(given.get(f"{prefix}_{name}", value)) for name, value in (("RATE", usual.rate), ("ERROR_RATE", usual.faults)))
+        except ValueError as e:
+            wrong.append(f"{prefix}: {e}")
+            continue
+        made[prefix] = StreamSettings(given.get(f"{prefix}_TOPIC", usual.topic), rate, faults, None if total == -1 else total)
+        wrong += [f"{prefix}: {text}" for text in made[prefix].problems()]
+    if not wrong and not any(s.rate for s in made.values()):
+        wrong.append("no stream has a rate above 0")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return made
+
+
 def draw(seed: int) -> Column:
-    """A number in [0, 1) for each ``id``, the same in every run and however rows are dealt out."""
-    return F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed)), 11) * F.lit(2.0**-53)
+    """A number in [0, 1) for each ``id``, the same in every run and however rows are dealt out: the first 52 bits of an MD5, so that other engines draw it too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "id", F.lit(seed))), 1, 13), 16, 10).cast("long") * F.lit(2.0**-52)
 
 
 def gauss(seed: int) -> Column:
@@ -125,7 +170,7 @@ def with_weather_faults(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
         "EXTREME_COLD": {"temperature": -100 - r * 50}, "EXTREME_HEAT": {"temperature": 150 + r * 50}, "NEGATIVE_PRECIPITATION": {"precipitation": -r * 5},
         "NEGATIVE_WIND": {"windSpeed": -r * 50}, "WET_CLEAR_SKY": {"condition": F.lit("CLEAR"), "precipitation": 2 + r * 3},
     }
-    return _broken(df, rate, dict.fromkeys(changes, 1.0), changes, seed)
+    return _broken(df, rate, dict.fromkeys(WEATHER_FAULTS, 1.0), changes, seed)
 
 
 def with_event_faults(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
@@ -134,4 +179,4 @@ def with_event_faults(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
         "NEGATIVE_CROWD": {"attendanceEstimate": -F.floor(r * 10000).cast("int")}, "VAST_CROWD": {"attendanceEstimate": (F.floor(r * 900000) + 100001).cast("int")},
         "ENDS_FIRST": {"endTime": F.col("startTime") - 3600000}, "INVALID_ZONE": {"locationId": _bad_zone(seed + 11)},
     }
-    return _broken(df, rate, dict.fromkeys(changes, 1.0), changes, seed)
+    return _broken(df, rate, dict.fromkeys(EVENT_FAULTS, 1.0), changes, seed)

@@ -18,6 +18,18 @@ def require_tables(spark: SparkSession, names: list[str]) -> None:
         raise ValueError(f"tables that a job reads are missing: {', '.join(lost)}")
 
 
+def as_view(df: DataFrame, table: str) -> str:
+    """Bind a frame, a stream too, to a view that SQL can read; its name is the table's with underscores for dots."""
+    name = table.replace(".", "_")
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def conformed(df: DataFrame, table: str) -> DataFrame:
+    """Rows of an older layout as the table is declared now: added columns are null, others cast, further ones left out."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].schema))
+
+
 def first_records(records: DataFrame, n: int = 10) -> DataFrame:
     """A few records, to look at what a topic holds. Nothing is made from them: schemas are declared."""
     return records.limit(n)
