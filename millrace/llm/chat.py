@@ -116,6 +116,7 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op7_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back of every conversation's examples; a row for each conv_id of ``conversations``, and one for the probe. Null texts are empty turns; one without assistant turns has its turns and no loss."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, TARGET, PROBE)], given.schema)
     return read_back(examples(given.unionByName(probe)))

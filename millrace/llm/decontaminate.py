@@ -187,6 +187,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark items in every document; a row for each row of ``documents``. Null and empty texts, of either table, have no words and no hits."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

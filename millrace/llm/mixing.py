@@ -157,6 +157,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; a row for each row of ``documents``, as ``mix`` says. Texts that are null or hold no word have size 0 and give nothing."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

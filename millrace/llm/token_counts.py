@@ -89,4 +89,5 @@ def token_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; a row for each row of ``documents``, repeated ones too. Null and empty texts have none; columns besides doc_id aren't read."""
     return token_counts(table(spark, sf_dir, "documents"))
