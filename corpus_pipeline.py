@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
 the columns of ``documents``; the last one adds what the mix takes of each.
+Null texts count as empty.  Rows that repeat are told apart by doc_id and text,
+those without a doc_id are no copies of others; an empty table stays empty, and
+further columns are carried, whatever their names.
 """
 
 from __future__ import annotations
