@@ -20,7 +20,7 @@ from millrace.llm.line_crf import chain, document_scores, fit, held_out, keep_go
 from millrace.llm.near_copies import keep_least
 from millrace.llm.simhash import keep_one, key_rows, near_duplicates, simhash
 from millrace.llm.syncmers import LONG, WINDOW, K, compared, fingerprints, with_next
-from millrace.llm.token_counts import count_tokens, parts_of, token_counts, vocabulary_path
+from millrace.llm.token_counts import PART_CHARS, count_tokens, parts_of, token_counts, vocabulary_path
 from millrace.llm.warc_zip import DATA, INDEX, Package, directory, read_package
 from pyspark.sql import functions as F
 
@@ -287,6 +287,16 @@ def test_parts_add_up():
     assert count_tokens(texts, vocabulary_path()).tolist() == [len(whole.encode(t, add_special_tokens=False)) for t in texts]
 
 
+@pytest.mark.parametrize("pool", [["日本語", "の", "文", "。", "、", "カナ"], ["wörd\n", "it's\n", "x\r\n", "\n\t\n"], ["if(a.b", ";", "'s", "'", ",", "c12", "!?", "<|endoftext|>", "}"]])
+def test_texts_without_spaces_are_cut_too(pool):
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(vocabulary_path()), random.Random(5)
+    texts = ["".join(rng.choice(pool) for _ in range(9000)) for _ in range(8)]
+    assert all("".join(parts_of(t)) == t and max(map(len, parts_of(t))) < 2 * PART_CHARS for t in texts)
+    assert count_tokens(texts, vocabulary_path()).tolist() == [len(whole.encode(t, add_special_tokens=False)) for t in texts]
+
+
 # ZIP packages
 
 

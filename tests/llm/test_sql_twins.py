@@ -120,6 +120,15 @@ def test_chat_reads_back(spark, rows):
     assert spark_rows(read_back(examples(without.unionByName(probe)))) == duck(OP7_SQL, conversations=without)
 
 
+def test_chat_and_archives_leave_other_columns_alone(spark):
+    given = spark.createDataFrame(conversation_rows(), "conv_id long, turn long, role string, text string")
+    more = given.withColumns({c: F.lit("x") for c in ("t", "ts", "i", "example", "formatted", "loss_start", "whole", "turns", "targets")})
+    assert spark_rows(read_back(examples(more))) == spark_rows(read_back(examples(given)))
+    pages = spark.createDataFrame([(1, "u", "x"), (2, None, "x"), (3, "v", None)], "page_id long, url string, html string")
+    more = pages.withColumns({c: F.lit("x") for c in ("path", "payload", "digest", "payload_digest", "record_type", "refers_to", "records", "package", "first")})
+    assert spark_rows(round_trip(more)) == spark_rows(round_trip(pages))
+
+
 def test_chat_examples_hold_the_turns_before_and_mask_one_reply(spark):
     given = spark.createDataFrame(conversation_rows(), "conv_id long, turn long, role string, text string")
     each = examples(given).select("*", read_turns().alias("turns")).where("conv_id = 1").orderBy("example").collect()
