@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_prefix_targets
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
+from .filter_audit import OP13_SQL, op13_filter_interactions
 from .html_text import op1_html_layout_text
 from .line_crf import op6_line_crf_quality
 from .mixing import OP2_SQL, op2_source_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc_zip_packages": op8_warc_zip_packages,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_secret_scan": OP5_SQL,
     "op7_chat_prefix_targets": OP7_SQL,
     "op8_warc_zip_packages": OP8_SQL,
+    "op13_filter_interactions": OP13_SQL,
 }
