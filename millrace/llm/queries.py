@@ -8,6 +8,7 @@ from .filter_audit import OP13_SQL, op13_filter_interactions
 from .html_text import op1_html_layout_text
 from .line_crf import op6_line_crf_quality
 from .mixing import OP2_SQL, op2_source_mixing
+from .periodic_runs import OP11_SQL, op11_periodic_runs
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op9_simhash_near_dedup
 from .syncmers import op4_closed_syncmers
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc_zip_packages": op8_warc_zip_packages,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_filter_interactions": op13_filter_interactions,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_secret_scan": OP5_SQL,
     "op7_chat_prefix_targets": OP7_SQL,
     "op8_warc_zip_packages": OP8_SQL,
+    "op11_periodic_runs": OP11_SQL,
     "op13_filter_interactions": OP13_SQL,
 }
