@@ -11,6 +11,7 @@ from .mixing import OP2_SQL, op2_source_mixing
 from .periodic_runs import OP11_SQL, op11_periodic_runs
 from .secrets import OP5_SQL, op5_secret_scan
 from .simhash import op9_simhash_near_dedup
+from .suffix_tree import op12_suffix_tree_scores
 from .syncmers import op4_closed_syncmers
 from .token_counts import op10_token_counts
 from .warc_zip import OP8_SQL, op8_warc_zip_packages
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_suffix_tree_scores": op12_suffix_tree_scores,
     "op13_filter_interactions": op13_filter_interactions,
 }
 
