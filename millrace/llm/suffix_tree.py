@@ -140,23 +140,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _after(keys: list[np.ndarray], ok: np.ndarray, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word follows a context that ``ok`` marks by its last place."""
-    follows = np.flatnonzero(ok[:-1] & (place[1:] > 0)) + 1
-    return keys[-1][follows - 1], word[follows]
+def _after(keys: np.ndarray, ok: np.ndarray, word: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts that ``ok`` marks by their last place, each with the word after it, where ``often`` marks that."""
+    follows = np.flatnonzero(ok[:-1] & often[1:]) + 1
+    return keys[follows - 1], word[follows]
 
 
-def pair_counts(texts: DataFrame, contexts: Bitmap, depth: tuple[int, int]) -> DataFrame:
+def pair_counts(texts: DataFrame, contexts: Bitmap, stored: Bitmap, depth: tuple[int, int]) -> DataFrame:
     """``(level, prefix, word, n)``: how often words follow contexts of ``depth[0]`` to ``depth[1]`` words.
 
-    ``contexts`` marks frequent contexts of ``depth[0]`` words.  A longer one
-    counts if each such part of it is marked: else it can't be frequent.
+    ``contexts`` marks frequent contexts of ``depth[0]`` words, ``stored``
+    sequences of as many that are seen often enough to be stored.  A longer
+    context counts if each such part of it is marked, and a word after it if the
+    last such part, with the word, is: else neither can be frequent.
     """
     sc = texts.sparkSession.sparkContext
-    sent = sc.broadcast(contexts)
+    sent = sc.broadcast((contexts, stored))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = sent.value
+        frequent, often = sent.value
         for batch in batches:
             for part in slices(batch, limit=4 << 20):
                 t = tokens_of(part.column("text"))
@@ -164,13 +166,14 @@ def pair_counts(texts: DataFrame, contexts: Bitmap, depth: tuple[int, int]) -> D
                 keys = [t.key]
                 for _ in range(depth[0] - 1):
                     keys.append(_longer(keys[-1], t.key))
-                marked = marks.has(keys[-1]) & (place >= depth[0] - 1)
+                marked = frequent.has(keys[-1]) & (place >= depth[0] - 1)
+                last = often.has(keys[-1]) & (place >= depth[0])
                 ok = marked
                 for level in range(depth[0], depth[1] + 1):
                     if level > depth[0]:
                         keys.append(_longer(keys[-1], t.key))
                         ok = np.concatenate(([False], ok[:-1])) & marked & (place >= level - 1)
-                    prefix, word = _after(keys, ok, t.key, place)
+                    prefix, word = _after(keys[-1], ok, t.key, last)
                     if not len(prefix):
                         continue
                     _, at, n = np.unique(joined(prefix, word), return_index=True, return_counts=True)
@@ -224,11 +227,13 @@ def grown(texts: DataFrame, settings: Settings = Settings()) -> Tree:
     grams = [root]
     contexts = [cut(root.where((F.col("n") >= s.context) & (F.col("key") != END)).select("key", "n", "suffix", F.lit(None).cast("long").alias("prefix")))]
     if s.depth >= 1:
-        counted = pair_counts(texts, bitmap(contexts[0], frequent + 1), (1, 1)).where(F.col("n") >= s.pair)
+        often = bitmap(words.where(F.col("n") >= s.pair), kinds)
+        counted = pair_counts(texts, bitmap(contexts[0], frequent + 1), often, (1, 1)).where(F.col("n") >= s.pair)
         grams.append(cut(_smoothed(counted, contexts[0], root, 1, s)))
     if s.depth >= 2:
         contexts.append(_contexts(grams[1], s))
-        counted = cut(pair_counts(texts, bitmap(contexts[1], contexts[1].count()), (2, s.depth)).where(F.col("n") >= s.pair))
+        often = bitmap(grams[1], grams[1].count())
+        counted = cut(pair_counts(texts, bitmap(contexts[1], contexts[1].count()), often, (2, s.depth)).where(F.col("n") >= s.pair))
         for level in range(2, s.depth + 1):
             grams.append(cut(_smoothed(counted.where(F.col("level") == level), contexts[level - 1], grams[level - 1], level, s)))
             if level < s.depth:
