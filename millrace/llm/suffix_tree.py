@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,7 +56,7 @@ class Settings:
     pair: int = 4
     prior: float = 8.0
     test: float = 16.0
-    head: int = 1 << 20  # sequences that are sent to all tasks
+    head: int = 1 << 18  # sequences that are sent to all tasks
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,18 @@ class Tree:
     settings: Settings
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Steps made in here drop their shuffle files once their result is written, instead of at some later time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def hash_long(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
     """XXH64 of 8 bytes each, as Spark's ``xxhash64`` has it for a bigint."""
     with np.errstate(over="ignore"):
@@ -218,8 +231,11 @@ def bitmap(keys: DataFrame, n: int) -> Bitmap:
 
 def grown(texts: DataFrame, settings: Settings = Settings()) -> Tree:
     """The tree of ``texts(text)``; a null text is an empty one, and a corpus without texts gives a tree that knows no word."""
-    s = settings
-    texts = texts.select(text_of().alias("text"))
+    with shuffles_freed(texts.sparkSession):
+        return _grown(texts.select(text_of().alias("text")), settings)
+
+
+def _grown(texts: DataFrame, s: Settings) -> Tree:
     words = cut(word_counts(texts))
     seen = words.where(F.col("key") != BEGIN)
     tokens, kinds, frequent = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") >= s.context)).first()
