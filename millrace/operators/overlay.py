@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder; a local one is made only if none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+from ..sources.shared import kept
+from .numbering import numbered
 
 
 def regular_edges(nodes: DataFrame, k: int, node: str = "node") -> DataFrame:
@@ -29,7 +22,7 @@ def regular_edges(nodes: DataFrame, k: int, node: str = "node") -> DataFrame:
     steps = [(d, n) for d in range(1, k // 2 + 1)]
     if k % 2:
         steps.append((n // 2, n // 2))  # each pair across once
-    placed = nodes.select(F.col(node).alias("id"), (F.row_number().over(Window.orderBy(node)) - 1).alias("at"))
+    placed = numbered(nodes.select(F.col(node).alias("id")), ["id"])
     links = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(most).alias("most")) for d, most in steps)) if steps else F.array().cast("array<struct<d:int,most:int>>")
     each = placed.select("id", "at", F.explode(links).alias("s")).where(F.col("at") < F.col("s.most")).select("id", ((F.col("at") + F.col("s.d")) % n).alias("to"))
     other = placed.select(F.col("id").alias("other"), F.col("at").alias("to"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 SCORE = "decimal(5,2)"
 SHORT = 16  # characters that longer texts and keys are joined on
 
@@ -101,8 +103,8 @@ def delete_quiz(quizzes: DataFrame, questions: DataFrame, sessions: DataFrame, a
 def inserted(table: DataFrame, rows: DataFrame, key: str = "id", order: str = "name") -> DataFrame:
     """``table`` with ``rows`` added under new keys, counted on from its largest."""
     top = table.agg(F.max(key)).first()[0] or 0
-    numbered = rows.withColumn(key, (F.row_number().over(Window.orderBy(order)) + F.lit(top)).cast(table.schema[key].dataType))
-    return table.unionByName(numbered, allowMissingColumns=True)
+    added = numbered(rows.drop(key), [order], key, first=top + 1)
+    return table.unionByName(added.withColumn(key, F.col(key).cast(table.schema[key].dataType)), allowMissingColumns=True)
 
 
 def updated(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:

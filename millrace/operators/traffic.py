@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import neighbours
+
 TOTAL = "TOTAL"
 # fixed values: queue sizes at which tasks are pushed and pulled, and the smallest move
 PUSH_ABOVE, PULL_BELOW, SMALLEST_MOVE = 2000, 100, 20
@@ -69,11 +71,5 @@ def balance_plan(queues: DataFrame) -> DataFrame:
 
 
 def ring(nodes: DataFrame, node: str = "node") -> DataFrame:
-    """Each node's successor and predecessor in order of id, around the end. Nodes of one ring, so one window."""
-    order = Window.orderBy(node)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return nodes.select(
-        node,
-        F.coalesce(F.lead(node).over(order), F.first(node).over(whole)).alias("successor"),
-        F.coalesce(F.lag(node).over(order), F.last(node).over(whole)).alias("predecessor"),
-    )
+    """Each node's successor and predecessor in order of id, around the end."""
+    return neighbours(nodes, node)

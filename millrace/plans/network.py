@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash16, hex_id, is_hex_id, ring_distance, shared_digits
 from ..operators import keyring, overlay, traffic
+from ..operators.numbering import numbered
 from ..sources.bindings import bound, ctes
 
 DEGREE, ODD_DEGREE = 8, 3
@@ -67,7 +67,7 @@ def random_peers(spark, sf_dir):
     """For each node another one, drawn by seed: a step of 1 to n - 1 around the ring of ids."""
     nodes = _nodes(spark, sf_dir)
     n = nodes.count()
-    placed = nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("at"))
+    placed = numbered(nodes, ["node"])
     drawn = placed.select("node", F.pmod(F.col("at") + 1 + F.pmod(F.conv(F.left(F.md5(F.concat_ws(":", "node", F.lit(11))), F.lit(12)), 16, 10).cast("long"), F.lit(max(1, n - 1))), F.lit(n)).alias("to"))
     return drawn.join(placed.select(F.col("node").alias("peer"), F.col("at").alias("to")), "to").select("node", "peer").where("node <> peer")
 
