@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept, stored
 
 MOST_VERDICTS = 20_000  # rows of a name or two and some constraints' names
 
@@ -62,6 +63,23 @@ def _metrics(constraints: list[Constraint]) -> list[Column]:
     return [c.metric().alias(f"_m{i}") for i, c in enumerate(constraints)]
 
 
+def observed(constraints: list[Constraint]) -> list[Column]:
+    """What to observe of rows while they are written: their number and each constraint's metric."""
+    return [F.count(F.lit(1)).alias("record_count"), *_metrics(constraints)]
+
+
+def judged(seen: dict, constraints: list[Constraint]) -> tuple[int, bool, str | None] | None:
+    """Rows seen, whether all constraints hold, and those that don't; None where there were no rows."""
+    if not seen.get("record_count"):
+        return None
+
+    def holds(c: Constraint, value: float | None) -> bool:
+        return value is not None and (value == 0 if c.kind == "complete" else value >= c.bound if c.kind == "min" else value <= c.bound)
+
+    failed = [c.name for i, c in enumerate(constraints) if not holds(c, seen[f"_m{i}"])]
+    return seen["record_count"], not failed, "; ".join(failed) or None
+
+
 def report(df: DataFrame, constraints: list[Constraint]) -> DataFrame:
     """``(constraint, metric, passed)``, a row for each constraint, from one scan."""
     lines = F.array(*(F.struct(F.lit(c.name).alias("constraint"), F.col(f"_m{i}").alias("metric"), c.holds(F.col(f"_m{i}")).alias("passed")) for i, c in enumerate(constraints)))
@@ -97,15 +115,17 @@ def gate(df: DataFrame, constraints: list[Constraint], mode: str = "batch") -> t
 
     In mode "batch" one bad row sends its whole batch away; in mode "row" only
     rows that break a constraint themselves go.  Quarantined rows get the reason.
-    A batch is judged by one aggregation over it, whose verdicts go back to the
-    rows: by broadcast, so that no row is shuffled, if they are counted to be at
-    most ``MOST_VERDICTS``, else by a join.  Rows without a batch are one batch.
+    What ``df`` computes is stored once; from there a batch is judged by one
+    aggregation over the columns that constraints name, whose verdicts go back to
+    the rows: by broadcast, so that no row is shuffled, if they are counted to be
+    at most ``MOST_VERDICTS``, else by a join.  Rows without a batch are one batch.
     """
     if mode == "row":
         judged = df.withColumn("failure_reason", row_failures(df, constraints))
     else:
-        found = verdicts(df, constraints).select(F.col("batch_id").alias("_batch"), F.col("failures").alias("failure_reason"))
-        found = F.broadcast(found) if df.select("batch_id").distinct().count() <= MOST_VERDICTS else found
+        df = stored(df)
+        found = kept(verdicts(df, constraints).select(F.col("batch_id").alias("_batch"), F.col("failures").alias("failure_reason")))
+        found = F.broadcast(found) if found.count() <= MOST_VERDICTS else found
         judged = df.join(found, df["batch_id"].eqNullSafe(found["_batch"])).drop("_batch")
     return judged.where("failure_reason is null").drop("failure_reason"), judged.where("failure_reason is not null")
 

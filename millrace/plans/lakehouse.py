@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from ..rules import RULES
 from ..schemas import TRIP
 from ..sources.bindings import AS_OF, bound, ctes, special_bronze, trips_bronze, weather_bronze
 from ..sources.files import decoded
+from ..sources.record_log import append_log, log_range
+from ..sources.shared import shared_dir
 
 CALENDAR = ("2024-01-01 00:00:00", "2024-02-01 00:00:00")
 TRIP_JOB = "trips-cleaned"
@@ -51,6 +56,25 @@ def bronze_metadata(spark, sf_dir):
     return without_zone(decoded(records, TRIP, _as_of()))
 
 
+LOG_RANGE = {"0": (10, 400), "1": (0, 37), "3": (100, 101)}  # first and last but one offset by partition; partition 2 is read to its end
+
+
+def log_offset_range(spark, sf_dir):
+    """Trips as a log of records in four partitions, read back by offsets."""
+    raw = trips_bronze(spark, sf_dir)
+    records = raw.select(
+        F.col("pickupLocationId").cast("string").cast("binary").alias("key"),
+        F.concat_ws(":", "partition", "offset").cast("binary").alias("value"),
+        F.lit("trips.yellow").alias("topic"),
+        F.timestamp_millis("timestamp").alias("timestamp"),
+    )
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    append_log(spark, records, path, by=F.col("key").cast("string").cast("int"))
+    start, end = (json.dumps({p: r[i] for p, r in LOG_RANGE.items()}) for i in (0, 1))
+    found = log_range(spark, path, start, end)
+    return without_zone(found.select("partition", "offset", "timestamp", *(F.col(c).cast("string").alias(c) for c in ("key", "value"))))
+
+
 def silver_trips(spark, sf_dir):
     return without_zone(_trips(spark, sf_dir))
 
@@ -181,7 +205,7 @@ def producer_stats(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bronze_metadata, silver_trips, silver_weather, silver_events, silver_trips_dedup, silver_weather_dedup, silver_events_dedup, zones_in_order, dq_trips, dq_weather, dq_events, gate_verdict, gate_accepted,
+        bronze_metadata, log_offset_range, silver_trips, silver_weather, silver_events, silver_trips_dedup, silver_weather_dedup, silver_events_dedup, zones_in_order, dq_trips, dq_weather, dq_events, gate_verdict, gate_accepted,
         gate_quarantined, gate_rows, dq_pass_rate, gold_trip_metrics, gold_latency_exact, gold_latency_approx, dim_time, dim_location, star_trip_metrics, producer_stats,
     )
 }
@@ -284,6 +308,10 @@ ORACLE_SQL = {
       SELECT CAST(pickup_location_id AS VARCHAR) AS kafka_key, 'trips.yellow' AS topic, bronze_partition AS "partition", bronze_offset AS "offset", make_timestamp(ts_ms * 1000) AS kafka_timestamp, ts_ms AS timestamp,
         pickup_location_id AS "pickupLocationId", dropoff_location_id AS "dropoffLocationId", trip_distance AS "tripDistance", fare_amount AS "fareAmount", passenger_count AS "passengerCount",
         {_NOW} AS ingestion_timestamp, CAST({_NOW} AS DATE) AS ingestion_date FROM trips_bronze""",
+    "log_offset_range": f"""WITH {ctes("trips_bronze")}, r AS (SELECT CAST(pickup_location_id AS VARCHAR) AS "key", bronze_partition || ':' || bronze_offset AS "value", make_timestamp(ts_ms * 1000) AS timestamp,
+        CAST(pickup_location_id % 4 AS INT) AS "partition" FROM trips_bronze),
+      n AS (SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY timestamp, "key", "value") - 1 AS "offset" FROM r)
+      SELECT * FROM n WHERE {" OR ".join(f'"partition" = {p} AND "offset" >= {a} AND "offset" < {b}' for p, (a, b) in LOG_RANGE.items())} OR "partition" = 2""",
     "silver_trips": f"{_TRIPS} SELECT * FROM st",
     "silver_weather": f"WITH {ctes('weather_bronze')}, {SILVER_WEATHER} SELECT * FROM sw",
     "silver_events": f"WITH {ctes('special_bronze')}, {SILVER_EVENTS} SELECT * FROM se",

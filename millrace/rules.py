@@ -47,6 +47,7 @@ class Rules:
     weather: WeatherRules = field(default_factory=WeatherRules)
     events: EventRules = field(default_factory=EventRules)
     rows_in_batch: int = 80
+    offsets_in_batch: int = 2500
     metric_window: str = "5 minutes"
     latency_window_seconds: int = 120
     latency_accuracy: int = 1000

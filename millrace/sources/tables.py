@@ -40,12 +40,6 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch_id}")
 
 
-def committed(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` ended: Spark then leaves its mark there."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
-
-
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 

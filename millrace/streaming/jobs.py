@@ -1,9 +1,9 @@
 """Streaming jobs of the three layers.
 
-Each is one spec: a source, a pure transformation, and a sink.  Batches are
-written under their own partition.  A batch that runs again replaces what it
-left unfinished, and leaves alone what it had committed: streams that read the
-table know files by name, and new names would be read as new rows.
+Each is one spec: a source, a pure transformation, and a sink.  Gated batches
+are written aside and published whole, by one rename: a batch that runs again
+replaces what it left unfinished, and leaves alone what was published.  Streams
+that read the table know files by name, and new names would be read as new rows.
 """
 
 from __future__ import annotations
@@ -12,19 +12,22 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gold, quality, silver
 from ..rules import RULES, Rules
-from ..schemas import TABLES
-from ..sources.files import record_stream
-from ..sources.tables import committed, overwrite
+from ..schemas import SPECIAL, TABLES, TRIP, WEATHER, set_up
+from ..sources.files import decoded, record_stream
+from ..sources.record_log import log_stream
+from ..sources.staged import ASIDE, batch_path, exists, publish, read_table, remove, stage
+from ..sources.tables import overwrite
 
 log = logging.getLogger(__name__)
 
+PAYLOADS = {"trips": TRIP, "weather": WEATHER, "events": SPECIAL}
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -58,7 +61,7 @@ def jobs(rules: Rules = RULES) -> dict[str, Job]:
         Job("weather-cleaned", "bronze/weather", "silver/weather_cleaned", bronze["weather"], _silver(lambda b: silver.weather(b, rules), silver.WEATHER_KEYS), "30 seconds", constraints=tuple(quality.WEATHER)),
         Job("events-cleaned", "bronze/events", "silver/events_cleaned", bronze["events"], _silver(lambda b: silver.events(b, rules), silver.EVENT_KEYS), "30 seconds", constraints=tuple(quality.EVENTS)),
         Job("trip-metrics-live", "silver/trips_cleaned", "gold/trip_metrics_live", TABLES["silver.trips_cleaned"].schema, _gold(lambda s: gold.trip_metrics(s, rules).withColumn("last_updated", F.current_timestamp())), "60 seconds"),
-        Job("pipeline-latency", "silver/trips_cleaned", "monitoring/pipeline_latency", TABLES["silver.trips_cleaned"].schema, _gold(lambda s: gold.latency(s, F.current_timestamp(), rules, exact=False)), "60 seconds"),
+        Job("pipeline-latency", "silver/trips_cleaned", "monitoring/pipeline_latency_metrics", TABLES["silver.trips_cleaned"].schema, _gold(lambda s: gold.latency(s, F.current_timestamp(), rules, exact=False)), "60 seconds"),
     ]
     return {j.name: j for j in made}
 
@@ -66,34 +69,40 @@ def jobs(rules: Rules = RULES) -> dict[str, Job]:
 def gated_sink(spark: SparkSession, root: str, job: Job) -> Callable[[DataFrame, int], None]:
     """Writes each batch to the target, or all of it to quarantine if a constraint fails; and a row of metrics.
 
-    A batch is judged by one aggregation over its cached rows.  If its metrics
-    can't be written that is logged; if its rows can't, the batch fails and runs
-    again.
+    A batch is computed once, while it is written beside the target; what its
+    constraints ask for is observed in that pass.  Then one rename publishes it.
+    A batch that runs again after that changes nothing, one that runs again
+    before it starts over.  If metrics can't be written that is logged; if rows
+    can't, the batch fails and runs again.
     """
     table, constraints = job.target.replace("/", "."), list(job.constraints)
+    spec, quarantine = TABLES[table], quality.quarantine_name(table).replace(".", "/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
+        done, away = batch_path(root, table, batch_id), f"{root}/{quarantine}/batch={batch_id}"
+        if exists(spark, done) or exists(spark, away):
+            return
+        seen = Observation()
+        staged = stage(spec.laid_out(batch).observe(seen, *quality.observed(constraints)), root, table, batch_id)
+        found = quality.judged(seen.get, constraints)
+        if found is None:  # an empty batch
+            remove(spark, staged)
+            return
         try:
-            verdict = quality.verdicts(rows, constraints).persist()
-            found = verdict.first()
-            if found is None:  # an empty batch
-                return
-            if found["passed"]:
-                done = f"{root}/{job.target}/batch={batch_id}"
-                if not committed(spark, done):
-                    rows.drop("batch_id").write.mode("overwrite").option("compression", "zstd").parquet(done)
-            else:
-                bad = quality.quarantined(rows.withColumn("failure_reason", F.lit(found["failures"])), F.current_timestamp())
-                bad.write.mode("overwrite").parquet(f"{root}/{quality.quarantine_name(table).replace('.', '/')}/batch={batch_id}")
-            try:
-                metrics = quality.metric_rows(verdict, table, job.name, F.current_timestamp())
-                metrics.write.mode("overwrite").parquet(f"{root}/monitoring/silver_quality_metrics/job={job.name}/batch={batch_id}")
-            except Exception:
-                log.exception("metrics of batch %s of %s were not written", batch_id, job.name)
-            verdict.unpersist()
-        finally:
-            rows.unpersist()
+            verdict = spark.createDataFrame([(batch_id, *found)], "batch_id long, record_count long, passed boolean, failures string")
+            metrics = quality.metric_rows(verdict, table, job.name, F.current_timestamp())
+            metrics.write.mode("overwrite").parquet(f"{root}/monitoring/silver_quality_metrics/job={job.name}/batch={batch_id}")
+        except Exception:
+            log.exception("metrics of batch %s of %s were not written", batch_id, job.name)
+        _, passed, failures = found
+        if passed:
+            publish(spark, staged, done)
+            return
+        rows = spark.read.schema(spec.schema).parquet(staged).withColumns({"batch_id": F.lit(batch_id).cast("long"), "failure_reason": F.lit(failures)})
+        aside = f"{root}/{quarantine}/{ASIDE}/batch={batch_id}"
+        quality.quarantined(rows, F.current_timestamp()).write.mode("overwrite").parquet(aside)
+        publish(spark, aside, away)
+        remove(spark, staged)
 
     return write
 
@@ -101,35 +110,78 @@ def gated_sink(spark: SparkSession, root: str, job: Job) -> Callable[[DataFrame,
 def start(spark: SparkSession, root: str, job: Job, once: bool = False) -> StreamingQuery:
     """Start a job; ``once`` works off what is there and ends."""
     source = record_stream(spark, f"{root}/{job.source}", job.schema, job.files_per_batch).select(*job.schema.fieldNames())
-    writer = job.transform(source).writeStream.queryName(job.name).option("checkpointLocation", f"{root}/checkpoints/{job.target}").outputMode("append")
+    writer = job.transform(source)
+    spec = TABLES[job.target.replace("/", ".")]
+    if not job.constraints:
+        writer = spec.laid_out(writer)
+    writer = writer.writeStream.queryName(job.name).option("checkpointLocation", f"{root}/checkpoints/{job.target}").outputMode("append")
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=job.every)
     if job.constraints:
         return writer.foreachBatch(gated_sink(spark, root, job)).start()
-    return writer.format("parquet").start(f"{root}/{job.target}")
+    return writer.partitionBy(spec.partition_column).format("parquet").start(f"{root}/{job.target}")
 
 
-def start_bronze(spark: SparkSession, root: str, name: str, records_schema: T.StructType, payload: T.StructType, once: bool = False) -> StreamingQuery:
-    """Broker records that arrive as files under ``records/<name>``, decoded and appended to bronze, in partitions of the hour."""
-    from ..sources.files import decoded
+def start_bronze(spark: SparkSession, root: str, name: str, payload: T.StructType | None = None, every: str = "5 seconds", rules: Rules = RULES) -> StreamingQuery:
+    """Records of the log ``records/<name>``, decoded and appended to bronze in its partitions, a bounded number for each batch."""
+    spec, payload = TABLES[f"bronze.{name}"], PAYLOADS[name] if payload is None else payload
+    records = log_stream(spark, f"{root}/records/{name}", f"{root}/checkpoints/bronze/{name}-positions", rules.offsets_in_batch)
+    writer = spec.laid_out(decoded(records, payload)).writeStream.queryName(f"bronze-{name}").option("checkpointLocation", f"{root}/checkpoints/bronze/{name}")
+    return writer.outputMode("append").trigger(processingTime=every).partitionBy(spec.partition_column).format("parquet").start(f"{root}/bronze/{name}")
 
-    spec = TABLES[f"bronze.{name}"]
-    rows = spec.laid_out(decoded(record_stream(spark, f"{root}/records/{name}", records_schema), payload))
-    writer = rows.writeStream.queryName(f"bronze-{name}").option("checkpointLocation", f"{root}/checkpoints/bronze/{name}").outputMode("append").partitionBy(spec.partition_column)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")
-    return writer.format("parquet").start(f"{root}/bronze/{name}")
 
-
-def load_dimensions(spark: SparkSession, root: str, start: str, end: str, rules: Rules = RULES) -> None:
-    """Both gold dimensions anew, in full: hours from ``start`` up to ``end``, and the zones of silver trips."""
+def load_time_dimension(spark: SparkSession, root: str, start: str, end: str, rules: Rules = RULES) -> None:
+    """Hours from ``start`` up to ``end``, anew and in full."""
     overwrite(gold.time_dimension(spark, start, end, rules).select(TABLES["gold.time_dim"].schema.fieldNames()), f"{root}/gold/time_dim")
-    trips = spark.read.parquet(f"{root}/silver/trips_cleaned")
+
+
+def load_location_dimension(spark: SparkSession, root: str) -> None:
+    """The zones of silver trips, anew and in full."""
+    trips = read_table(spark, root, "silver.trips_cleaned")
     overwrite(gold.location_dimension(trips).select(TABLES["gold.location_dim"].schema.fieldNames()), f"{root}/gold/location_dim")
 
 
-def run(spark: SparkSession, root: str, name: str, once: bool = False) -> None:
-    """Run one job by name until it ends."""
-    query = start(spark, root, jobs()[name], once)
+def load_dimensions(spark: SparkSession, root: str, start: str, end: str, rules: Rules = RULES) -> None:
+    load_time_dimension(spark, root, start, end, rules)
+    load_location_dimension(spark, root)
+
+
+LOADS = ("load-time-dim", "load-location-dim")
+
+
+def commands() -> list[str]:
+    """Everything that ``run`` knows: tables of a layer, bronze streams, silver and gold jobs, dimension loads."""
+    layers = sorted({name.split(".")[0] for name in TABLES})
+    return [*(f"set-up-{x}" for x in [*layers, "all"]), *PAYLOADS, *jobs(), *LOADS]
+
+
+def run(spark: SparkSession, root: str, name: str, once: bool = False, start_at: str | None = None, end_at: str | None = None) -> None:
+    """Run one command by name until it ends; ``once`` works off what is there.
+
+    Bounds of the calendar, for ``load-time-dim``, are ``start_at`` and
+    ``end_at``: without them the first of this month, less a year and plus two.
+    """
+    if name not in commands():
+        raise ValueError(f"{name} is none of {', '.join(commands())}")
+    if name.startswith("set-up-"):
+        layer = name.removeprefix("set-up-")
+        set_up(spark, None if layer == "all" else layer)
+    elif name == "load-time-dim":
+        month = spark.sql("SELECT date_trunc('month', current_date()) AS m").selectExpr("string(m - INTERVAL 1 YEAR) AS a", "string(m + INTERVAL 2 YEAR) AS b").first()
+        load_time_dimension(spark, root, start_at or month["a"], end_at or month["b"])
+    elif name == "load-location-dim":
+        load_location_dimension(spark, root)
+    elif name in PAYLOADS:
+        _ended(start_bronze(spark, root, name, every="0 seconds" if once else "5 seconds"), once)
+    else:
+        _ended(start(spark, root, jobs()[name], once), False)
+
+
+def _ended(query: StreamingQuery, drain: bool) -> None:
+    """Wait for a query; ``drain`` lets it work off what is there, in as many bounded batches as that takes, and stops it."""
     try:
-        query.awaitTermination()
+        if drain:
+            query.processAllAvailable()
+        else:
+            query.awaitTermination()
     finally:
         query.stop()
