@@ -46,8 +46,7 @@ def latency(silver: DataFrame, now: Column, rules: Rules = RULES, exact: bool =
     def percentile(p: float) -> Column:
         return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY lag)") if exact else F.percentile_approx("lag", p, rules.latency_accuracy)
 
-    measured = silver.select("timestamp", ((F.unix_timestamp(now) - F.unix_timestamp("timestamp")) * 1000).alias("lag"))
-    grouped = measured.groupBy(F.window("timestamp", f"{seconds} seconds").alias("w")).agg(
+    grouped = lags(silver, now).groupBy(F.window("timestamp", f"{seconds} seconds").alias("w")).agg(
         F.count("*").alias("events_processed"),
         *(_or_zero(percentile(p / 100)).cast("long").alias(f"latency_p{p}_ms") for p in (50, 95, 99)),
         _or_zero(F.min("lag")).alias("min_latency_ms"),
@@ -58,6 +57,36 @@ def latency(silver: DataFrame, now: Column, rules: Rules = RULES, exact: bool =
     return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events_processed", rate, *grouped.columns[2:])
 
 
+QUANTILES = (0.5, 0.95, 0.99)
+SKETCH_K, SKETCH_ERROR = 800, 0.01  # rank error of a KLL sketch of this k: under 0.6 % with 99 % confidence, 1 % is some 4.7 deviations
+
+
+def lags(silver: DataFrame, now: Column) -> DataFrame:
+    """``(timestamp, lag)``: latency in whole seconds, as milliseconds."""
+    return silver.select("timestamp", ((F.unix_timestamp(now) - F.unix_timestamp("timestamp")) * 1000).alias("lag"))
+
+
+def latency_sketches(measured: DataFrame, rules: Rules = RULES, k: int = SKETCH_K) -> DataFrame:
+    """``(window_start, events, sketch)``: quantiles of each window in a sketch of bounded size; windows of a stream as well."""
+    grouped = measured.groupBy(F.window("timestamp", f"{rules.latency_window_seconds} seconds").alias("w"))
+    return grouped.agg(F.count("*").alias("events"), F.expr(f"kll_sketch_agg_bigint(lag, {k})").alias("sketch")).select(F.col("w.start").alias("window_start"), "events", "sketch")
+
+
+def merged_sketches(sketches: DataFrame, unit: str) -> DataFrame:
+    """``(period, events, sketch)`` of longer periods from those of windows, without their values."""
+    return sketches.groupBy(F.date_trunc(unit, "window_start").alias("period")).agg(F.sum("events").alias("events"), F.expr("kll_merge_agg_bigint(sketch)").alias("sketch"))
+
+
+def rank_errors(measured: DataFrame, estimates: DataFrame, unit: str) -> DataFrame:
+    """How far each of ``estimates(period, name, p, estimate)`` is from its rank among the values: 0 where it is a quantile for p, else the distance."""
+    each = measured.select(F.date_trunc(unit, "timestamp").alias("period"), "lag").groupBy("period", "lag").agg(F.count("*").alias("n"))
+    placed = each.join(estimates, "period").groupBy("period", "name", "p").agg(
+        F.sum("n").alias("events"), F.sum(F.when(F.col("lag") < F.col("estimate"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("lag") <= F.col("estimate"), F.col("n")).otherwise(0)).alias("upto")
+    )
+    error = F.greatest(F.lit(0.0), F.col("below") / F.col("events") - F.col("p"), F.col("p") - F.col("upto") / F.col("events"))
+    return placed.select("period", "name", "p", "events", error.alias("error"))
+
+
 def time_dimension(spark: SparkSession, start: str, end: str, rules: Rules = RULES) -> DataFrame:
     """A row for each hour from ``start`` up to, not including, ``end``."""
     hours = spark.sql("SELECT explode(sequence(CAST(:a AS timestamp), CAST(:b AS timestamp) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour_timestamp", args={"a": start, "b": end})

@@ -16,7 +16,7 @@ from ..schemas import TRIP
 from ..sources.bindings import AS_OF, bound, ctes, special_bronze, trips_bronze, weather_bronze
 from ..sources.files import decoded
 from ..sources.record_log import append_log, log_range
-from ..sources.shared import shared_dir
+from ..sources.shared import kept, shared_dir
 
 CALENDAR = ("2024-01-01 00:00:00", "2024-02-01 00:00:00")
 TRIP_JOB = "trips-cleaned"
@@ -151,6 +151,21 @@ def gold_latency_approx(spark, sf_dir):
     return without_zone(gold.latency(_accepted(spark, sf_dir), _as_of(), exact=False))
 
 
+def latency_rank_errors(spark, sf_dir):
+    """Latency quantiles of hours and days, from merged sketches of windows and from one approximate aggregation: whether each lies within its stated rank error."""
+    measured = gold.lags(_accepted(spark, sf_dir), _as_of())
+    sketches = kept(gold.latency_sketches(measured))
+    ps = F.array(*map(F.lit, gold.QUANTILES))
+    parts = []
+    for unit in ("hour", "day"):
+        merged = gold.merged_sketches(sketches, unit).select("period", F.lit("sketch").alias("name"), F.expr(f"kll_sketch_get_quantile_bigint(sketch, array({', '.join(f'{p}D' for p in gold.QUANTILES)}))").alias("q"))
+        approx = measured.groupBy(F.date_trunc(unit, "timestamp").alias("period")).agg(F.percentile_approx("lag", list(gold.QUANTILES), R.RULES.latency_accuracy).alias("q")).select("period", F.lit("approx").alias("name"), "q")
+        both = merged.unionByName(approx).select("period", "name", F.explode(F.arrays_zip(ps.alias("p"), F.col("q").alias("estimate"))).alias("e")).select("period", "name", "e.*")
+        parts.append(gold.rank_errors(measured, both, unit).withColumn("unit", F.lit(unit)))
+    bound = F.when(F.col("name") == "sketch", gold.SKETCH_ERROR).otherwise(1 / R.RULES.latency_accuracy) + 1 / F.col("events")  # a rank is whole: one value more
+    return without_zone(parts[0].unionByName(parts[1]).select("unit", "period", "name", "p", "events", (F.col("error") <= bound).alias("within")))
+
+
 def dim_time(spark, sf_dir):
     return without_zone(gold.time_dimension(spark, *CALENDAR))
 
@@ -206,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bronze_metadata, log_offset_range, silver_trips, silver_weather, silver_events, silver_trips_dedup, silver_weather_dedup, silver_events_dedup, zones_in_order, dq_trips, dq_weather, dq_events, gate_verdict, gate_accepted,
-        gate_quarantined, gate_rows, dq_pass_rate, gold_trip_metrics, gold_latency_exact, gold_latency_approx, dim_time, dim_location, star_trip_metrics, producer_stats,
+        gate_quarantined, gate_rows, dq_pass_rate, gold_trip_metrics, gold_latency_exact, gold_latency_approx, latency_rank_errors, dim_time, dim_location, star_trip_metrics, producer_stats,
     )
 }
 QUERIES |= {
@@ -334,6 +349,8 @@ ORACLE_SQL = {
         f"CASE WHEN {c.column + (' IS NULL' if c.kind == 'complete' else (' < ' if c.kind == 'min' else ' > ') + str(c.bound))} THEN '{c.name}' END" for c in quality.TRIPS
     )}], lambda x: x IS NOT NULL), '; ') AS failure_reason FROM ut) SELECT failure_reason, count(*) AS n_rows FROM r WHERE failure_reason <> '' GROUP BY 1""",
     "dq_pass_rate": f"{_UNIQUE}, {VERDICTS} SELECT 'silver.trips_cleaned' AS table_name, count(*) AS batches, avg(CAST(len(failed) = 0 AS INT)) * 100 AS pass_rate FROM vd",
+    "latency_rank_errors": f"""{_GATED} SELECT unit, date_trunc(unit, timestamp) AS period, name, CAST(p AS DOUBLE) AS p, count(*) AS events, true AS within
+      FROM ac, unnest(['hour', 'day']) AS u(unit), unnest(['sketch', 'approx']) AS m(name), unnest([{", ".join(map(str, gold.QUANTILES))}]) AS q(p) GROUP BY ALL""",
     "gold_trip_metrics": f"{_GATED}, {METRICS} SELECT * FROM tm",
     "gold_latency_exact": f"""{_GATED}, lg AS (SELECT time_bucket(INTERVAL '2 minutes', timestamp) AS w, CAST(epoch({_NOW}) - floor(epoch(timestamp)) AS BIGINT) * 1000 AS lag FROM ac)
       SELECT w AS window_start, w + INTERVAL '2 minutes' AS window_end, count(*) AS events_processed, count(*) / CAST(120 AS DOUBLE) AS events_per_second, quantile_disc(lag, 0.5) AS latency_p50_ms,

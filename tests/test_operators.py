@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from millrace import plans
 from millrace.functions.keys import hash16, part_of
-from millrace.operators import blocks, erasure, keyring, overlay, study, traffic
+from millrace.operators import blocks, erasure, gold, keyring, overlay, study, traffic
 from millrace.sources.files import chunks, texts
 from pyspark.sql import functions as F
 
@@ -203,3 +203,17 @@ def test_code_is_set_off(spark):
 def test_part_names(spark):
     got = spark.createDataFrame([("a_chunk3_shard7",), ("a_chunk3",)], "n string").select(part_of(F.col("n")).alias("p")).collect()
     assert [tuple(r["p"]) for r in got] == [("a", 3, 7), ("a", 3, None)]
+
+
+def test_sketches_merge_to_longer_periods(spark):
+    measured = spark.range(40_000).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 2).alias("timestamp"), (F.col("id") * 7919 % 40_009 * 1000).alias("lag"))
+    windows = gold.latency_sketches(measured)
+    assert windows.agg(F.max("events"), F.max(F.length("sketch")) < 2000).first()[:] == (60, True)
+    day = gold.merged_sketches(windows, "day").where("events = 40000")
+    assert day.count() == 1
+    found = day.select(F.lit("x").alias("name"), "period", F.lit(0.95).alias("p"), F.expr("kll_sketch_get_quantile_bigint(sketch, 0.95D)").alias("estimate"))
+    assert gold.rank_errors(measured, found, "day").first()["error"] <= gold.SKETCH_ERROR
+    off = found.withColumn("estimate", F.col("estimate") + 4_000_000)
+    assert gold.rank_errors(measured, off, "day").first()["error"] > 0.04
+    same = measured.withColumn("lag", F.lit(5))
+    assert gold.rank_errors(same, found.withColumn("estimate", F.lit(5)), "day").first()["error"] == 0.0
