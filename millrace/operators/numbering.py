@@ -6,7 +6,9 @@ what lies in the ranges before is added to each row's place in its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
@@ -30,6 +32,20 @@ def numbered(df: DataFrame, order: list[str], name: str = "at", first: int = 0)
     return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << _IN_RANGE) - 1) + first).drop("_id", "_range", "_before")
 
 
+def running(df: DataFrame, order: str, name: str, fold: Callable[[Column | str], Column], value: Column) -> DataFrame:
+    """``df`` with ``fold`` (``F.sum``, ``F.max``) of ``value`` over all rows up to each, in ascending order of the distinct numbers ``order``.
+
+    Each range folds its own rows and adds what the ranges before make in all.
+    """
+    ranged = kept(df.withColumn("_value", value).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(fold("_value").alias("_total"))
+    before = totals.select("_range", fold("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = fold("_value").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    folded = ranged.withColumn("_own", own).join(F.broadcast(before), "_range")
+    both = F.col("_own") + F.coalesce("_before", F.lit(0)) if fold is F.sum else F.greatest("_own", "_before")
+    return folded.withColumn(name, both).drop("_value", "_range", "_own", "_before")
+
+
 def neighbours(df: DataFrame, key: str) -> DataFrame:
     """``(key, successor, predecessor)`` of each row in the order of distinct keys, around the end: numbers one apart are joined."""
     placed = kept(numbered(df.select(key), [key]))

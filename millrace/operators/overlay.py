@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .numbering import numbered
+from .numbering import numbered, running
 
 
 def regular_edges(nodes: DataFrame, k: int, node: str = "node") -> DataFrame:
@@ -61,6 +61,42 @@ def breadth_first(edges: DataFrame, start, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("the graph is deeper than the number of rounds allowed")
 
 
+def rooted(tree: DataFrame, root) -> DataFrame:
+    """``(node, depth, parent, first_hop)`` of every node that edges ``tree(a, b)`` of a forest join to ``root``, the root with nulls.
+
+    Each edge is walked both ways, around each node from one neighbour to the
+    next: one tour of the whole tree, whose places are found by doubling how far
+    each step looks ahead.  The first of an edge's two steps goes down.  A tree
+    takes as many rounds as its number of steps has binary digits, however deep
+    it is; neither a path nor a node's neighbours are ever brought together.
+    """
+    node = tree.schema["a"].dataType
+    steps = kept(numbered(both_ways(tree.select("a", "b")).distinct(), ["a", "b"], "id"))
+    n = steps.count()
+    alone = steps.sparkSession.range(1).select(F.lit(root).cast(node).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(node).alias("parent"), F.lit(None).cast(node).alias("first_hop"))
+    first = steps.groupBy("a").agg(F.min("id").alias("first"))
+    start = steps.where(F.col("a") == F.lit(root)).agg(F.min("id")).first()[0]
+    if start is None:
+        return alone
+    after = steps.select((F.col("id") - 1).alias("id"), F.col("a").alias("next_a"))
+    turned = steps.join(after, "id", "left").join(first, "a").select(F.col("a").alias("b"), F.col("b").alias("a"), F.when(F.col("next_a") == F.col("a"), F.col("id") + 1).otherwise(F.col("first")).alias("to"))
+    # where the tour would come back to its first step it ends
+    jump = steps.join(turned, ["a", "b"]).select("id", F.when(F.col("to") != start, F.col("to")).alias("to"))
+    jump = kept(jump.withColumn("left", F.col("to").isNotNull().cast("long")))
+    for _ in range(n.bit_length()):
+        ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("on"), F.col("left").alias("more"))
+        jump = kept(jump.join(ahead, "to", "left").select("id", F.col("on").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+    # steps of other trees go round without an end
+    toured = jump.where("to is null").join(steps, "id")
+    placed = kept(toured.select("a", "b", (-F.col("left")).alias("place")))
+    back = placed.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("place").alias("back"))
+    placed = placed.join(back, ["a", "b"]).select("a", "b", "place", (F.col("place") < F.col("back")).alias("down"))
+    deep = running(placed, "place", "depth", F.sum, F.when(F.col("down"), 1).otherwise(-1).cast("long"))
+    top = F.when(F.col("down") & (F.col("depth") == 1), F.struct("place", F.col("b").alias("hop")))
+    hops = running(deep, "place", "top", F.max, top)
+    return hops.where("down").select(F.col("b").alias("node"), F.col("depth").cast("int").alias("depth"), F.col("a").alias("parent"), F.col("top.hop").alias("first_hop")).unionByName(alone)
+
+
 def tree_walk(tree: DataFrame, root) -> DataFrame:
     """``(node, depth, parent, path)`` of a tree from ``root`` down; never back to a node's parent, so it ends on trees only."""
     return tree.sparkSession.sql(

@@ -103,7 +103,12 @@ def mst(spark, sf_dir):
 
 def mst_levels(spark, sf_dir):
     """The spanning tree in breadth-first order from node 1."""
-    return overlay.tree_walk(mst(spark, sf_dir), 1).select("node", "depth", "parent").orderBy("depth", "parent", "node")
+    return overlay.rooted(mst(spark, sf_dir), 1).select("node", "depth", "parent").orderBy("depth", "parent", "node")
+
+
+def mst_bfs(spark, sf_dir):
+    """Each node's depth and parent in the spanning tree, and the root's neighbour on the way to it."""
+    return overlay.rooted(mst(spark, sf_dir), 1)
 
 
 def relay_counts(spark, sf_dir):
@@ -144,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         traffic_rollup, load_share, conservation_check, recorded_vs_observed, balance_plan, ring_neighbours, random_peers, overlay_edges, overlay_edges_odd, overlay_degree, overlay_weights, overlay_connected,
-        overlay_bfs, mst, mst_levels, relay_counts, dht_hash16, dht_well_formed, dht_owner, dht_leaf_set, dht_routing_table, dht_next_hop,
+        overlay_bfs, mst, mst_levels, mst_bfs, relay_counts, dht_hash16, dht_well_formed, dht_owner, dht_leaf_set, dht_routing_table, dht_next_hop,
     )
 }
 
@@ -162,6 +167,13 @@ def _graph(k: int) -> str:
 _BFS = f"""{_graph(DEGREE)}, ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
   walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN ways ON a = node WHERE depth < (SELECT count(*) // 4 + 1 FROM p)),
   d AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
+# an edge is in the spanning tree if no way over smaller edges joins its ends
+_MST = f"""{_graph(DEGREE)}, o AS (SELECT *, row_number() OVER (ORDER BY w, a, b) AS r FROM e),
+  reach AS (SELECT r, a AS node FROM o UNION SELECT reach.r, CASE WHEN o.a = reach.node THEN o.b ELSE o.a END FROM reach JOIN o ON (o.a = reach.node OR o.b = reach.node) AND o.r < reach.r),
+  t AS (SELECT a, b, w FROM o ANTI JOIN reach ON o.r = reach.r AND o.b = reach.node),
+  tw AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t),
+  down AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, CAST(NULL AS BIGINT) AS first_hop
+    UNION ALL SELECT tw.b, depth + 1, node, coalesce(first_hop, tw.b) FROM down JOIN tw ON tw.a = node WHERE parent IS NULL OR tw.b <> parent)"""
 _HEX = "lower(lpad(printf('%x', {0}), 4, '0'))"
 _KEYS = """k AS (SELECT page_id, CAST(list_reduce(list_prepend(0, list_transform(range(1, length(url) + 1), lambda i: CAST(ord(substr(url, i, 1)) AS BIGINT))), lambda a, c: (a * 31 + c) % 65536) AS BIGINT) AS key16 FROM pages)"""
 _DHT = f"WITH {ctes('dht_nodes')}"
@@ -190,6 +202,9 @@ ORACLE_SQL = {
     "overlay_weights": f"{_graph(DEGREE)} SELECT min(w) AS min_w, max(w) AS max_w, count(*) AS links FROM e",
     "overlay_connected": f"{_BFS} SELECT (SELECT count(*) FROM p) AS nodes, count(*) AS reached, count(*) = (SELECT count(*) FROM p) AS connected FROM d",
     "overlay_bfs": f"{_BFS} SELECT d.node, CAST(d.depth AS INT) AS depth, min(u.node) AS parent FROM d LEFT JOIN ways ON ways.b = d.node LEFT JOIN d u ON u.node = ways.a AND u.depth = d.depth - 1 GROUP BY 1, 2",
+    "mst": f"{_MST} SELECT * FROM t",
+    "mst_levels": f"{_MST} SELECT node, depth, parent FROM down",
+    "mst_bfs": f"{_MST} SELECT * FROM down",
     "dht_hash16": f"WITH {_KEYS} SELECT page_id, key16, {_HEX.format('key16')} AS hex, true AS well_formed FROM k",
     "dht_well_formed": """WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE substr(p_type, 1, 1) END || lower(printf('%x', p_partkey % 70000 * 13)) AS given FROM part)
       SELECT *, regexp_full_match(given, '[0-9a-fA-F]{4}') AS well_formed FROM g""",
