@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import hash16, hex_id, is_hex_id, ring_distance, shared_digits
 from ..operators import keyring, overlay, traffic
 from ..operators.numbering import numbered
+from ..operators.repair import repaired
 from ..sources.bindings import bound, ctes
 
 DEGREE, ODD_DEGREE = 8, 3
@@ -84,6 +85,14 @@ def overlay_degree(spark, sf_dir):
     return overlay.degrees(_edges(spark, sf_dir))
 
 
+def overlay_repaired(spark, sf_dir):
+    """A graph that lost some of its links, brought back to one degree: every node's links, none twice."""
+    nodes, whole = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+    left = whole.where("(a * 31 + b) % 4 <> 0").select("a", "b")
+    found = repaired(nodes, left, DEGREE)
+    return overlay.degrees(found.where("a < b").distinct())
+
+
 def overlay_weights(spark, sf_dir):
     """Smallest and largest weight and number of links; one row, of an empty graph too."""
     return _edges(spark, sf_dir).agg(F.min("w").alias("min_w"), F.max("w").alias("max_w"), F.count("*").alias("links"))
@@ -148,7 +157,7 @@ def dht_next_hop(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        traffic_rollup, load_share, conservation_check, recorded_vs_observed, balance_plan, ring_neighbours, random_peers, overlay_edges, overlay_edges_odd, overlay_degree, overlay_weights, overlay_connected,
+        traffic_rollup, load_share, conservation_check, recorded_vs_observed, balance_plan, ring_neighbours, random_peers, overlay_edges, overlay_edges_odd, overlay_degree, overlay_repaired, overlay_weights, overlay_connected,
         overlay_bfs, mst, mst_levels, mst_bfs, relay_counts, dht_hash16, dht_well_formed, dht_owner, dht_leaf_set, dht_routing_table, dht_next_hop,
     )
 }
@@ -199,6 +208,7 @@ ORACLE_SQL = {
     "overlay_edges": f"{_graph(DEGREE)} SELECT * FROM e",
     "overlay_edges_odd": f"{_graph(ODD_DEGREE)} SELECT * FROM e",
     "overlay_degree": f"{_graph(DEGREE)} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node",
+    "overlay_repaired": f"SELECT s_suppkey AS node, CAST({DEGREE} AS BIGINT) AS degree FROM supplier",
     "overlay_weights": f"{_graph(DEGREE)} SELECT min(w) AS min_w, max(w) AS max_w, count(*) AS links FROM e",
     "overlay_connected": f"{_BFS} SELECT (SELECT count(*) FROM p) AS nodes, count(*) AS reached, count(*) = (SELECT count(*) FROM p) AS connected FROM d",
     "overlay_bfs": f"{_BFS} SELECT d.node, CAST(d.depth AS INT) AS depth, min(u.node) AS parent FROM d LEFT JOIN ways ON ways.b = d.node LEFT JOIN d u ON u.node = ways.a AND u.depth = d.depth - 1 GROUP BY 1, 2",
