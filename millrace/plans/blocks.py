@@ -15,9 +15,8 @@ LOST = 3
 
 def _chunks(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("length(text) > 0")
-    n = F.ceil(F.char_length("text") / CHARS).cast("int")
-    each = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), n)).alias("chunk"))
-    return each.select("doc_id", "chunk", F.substring("text", (F.col("chunk") - 1) * CHARS + 1, F.lit(CHARS)).alias("data"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))  # one walk through the text, and no row holds more than a piece
+    return docs.select("doc_id", F.posexplode(pieces).alias("chunk", "data")).select("doc_id", (F.col("chunk") + 1).alias("chunk"), "data")
 
 
 def _locations(spark, sf_dir):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.numbering import numbered
-from .shared import kept
+from .shared import kept, opened
 
 SCHEMA = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp"
 _ARROW = pa.schema([("key", pa.binary()), ("value", pa.binary()), ("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64()), ("timestamp", pa.timestamp("us", "UTC"))])
@@ -69,7 +69,7 @@ class Log:
         self.known: dict[str, Segment | None] = {}
 
     def open(self) -> tuple[pa.fs.FileSystem, str]:
-        return pa.fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (pa.fs.LocalFileSystem(), self.root)
+        return opened(self.root)
 
     def segments(self) -> dict[str, list[Segment]]:
         """Files by partition, in order."""

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from urllib.parse import quote
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system that a path or URI of Spark's is on, and the path there; for tasks, which have no session."""
+    if path.startswith("file:"):
+        path = re.sub("^file:/+", "/", path)
+    if "://" not in path:
+        return pyarrow.fs.LocalFileSystem(), path
+    return pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@?&=%"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where all tasks run in the driver's process a local one is made if none is named."""
     sc = spark.sparkContext
