@@ -82,13 +82,26 @@ def study_match_prefix(spark, sf_dir):
 
 def study_match_phrase(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return study.match_phrase(t["questions"].select("id", "question_text"), PHRASES)
+    return study.match_phrases(t["questions"].select("id", "question_text"), _phrases(spark))
+
+
+def _phrases(spark):
+    return spark.createDataFrame(PHRASES, "place long, phrase string, explanation string")
+
+
+def study_match_many_phrases(spark, sf_dir):
+    """Phrases out of every document, three of each, looked for in all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 40").select("doc_id", "text")
+    place = F.explode(F.array(*map(F.lit, range(3)))).alias("j")
+    at = F.expr("cast(1 + (doc_id * 37 + j * 101) % (length(text) - 14) as int)")
+    phrases = docs.select("doc_id", "text", place).select((F.col("doc_id") * 3 + F.col("j")).alias("place"), F.substring("text", at, F.lit(14)).alias("phrase"), F.concat_ws(":", F.lit("e"), "doc_id", "j").alias("explanation"))
+    return study.match_phrases(docs.withColumnRenamed("doc_id", "id"), phrases, "text").select("id", "explanation")
 
 
 def study_fill_phrase(spark, sf_dir):
     """Only questions that have no explanation yet are matched."""
     t = _t(spark, sf_dir)
-    return study.match_phrase(t["questions"].select("id", "question_text", F.when(F.col("id") % 3 == 0, "old").alias("explanation")), PHRASES)
+    return study.match_phrases(t["questions"].select("id", "question_text", F.when(F.col("id") % 3 == 0, "old").alias("explanation")), _phrases(spark))
 
 
 def study_checked_answers(spark, sf_dir):
@@ -139,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         study_quizzes, study_stats, study_stats_one, study_session_results, study_answers, study_complete_session, study_delete_cascade, study_insert_returning,
-        study_update_explanations, study_match_prefix, study_match_phrase, study_fill_phrase, study_checked_answers, study_random_order, study_integrity, study_titles, study_parsed,
+        study_update_explanations, study_match_prefix, study_match_phrase, study_match_many_phrases, study_fill_phrase, study_checked_answers, study_random_order, study_integrity, study_titles, study_parsed,
     )
 }
 
@@ -173,6 +186,9 @@ ORACLE_SQL = {
     "study_match_prefix": f"""{_ALL}, e AS (SELECT id AS place, left(question_text, CAST(9 + id % 14 AS INT)) AS key, 'e' || id AS explanation FROM questions WHERE id % 7 = 0)
       SELECT q.id, q.question_text, arg_min(e.explanation, e.place) AS explanation FROM questions q JOIN e ON starts_with(q.question_text, e.key) OR starts_with(e.key, q.question_text) GROUP BY 1, 2""",
     "study_match_phrase": f"{_ALL} SELECT id, question_text, {_PHRASE} AS explanation FROM questions WHERE {_PHRASE} IS NOT NULL",
+    "study_match_many_phrases": """WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE length(text) > 40),
+      p AS (SELECT doc_id * 3 + j AS place, lower(substr(text, CAST(1 + (doc_id * 37 + j * 101) % (length(text) - 14) AS INT), 14)) AS phrase, 'e:' || doc_id || ':' || j AS explanation FROM d, range(3) AS r(j))
+      SELECT doc_id AS id, arg_min(explanation, place) AS explanation FROM d JOIN p ON contains(t, phrase) GROUP BY doc_id""",
     "study_fill_phrase": f"{_ALL} SELECT id, question_text, {_PHRASE} AS explanation FROM questions WHERE id % 3 <> 0 AND {_PHRASE} IS NOT NULL",
     "study_checked_answers": f"""{_ALL}, g AS (SELECT id, correct_answer, CASE id % 3 WHEN 0 THEN '  ' || correct_answer || ' ' WHEN 1 THEN lower(correct_answer) ELSE correct_answer END AS given FROM questions)
       SELECT id, given, trim(given) = trim(correct_answer) AS is_right FROM g""",
