@@ -6,6 +6,11 @@ over the tree drops what isn't shown and writes the rest: blocks on lines of
 their own, paragraphs set off by a blank line, list items marked and indented,
 table cells lined up in columns.  Nothing that is shown is cut, however deep or
 wide; both steps take time in proportion to the page (and to the padding).
+
+What style sheets and style attributes say of display and visibility counts in
+the order of the cascade, for selectors of one tag, class or id; media queries
+are asked of a screen of 1280 by 800.  Scripts are taken to run, so noscript
+isn't shown.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from .textbytes import slices
 
 # fixed values: groups of HTML elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes".split())
+RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
 UNSEEN = frozenset("head script style template noscript title iframe canvas audio video noembed noframes datalist param colgroup annotation annotation-xml desc metadata defs symbol".split())
 TYPED = frozenset("text search email url tel number submit reset button date month week time datetime-local".split())  # kinds of input that show their value
@@ -38,14 +43,15 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt summary".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SCOPE = frozenset("td th caption table button html template".split())
 # what a start tag ends when it is open, and where the search for it stops
 ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
-    "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "li": ({"li"}, SCOPE | {"ul", "ol", "menu", "object"}), "dt": ({"dt", "dd"}, SCOPE | {"dl", "object"}), "dd": ({"dt", "dd"}, SCOPE | {"dl", "object"}), "option": ({"option"}, SCOPE | {"select", "datalist", "object"}),
+    "optgroup": ({"option", "optgroup"}, SCOPE | {"select", "object"}), "tr": ({"tr", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
-SCOPE = frozenset("td th caption table button html template".split())
+CLOSED_WHOLE = frozenset("template select datalist video audio canvas object button svg math".split())  # their end tags end all that is open in them
 TABLE_INNER = frozenset("table thead tbody tfoot tr".split())
 
 PADDING = 64  # characters of padding for each of text, beyond which a table's widest cells stick out of their columns
@@ -53,13 +59,15 @@ INDENT = 200  # list items and quotes nested deeper aren't indented further
 MOST_COLUMNS, MOST_ROWS = 1000, 65534  # fixed values: what HTML lets a cell span
 SPACE = re.compile(r"[ \t\n\f\r]+")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?", re.S)
 ENDS_OR_QUOTES = re.compile(r"[>\"']")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 USED_ATTRS = re.compile(r"hidden|style|open|class|id|span|start|value|type", re.I)
 BRACES = re.compile(r"[{};]")
-NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+SCREEN = {"width": 1280.0, "height": 800.0}  # CSS pixels of the screen that media queries are asked of
+FEATURE = re.compile(r"\(\s*(min|max)-(?:device-)?(width|height)\s*:\s*([\d.]+)\s*(px|r?em)?\s*\)|\(\s*(width|height)\s*([<>]=?)\s*([\d.]+)\s*(px|r?em)?\s*\)", re.I)
+NOT_SO = re.compile(r"\(\s*(?:orientation\s*:\s*portrait|prefers-color-scheme\s*:\s*dark|prefers-reduced-motion\s*:\s*reduce|hover\s*:\s*none|pointer\s*:\s*coarse)\s*\)", re.I)
 
 
 class Node:
@@ -223,7 +231,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                         stack.push(Node("tr", {}))
             if tag in VOID:
                 stack.nodes[-1].kids.append(Node(tag, attrs))
-            elif tag in RAW or tag in ESCAPABLE_RAW:
+            elif tag in RAW or tag in ESCAPABLE_RAW and not (tag == "title" and stack.last(("svg",))):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
                 inner = page[at : end.start()] if end else page[at:]
                 node = Node(tag, attrs)
@@ -243,6 +251,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 stack.nodes[-1].kids.append(Node("p", {}))
             elif tag in HEADINGS:
                 stack.close_to(HEADINGS, SCOPE)
+            elif tag in CLOSED_WHOLE:
+                stack.close_to((tag,), ())
             elif tag in BLOCKS:
                 stack.close_to((tag,), SCOPES_BUT.get(tag, SCOPE) if tag not in TABLE_INNER else {"table"} - {tag})
             else:
@@ -260,8 +270,7 @@ def rules(sheet: str) -> Iterator[tuple[str, str]]:
             head = sheet[at:place].strip()
             if head.startswith("@"):  # rules are nested in it
                 media = re.match(r"@media\b(.*)", head, re.I | re.S)
-                kinds = {k.strip().lower().removeprefix("only ").split(" ")[0] for k in media[1].split(",")} if media else set()
-                skipped.append(bool(kinds) and not any(k in ("all", "screen") or k.startswith("(") for k in kinds))
+                skipped.append(not any(map(_on_screen, media[1].split(","))) if media else bool(re.match(r"@supports\s+not\b|@media\b|@container\b", head, re.I)))
             else:
                 lead, open_at = head, place + 1
         elif kind == "}":
@@ -275,18 +284,62 @@ def rules(sheet: str) -> Iterator[tuple[str, str]]:
             at = place + 1
 
 
-def hidden_by(styles: list[str]) -> tuple[frozenset, frozenset]:
-    """Simple selectors (tag, .class, #id) that style sheets give no display, or no visibility."""
-    off, faint = set(), set()
+def _on_screen(query: str) -> bool:
+    """Whether one media query holds on ``SCREEN``; features other than size and the commonest preferences are taken to hold."""
+    query = query.strip().lower()
+    negated = query.startswith("not ")
+    query = query.removeprefix("not ").removeprefix("only ").strip()
+    kind = "all" if query.startswith("(") else re.split(r"[\s(]", query, maxsplit=1)[0]
+    holds = kind in ("all", "screen") and not NOT_SO.search(query)
+    for bound, side, n, unit, side2, sign, n2, unit2 in FEATURE.findall(query):
+        have, ask = SCREEN[side or side2], float(n or n2) * (16 if (unit or unit2) in ("em", "rem") else 1)
+        up = bound == "min" or sign in (">", ">=")
+        holds = holds and (have > ask if sign == ">" else have < ask if sign == "<" else have >= ask if up else have <= ask)
+    return holds != negated
+
+
+Declared = dict[str, tuple[bool, int, str]]  # by selector: important, order, value
+
+
+def declared(body: str) -> dict[str, tuple[bool, str]]:
+    """What declarations say of display and visibility: important or not, value; later ones win."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARED.findall(body):
+        name, new = name.lower(), (bool(important), value.lower())
+        if name not in out or new[0] >= out[name][0]:
+            out[name] = new
+    return out
+
+
+def styled(styles: list[str]) -> dict[str, Declared]:
+    """For display and visibility, what each simple selector (tag, .class, #id) last says; compound and nested selectors are not matched."""
+    out: dict[str, Declared] = {"display": {}, "visibility": {}}
+    order = 0
     for sheet in styles:
         for selectors, body in rules(sheet):
-            names = {s.strip().lower() for s in selectors.split(",")}
-            names = {n for n in names if re.fullmatch(r"[.#]?[\w-]+", n)}
-            if NO_DISPLAY.search(body):
-                off |= names
-            elif (v := VISIBILITY.search(body)) and v[1].lower() != "visible":
-                faint |= names
-    return frozenset(off), frozenset(faint)
+            said = declared(body)
+            if not said:
+                continue
+            order += 1
+            for s in selectors.lower().split(","):
+                if re.fullmatch(r"[.#]?[\w-]+", s := s.strip()):
+                    for name, (important, value) in said.items():
+                        new = (important, order, value)
+                        if new > out[name].get(s, (False, 0, "")):
+                            out[name][s] = new
+    return out
+
+
+def said_of(node: Node, name: str, known: Declared) -> str | None:
+    """The value that wins for an element: important ones, then inline, #id, .class and tag, then the later rule."""
+    best: tuple[bool, int, int, str] | None = None
+    if known:
+        a = node.attrs
+        named = [(0, node.tag), *((1, f".{c}") for c in a.get("class", "").lower().split()), (2, f"#{a['id'].lower()}" if "id" in a else "")]
+        best = max(((k[0], weight, k[1], k[2]) for weight, s in named if (k := known.get(s))), default=None)
+    if "style" in node.attrs and (inline := declared(node.attrs["style"]).get(name)) and (best is None or inline[0] >= best[0]):
+        return inline[1]
+    return best[3] if best else None
 
 
 class Page:
@@ -425,26 +478,23 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root, styles = parse(page)
-    off, faint = hidden_by(styles)
+    looks = styled(styles)
     frames, tables, lists = [Page()], [], []
 
     def shown(node: Node, parent: Node | None) -> bool:
         a = node.attrs
-        if node.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
+        if node.tag in UNSEEN:
             return False
         if parent is not None and parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary":
             return False
-        if "style" in a and NO_DISPLAY.search(a["style"]):
-            return False
-        return not off or not (node.tag in off or f"#{a.get('id', '').lower()}" in off or any(f".{c}" in off for c in a.get("class", "").lower().split()))
+        value = said_of(node, "display", looks["display"]) if a or looks["display"] else None
+        if value is not None:
+            return value != "none"
+        return not ("hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a)
 
     def visible(node: Node, was: bool) -> bool:
-        a = node.attrs
-        if "style" in a and (v := VISIBILITY.search(a["style"])):
-            return v[1].lower() == "visible"
-        if faint and (node.tag in faint or f"#{a.get('id', '').lower()}" in faint or any(f".{c}" in faint for c in a.get("class", "").lower().split())):
-            return False
-        return was
+        value = said_of(node, "visibility", looks["visibility"]) if node.attrs or looks["visibility"] else None
+        return was if value in (None, "inherit") else value in ("visible", "initial", "unset", "revert")
 
     def enter(node: Node) -> None:
         tag, out = node.tag, frames[-1]
