@@ -139,6 +139,11 @@ def quarantine_name(table: str) -> str:
     return table.replace(".silver.", ".quarantine.").replace("silver.", "quarantine.", 1 if table.startswith("silver.") else 0).replace("_cleaned", "_quarantined")
 
 
+def quarantined_to(table: Column) -> Column:
+    """``quarantine_name`` of a column of names."""
+    return F.replace(F.regexp_replace(table, r"(^|\.)silver\.", "$1quarantine."), F.lit("_cleaned"), F.lit("_quarantined"))
+
+
 def metric_rows(found: DataFrame, table: str, job: str, as_of: Column) -> DataFrame:
     """A monitoring row for each batch's verdict; a table's constraints are one check."""
     passed = F.col("passed")

@@ -265,6 +265,6 @@ def as_html(text: Column) -> Column:
     at = F.regexp_instr(safe, F.lit(CODE))
     described = F.trim(F.replace(F.substring(safe, F.lit(1), at - 1), F.lit("\n"), F.lit(" ")))
     code = F.regexp_replace(F.substring(safe, at, F.char_length(safe)), "^\n", "")
-    lead = F.when(described != "", F.concat(F.lit('<p class="mb-4">'), described, F.lit("</p>"))).otherwise("")
-    block = F.concat(lead, F.lit('<pre class="code-block"><code>'), code, F.lit("</code></pre>"))
+    lead = F.when(described != "", F.concat(F.lit("<p>"), described, F.lit("</p>"))).otherwise("")
+    block = F.concat(lead, F.lit("<pre><code>"), code, F.lit("</code></pre>"))
     return F.coalesce(F.when(looks_like_code(text), block).otherwise(F.replace(safe, F.lit("\n"), F.lit("<br>"))), F.lit(""))

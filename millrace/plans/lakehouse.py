@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.columns import flag, without_zone
 from ..operators import gold, quality, silver
+from ..operators.numbering import numbered
 from ..rules import RULES
 from ..schemas import TRIP
 from ..sources.bindings import AS_OF, bound, ctes, special_bronze, trips_bronze, weather_bronze
@@ -101,7 +102,13 @@ def silver_events_dedup(spark, sf_dir):
 
 def zones_in_order(spark, sf_dir):
     """The zones of all trips, sorted as a whole."""
-    return gold.location_dimension(_trips(spark, sf_dir)).orderBy("location_id")
+    return numbered(gold.location_dimension(_trips(spark, sf_dir)), ["location_id"], "place", first=1).orderBy("place")
+
+
+def quarantine_names(spark, sf_dir):
+    """Where rows of a table go that the gate turns away; one table for each nation."""
+    name = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "lake.").otherwise(""), F.lit("silver."), F.lower("n_name"), F.lit("_cleaned"))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(name.alias("table_name"), quality.quarantined_to(name).alias("quarantine"))
 
 
 def dq_trips(spark, sf_dir):
@@ -220,7 +227,7 @@ def producer_stats(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bronze_metadata, log_offset_range, silver_trips, silver_weather, silver_events, silver_trips_dedup, silver_weather_dedup, silver_events_dedup, zones_in_order, dq_trips, dq_weather, dq_events, gate_verdict, gate_accepted,
+        bronze_metadata, log_offset_range, silver_trips, silver_weather, silver_events, silver_trips_dedup, silver_weather_dedup, silver_events_dedup, zones_in_order, quarantine_names, dq_trips, dq_weather, dq_events, gate_verdict, gate_accepted,
         gate_quarantined, gate_rows, dq_pass_rate, gold_trip_metrics, gold_latency_exact, gold_latency_approx, latency_rank_errors, dim_time, dim_location, star_trip_metrics, producer_stats,
     )
 }
@@ -335,8 +342,10 @@ ORACLE_SQL = {
     "dq_trips": f"{_TRIPS} {_report('st', quality.TRIPS)}",
     "dq_weather": f"WITH {ctes('weather_bronze')}, {SILVER_WEATHER} {_report('sw', quality.WEATHER)}",
     "silver_events_dedup": f"WITH {ctes('special_bronze')}, {SILVER_EVENTS} SELECT * FROM se QUALIFY row_number() OVER (PARTITION BY timestamp, location_id, event_type, start_time ORDER BY bronze_offset, bronze_partition) = 1",
-    "zones_in_order": f"""{_TRIPS} SELECT DISTINCT location_id, 'Zone_' || location_id AS zone_name, 'Unknown' AS borough, 'Unknown' AS service_zone
-      FROM (SELECT pickup_location_id AS location_id FROM st UNION ALL SELECT dropoff_location_id FROM st) ORDER BY location_id""",
+    "quarantine_names": """SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'lake.' ELSE '' END || 'silver.' || lower(n_name) || '_cleaned' AS table_name,
+      CASE WHEN n_nationkey % 2 = 0 THEN 'lake.' ELSE '' END || 'quarantine.' || lower(n_name) || '_quarantined' AS quarantine FROM nation""",
+    "zones_in_order": f"""{_TRIPS} SELECT *, row_number() OVER (ORDER BY location_id) AS place FROM (SELECT DISTINCT location_id, 'Zone_' || location_id AS zone_name, 'Unknown' AS borough, 'Unknown' AS service_zone
+      FROM (SELECT pickup_location_id AS location_id FROM st UNION ALL SELECT dropoff_location_id FROM st)) ORDER BY location_id""",
     "dq_events": f"WITH {ctes('special_bronze')}, {SILVER_EVENTS} {_report('se', quality.EVENTS)}",
     "gate_verdict": f"""{_UNIQUE}, {VERDICTS}
       SELECT {_NOW} AS timestamp, 'silver.trips_cleaned' AS table_name, '{TRIP_JOB}' AS job_name, batch_id, record_count, CASE WHEN len(failed) = 0 THEN 'Success' ELSE 'Error' END AS status,

@@ -104,6 +104,13 @@ def study_fill_phrase(spark, sf_dir):
     return study.match_phrases(t["questions"].select("id", "question_text", F.when(F.col("id") % 3 == 0, "old").alias("explanation")), _phrases(spark))
 
 
+def study_code_marked(spark, sf_dir):
+    """Questions as pages show them: escaped, code in every third set off from what is asked."""
+    name = F.concat(F.col("p_name"), F.lit(" <b>"))
+    given = F.when(F.col("p_partkey") % 3 == 0, F.concat(name, F.lit("\nclass A {\n    int x = 'y';\n}"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('x & "y"\n'), name))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", study.as_html(given).alias("page"))
+
+
 def study_checked_answers(spark, sf_dir):
     """Typed answers, with blanks around some and other letter case in others, against the right ones."""
     t = _t(spark, sf_dir)
@@ -152,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         study_quizzes, study_stats, study_stats_one, study_session_results, study_answers, study_complete_session, study_delete_cascade, study_insert_returning,
-        study_update_explanations, study_match_prefix, study_match_phrase, study_match_many_phrases, study_fill_phrase, study_checked_answers, study_random_order, study_integrity, study_titles, study_parsed,
+        study_update_explanations, study_match_prefix, study_match_phrase, study_match_many_phrases, study_fill_phrase, study_code_marked, study_checked_answers, study_random_order, study_integrity, study_titles, study_parsed,
     )
 }
 
@@ -190,6 +197,8 @@ ORACLE_SQL = {
       p AS (SELECT doc_id * 3 + j AS place, lower(substr(text, CAST(1 + (doc_id * 37 + j * 101) % (length(text) - 14) AS INT), 14)) AS phrase, 'e:' || doc_id || ':' || j AS explanation FROM d, range(3) AS r(j))
       SELECT doc_id AS id, arg_min(explanation, place) AS explanation FROM d JOIN p ON contains(t, phrase) GROUP BY doc_id""",
     "study_fill_phrase": f"{_ALL} SELECT id, question_text, {_PHRASE} AS explanation FROM questions WHERE id % 3 <> 0 AND {_PHRASE} IS NOT NULL",
+    "study_code_marked": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '<p>' || p_name || ' &lt;b&gt;</p><pre><code>class A {' || chr(10) || '    int x = &#39;y&#39;;' || chr(10) || '}</code></pre>'
+      WHEN 1 THEN 'x &amp; &#34;y&#34;<br>' || p_name || ' &lt;b&gt;' ELSE '' END AS page FROM part""",
     "study_checked_answers": f"""{_ALL}, g AS (SELECT id, correct_answer, CASE id % 3 WHEN 0 THEN '  ' || correct_answer || ' ' WHEN 1 THEN lower(correct_answer) ELSE correct_answer END AS given FROM questions)
       SELECT id, given, trim(given) = trim(correct_answer) AS is_right FROM g""",
     "study_random_order": f"{_ALL} SELECT id, quiz_id, CAST(row_number() OVER (PARTITION BY quiz_id ORDER BY md5(id || ':17'), id) AS INT) AS place FROM questions",

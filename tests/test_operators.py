@@ -197,7 +197,7 @@ def test_quiz_files(spark, tmp_path):
 def test_code_is_set_off(spark):
     rows = ["a < b\nc", "What prints?\nclass A {\n    int x;\n}", None]
     got = spark.createDataFrame([(t,) for t in rows], "t string").select(study.as_html(F.col("t")).alias("h")).collect()
-    assert [r["h"] for r in got] == ["a &lt; b<br>c", '<p class="mb-4">What prints?</p><pre class="code-block"><code>class A {\n    int x;\n}</code></pre>', ""]
+    assert [r["h"] for r in got] == ["a &lt; b<br>c", '<p>What prints?</p><pre><code>class A {\n    int x;\n}</code></pre>', ""]
 
 
 def test_part_names(spark):
