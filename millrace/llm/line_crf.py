@@ -242,7 +242,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document; a row for each row of ``documents``, repeated ones too. Null and empty texts are scored as texts without lines; without labels to learn from every score is 0.5."""
+    """Quality of every document; a row for each row of ``documents``, repeated ones too. Null and empty texts are scored as one empty line; without labels to learn from every score is 0.5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scored(docs, train(docs, table(spark, sf_dir, "labels")), out="score")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_AT).cast("int").alias("predicted"))
