@@ -1,22 +1,26 @@
 """Secret scans with corpus-wide ownership of what they find.
 
 Regular expressions give candidates in each text: the base kinds (assigned
-values, access keys, long hex runs) and, beside them, tokens of mixed letters
-and digits.  The hash of each candidate's value is counted over the whole
+values, access keys, long hex runs) and, beside them, web tokens, base64 keys
+and tokens of mixed letters and digits.  The hash of each candidate's value is counted over the whole
 corpus by distinct repository and owner.  A value that several owners hold, or
 many repositories of one owner, is a copied example; one that a few
 repositories of a single owner hold looks live.  Base spans are kept either way;
-of mixed tokens only live-looking ones are added.
+of the added kinds only live-looking ones are.
 
 Where no column names repositories, each distinct whole text is one, and belongs
 to the least of its owners: so copies of a document raise neither count.
 
 DataFrame expressions only.  A kind's positions come from the lengths of what a
-split on its pattern leaves between its matches.
+split on its pattern leaves between its matches, as running sums, so a text of
+very many matches takes hardly longer than their number says.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,52 +34,75 @@ KINDS = {
 }
 # a run that holds fewer characters than its kind asks for can't match any other way, so the length may go into the pattern
 PATTERNS = {"assign": KINDS["assign"][0], "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
-MIXED = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[a-z])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9+/_=.-])"
-_ALL_THREE = "(?={0}*[0-9])(?={0}*[a-z])(?={0}*[A-Z])"
-# for masking: bounded by characters outside the token's own alphabet only, so '=', '.', '/' and '+' beside it don't hide it
-WIDE = "|".join(
-    (
-        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",  # JWT
-        r"(?<![A-Za-z0-9+/])" + _ALL_THREE.format("[A-Za-z0-9+/]") + r"(?=[A-Za-z0-9+/]*[A-Za-z0-9]{16})[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/_-])",  # base64
-        r"(?<![A-Za-z0-9_-])" + _ALL_THREE.format("[A-Za-z0-9_-]") + r"[A-Za-z0-9_-]{24,}",
-    )
-)
+# what the method adds: a pattern of maximal runs, and what a match has to hold besides
+_ALL_THREE = ("[0-9]", "[a-z]", "[A-Z]")
+ADDED = {
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ()),
+    "base64": (r"[A-Za-z0-9+/]{24,}={0,2}", (*_ALL_THREE, "[+/=]", "[A-Za-z0-9]{16}")),
+    "mixed": (r"[A-Za-z0-9_-]{24,}", _ALL_THREE),
+}
+NAMES = [*KINDS, *ADDED]
 LIVE_OWNERS, LIVE_REPOS = 1, 4  # a value that more of either hold is a copied example
 MASK = "[SECRET]"
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _spans(text: str, kind: int, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """All leftmost non-overlapping matches of one pattern, in code points, those with a short value dropped."""
-    quoted = "r'" + pattern.replace("'", r"\x27") + "'"
-    value = f"regexp_extract(hits[i], {quoted}, {group})" if group else "hits[i]"
-    return F.expr(
-        f"""
-        CASE WHEN {text} RLIKE {quoted} THEN
-          filter(
-            transform(array(regexp_extract_all({text}, {quoted}, 0)), hits ->
-              transform(array(aggregate(
-                  zip_with(slice(split({text}, {quoted}, -1), 1, size(hits)), hits, (gap, m) -> named_struct('gap', char_length(gap), 'len', char_length(m))),
-                  named_struct('at', 0, 'starts', cast(array() as array<int>)),
-                  (acc, x) -> named_struct('at', acc.at + x.gap + x.len, 'starts', concat(acc.starts, array(acc.at + x.gap))),
-                  acc -> acc.starts)), starts ->
-                transform(sequence(0, size(hits) - 1), i ->
-                  named_struct('start', starts[i], 'kind', {kind}, 'end', starts[i] + char_length(hits[i]), 'value', {value})))[0])[0],
-            x -> char_length(x.value) >= {least})
-        ELSE cast(array() as {SPAN}) END
-        """
-    )
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of an array of positive integers, in as many steps as its size has bits."""
+
+    def step(x: Column, k: Column) -> Column:
+        by = F.call_function("shiftleft", F.lit(1), k)
+        return F.zip_with(x, F.concat(F.array_repeat(F.lit(0), by), F.slice(x, F.lit(1), F.size(x) - by)), merge)
+
+    def scanned(v: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.length(F.bin(F.size(v) - 1)) - 1)
+        return F.when(F.size(v) < 2, v).otherwise(F.aggregate(steps, v, step))
+
+    return once(values, scanned)
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _no_spans() -> Column:
+    return F.expr(f"cast(array() as {SPAN})")
+
+
+def _spans(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0, holds: tuple[str, ...] = ()) -> Column:
+    """All leftmost non-overlapping matches of one pattern, in code points; those with a short value, or without what they should hold, are dropped."""
+
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        ends = running(F.zip_with(gaps, hits, lambda gap, hit: F.char_length(gap) + F.char_length(hit)), lambda a, b: a + b)
+        value = (lambda hit: F.regexp_extract(hit, pattern, group)) if group else (lambda hit: hit)
+        return F.zip_with(ends, hits, lambda end, hit: F.struct((end - F.char_length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value(hit).alias("value")))
 
+    def good(span: Column) -> Column:
+        return reduce(lambda a, b: a & b, (span["value"].rlike(h) for h in holds), F.char_length(span["value"]) >= least)
 
-def candidates(docs: DataFrame, keys: list[str], text: str = "text", wide: bool = False) -> DataFrame:
-    """``keys`` with ``base`` and ``mixed`` spans in place of the text; mixed ones that touch a base span are left out, unless they are ``wide``."""
-    found = docs.select(*keys, F.col(text).alias("_t"))
-    names = list(KINDS)
-    kinds = [_spans("_t", i, PATTERNS[k], KINDS[k][2], KINDS[k][1]) for i, k in enumerate(names)]
-    found = found.select(*keys, *(c.alias(k) for c, k in zip(kinds, names, strict=True)), _spans("_t", len(names), WIDE if wide else MIXED).alias("mixed"))
-    apart = F.col("mixed") if wide else F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("base", F.array_sort(F.concat(*names))).withColumn("mixed", apart).select(*keys, *names, "base", "mixed")
+    return F.when(text.rlike(pattern), F.filter(once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), good)).otherwise(_no_spans())
+
+
+def _not_within(spans: Column) -> Column:
+    """Of ``spans`` of all kinds, by start and then kind, those of the added kinds that don't lie within an earlier one."""
+    return once(running(F.transform(spans, lambda s: s["end"]), _larger), lambda reached: F.filter(spans, lambda s, i: (s["kind"] >= len(KINDS)) & ((i == 0) | (F.get(reached, i - 1) < s["end"]))))
+
+
+def candidates(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` with spans in place of the text: those of each base kind, ``base`` (all of them) and ``added``; an added one within any other span is left out."""
+    kinds = [_spans(F.col("_t"), i, PATTERNS[k], KINDS[k][2], KINDS[k][1]) for i, k in enumerate(KINDS)]
+    kinds += [_spans(F.col("_t"), i, pattern, holds=holds) for i, (pattern, holds) in enumerate(ADDED.values(), len(KINDS))]
+    found = docs.select(*keys, F.col(text).alias("_t")).select(*keys, *(c.alias(k) for c, k in zip(kinds, NAMES, strict=True)))
+    some = F.size(F.concat(*ADDED)) > 0
+    added = F.when(some, once(F.sort_array(F.concat(*NAMES)), _not_within)).otherwise(_no_spans())
+    return found.select(*keys, *KINDS, F.sort_array(F.concat(*KINDS)).alias("base"), added.alias("added"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -94,11 +121,11 @@ def text_owners(found: DataFrame) -> DataFrame:
 
 
 def listed(spans: Column) -> Column:
-    names = F.array(*(F.lit(k) for k in [*KINDS, "mixed"]))
+    names = F.array(*(F.lit(k) for k in NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str | None = None, text: str = "text", wide: bool = False) -> DataFrame:
+def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str | None = None, text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: ``keys``, n_assign, n_access, n_hex, base, spans, held, n_live, n_copied.
 
     ``base`` and ``spans`` are arrays of (start, kind, end, value), by start and
@@ -109,21 +136,19 @@ def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str | No
     ``repo`` names a column of repositories; None takes distinct texts for them.
     Values are joined to their counts by broadcast if there are few, else as
     plain columns, so that Spark may split the rows of a value that many share.
-    ``wide`` takes mixed tokens by ``WIDE``, as masking does; without it they
-    are those of ``OP5_SQL``.
     """
     held_by = F.col(repo) if repo else F.sha1(text_of(text))
     rows = with_row_key(docs.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(owner).alias("_owner"), held_by.alias("_repo"), text_of(text).alias("_text")))
     kept = [f"_k{i}" for i in range(len(keys))]
-    found = cut(candidates(rows, ["_row", *kept, "_owner", "_repo"], "_text", wide))
-    each = found.select("_row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode(F.concat("base", "mixed")).alias("span"))
+    found = cut(candidates(rows, ["_row", *kept, "_owner", "_repo"], "_text"))
+    each = found.select("_row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode(F.concat("base", "added")).alias("span"))
     each = each.withColumn("hash", F.sha2(F.col("span.value"), 256))
     counts = cut(ownership(each if repo else text_owners(each)))
     judged = each.select("_row", "hash", "span").join(broadcast_if_small(counts, 128), "hash")
     live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repos") <= LIVE_REPOS)
     is_base = F.col("span.kind") < len(KINDS)
     by_row = judged.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.when(live | is_base, F.struct("span", F.struct("repos", "owners").alias("held"))))).alias("told"),
+        F.sort_array(F.collect_list(F.when(live | is_base, F.struct("span", F.struct("repos", "owners").alias("held"))))).alias("told"),
         F.count(F.when(live & is_base, 1)).alias("live"),
         F.count(F.when(~live & is_base, 1)).alias("copied"),
     )
@@ -132,7 +157,7 @@ def scan(docs: DataFrame, keys: list[str], owner: str = "source", repo: str | No
         *(F.col(k).alias(name) for k, name in zip(kept, keys, strict=True)),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         "base",
-        F.coalesce("told.span", F.expr(f"cast(array() as {SPAN})")).alias("spans"),
+        F.coalesce("told.span", _no_spans()).alias("spans"),
         F.coalesce("told.held", F.expr("cast(array() as array<struct<repos:bigint,owners:bigint>>)")).alias("held"),
         F.coalesce("live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("copied", F.lit(0)).cast("long").alias("n_copied"),
@@ -144,23 +169,31 @@ def held_list(held: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced; spans that overlap are replaced as one."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    """``text`` with every one of ``spans``, which are in order, replaced; spans that overlap are replaced as one.
+
+    Pieces are cut from the text with four bytes a character, where a place is found without counting from the front.
+    """
+    mark = F.unhex(F.lit("0000FEFF"))  # decoding takes it away, and no such character of the text
+
+    def piece(wide: Column, at: Column, end: Column) -> Column:
+        return F.decode(F.concat(mark, F.substring(wide, at * 4 + 1, (end - at) * 4)), "UTF-32")
+
+    def between(wide: Column, reached: Column) -> Column:
+        def before(span: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(reached, i - 1))
+            return F.when(span["start"] >= at, F.concat(piece(wide, at, span["start"]), F.lit(MASK))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spans, before), ""), piece(wide, F.element_at(reached, -1), F.length(wide)))
+
+    reached = running(F.transform(spans, lambda s: s["end"]), _larger)
+    return F.when(F.size(spans) > 0, once(F.encode(text, "UTF-32"), lambda wide: once(reached, lambda r: between(wide, r)))).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars`` counted anew; no row is dropped, texts without spans are untouched."""
     mark, spans = fresh("_h", docs), fresh("_spans", docs)
     keyed = docs.withColumn(mark, F.xxhash64("text"))
-    found = scan(keyed, ["doc_id", mark], wide=True).where(F.size("spans") > 0).select("doc_id", mark, F.col("spans").alias(spans)).dropDuplicates(["doc_id", mark])
+    found = scan(keyed, ["doc_id", mark]).where(F.size("spans") > 0).select("doc_id", mark, F.col("spans").alias(spans)).dropDuplicates(["doc_id", mark])
     d, f = keyed.alias("d"), broadcast_if_small(cut(found), 256).alias("f")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{mark}") == F.col(f"f.{mark}"))
     out = d.join(f, same, "left").select("d.*", f"f.{spans}").drop(mark)
@@ -190,19 +223,26 @@ def _duck_spans(kind: int, pattern: str, group: int, least: int) -> str:
 
 
 _ASSIGN = r"""'((?i:password|passwd|secret|token|api_?key))["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)'"""
-_RUNS = "'[A-Za-z0-9+/_=.-]+'"
+
+
+def _duck_added() -> str:
+    parts = []
+    for kind, (pattern, holds) in enumerate(ADDED.values(), len(KINDS)):
+        every = " AND ".join(["true", *(f"regexp_matches(value, '{h}')" for h in holds)])
+        parts.append(f"SELECT * FROM ({_duck_spans(kind, f"'{pattern}'", 0, 0)}) WHERE {every}")
+    return " UNION ALL ".join(parts)
+
+
 OP5_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 base AS ({_duck_spans(0, _ASSIGN, 2, 8)} UNION ALL {_duck_spans(1, "'AKIA[A-Z0-9]+'", 0, 16)} UNION ALL {_duck_spans(2, "'[0-9a-f]+'", 0, 32)}),
-runs AS ({_duck_spans(3, _RUNS, 0, 24)}),
-mixed AS (
-  SELECT * FROM runs WHERE regexp_full_match(hit, '[A-Za-z0-9_-]+') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = runs.r AND b.start < runs.start + length(runs.hit) AND runs.start < b.start + length(b.hit))),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM mixed),
+found AS (SELECT * FROM base UNION ALL {_duck_added()}),
+reach AS (SELECT *, max(start + length(hit)) OVER (PARTITION BY r ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM found),
+every AS (SELECT * EXCLUDE (reached) FROM reach WHERE kind < 3 OR reached IS NULL OR reached < start + length(hit)),
 texts AS (SELECT value, text, min(coalesce(source, chr(1))) AS owner FROM every GROUP BY value, text),
 held AS (SELECT value, count(DISTINCT owner) AS owners, count(*) AS repos FROM texts GROUP BY value),
 judged AS (
-  SELECT e.*, h.owners, h.repos, h.owners <= {LIVE_OWNERS} AND h.repos <= {LIVE_REPOS} AS live, h.repos || ':' || h.owners AS counts, ['assign', 'access', 'hex', 'mixed'][e.kind + 1] || ':' || CAST(e.start AS BIGINT) || ':' || CAST(e.start + length(e.hit) AS BIGINT) AS item
+  SELECT e.*, h.owners, h.repos, h.owners <= {LIVE_OWNERS} AND h.repos <= {LIVE_REPOS} AS live, h.repos || ':' || h.owners AS counts, {NAMES}[e.kind + 1] || ':' || CAST(e.start AS BIGINT) || ':' || CAST(e.start + length(e.hit) AS BIGINT) AS item
   FROM every e JOIN held h USING (value)),
 by_row AS (
   SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS x,

@@ -1,0 +1,43 @@
+"""Texts of very many secrets, spans that touch, and characters that masking must not lose."""
+
+import random
+import re
+import time
+
+from millrace.llm.secrets import MASK, redact, scan
+
+from .data import documents
+
+MANY = 40_000  # matches of one text, 0.8 MB
+
+
+def row(i, text):
+    return (i, text, "en", "s", 0, 1, "h", 2, 0.5, "z")
+
+
+def test_text_of_many_matches_takes_seconds(spark):
+    rng = random.Random(4)
+    text = " ".join(f"é token={rng.randrange(10**9):010d}" for _ in range(MANY))
+    docs = documents(spark, [row(1, text), row(2, "token=short")])
+    scan(documents(spark, [row(1, "token=0123456789")]), ["doc_id"]).collect()
+    began = time.monotonic()
+    found = {r["doc_id"]: r for r in scan(docs, ["doc_id"]).select("doc_id", "n_assign", "base.start", "base.end").collect()}
+    hidden = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert found[1]["n_assign"] == MANY and found[2]["n_assign"] == 0
+    assert list(zip(found[1]["start"], found[1]["end"], strict=True)) == [m.span() for m in re.finditer(r"token=\d{10}", text)]
+    assert hidden[1] == " ".join([f"é {MASK}"] * MANY) and hidden[2] == "token=short"
+
+
+def test_masking_loses_no_character(spark):
+    fronts = ["\ufeff", "\ufeff\ufeffa ", "😀 ", "", "\x00 ", "日本 "]
+    rows = [row(i, f"{front}token=AbC123dEf456GhI789jKl012Mn\ufeff{i}😀 AbC123dEf456GhI789jKl01{i}Xy{front}") for i, front in enumerate(fronts)]
+    got = {r["doc_id"]: r["text"] for r in redact(documents(spark, rows)).collect()}
+    assert got == {i: f"{front}{MASK}\ufeff{i}😀 {MASK}{front}" for i, front in enumerate(fronts)}
+
+
+def test_added_span_within_another_is_left_out(spark):
+    token = "AbC123dEf456GhI789jKl012Mn"
+    texts = [f"token={token}", f"{token}==", f"{token}", "eyJhbGciOiJIUzI1NiJ9AbCdEfGhIj.eyJzdWIiOiIxMjM0NTY3ODkwIn0x.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in scan(documents(spark, [row(i, t) for i, t in enumerate(texts)]), ["doc_id"]).collect()}
+    assert got == {0: [(0, 0, 32)], 1: [(4, 0, 28)], 2: [(5, 0, 26)], 3: [(3, 0, len(texts[3]))]}
