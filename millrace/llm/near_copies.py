@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut, keep_rows, spread, text_key
 from .components import apart, classes_under_hubs
 from .simhash import KEYED_AT_ONCE, key_rows
-from .textbytes import LOWER, NOT_SPACE, U, Words, bytes_of, gram_hashes, mix, slices, word_hashes, words_of
+from .textbytes import LOWER, NOT_SPACE, U, Words, bit_sums, bytes_of, gram_hashes, majority, mix, slices, word_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 PRINTS = 4
@@ -74,15 +74,7 @@ def set_hashes(g: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def prints(values: np.ndarray, count: np.ndarray, first: int, number: int) -> np.ndarray:
     """``number`` SimHashes of each text's values, a row for each, from seed ``first``; zero without values."""
-    out = np.zeros((number, len(count)), U)
-    some = np.flatnonzero(count)
-    if len(some):
-        starts = (np.cumsum(count) - count)[some]
-        for i in range(number):
-            bits = np.unpackbits(mix(values ^ U(first + i)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[i, some] = np.packbits(ones * 2 > count[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    return np.stack([majority(bit_sums(lambda i, j: mix(values[i:j] ^ U(first + p)), count), count) for p in range(number)])
 
 
 def with_prints(docs: DataFrame) -> DataFrame:

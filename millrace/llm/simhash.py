@@ -22,31 +22,62 @@ from pyspark.sql import functions as F
 from . import golay
 from .common import cut, keep_rows, spread, table, text_key
 from .components import apart, classes_under_hubs
-from .textbytes import LOWER, NOT_SPACE, bytes_of, slices, squeezed, words_of, xxh64
+from .textbytes import LOWER, NOT_SPACE, Words, bit_sums, bytes_of, majority, slices, squeezed, words_of, xxh64
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
+PIECE = 2 << 20  # bytes of a longer text that are read at a time
 KEYED_AT_ONCE = 20_000  # fingerprints that one task makes all keys of
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 
 
+def _sums(w: Words, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the bits of each text's shingles, and how many it has: one of all its words if it has fewer than ``n``."""
+    count = np.diff(w.first)
+    sizes = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
+    ends = np.cumsum(sizes)
+    long = np.minimum(count, n)
+
+    def run(i: int, j: int) -> np.ndarray:
+        number = np.arange(i, j)
+        text = np.searchsorted(ends, number, side="right")
+        word = number - (ends - sizes)[text] + w.first[:-1][text]
+        starts, stops = w.starts[word], w.ends[word + long[text] - 1]
+        begin = int(starts[0])
+        return xxh64(w.buf[begin : int(stops[-1])], starts - begin, stops - begin, seed)
+
+    return bit_sums(run, sizes), sizes
+
+
+def _spaced(buf: np.ndarray) -> Words:
+    return squeezed(words_of(LOWER[buf], np.array([0, len(buf)]), NOT_SPACE))
+
+
+def _long_simhash(buf: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The fingerprint of one long text, read in pieces that end after white space; each begins with the last ``n - 1`` words before it."""
+    ones, size, at, carried = np.zeros((1, 64), np.int64), np.zeros(1, np.int64), 0, np.zeros(0, np.uint8)
+    while at < len(buf):
+        end, ahead = len(buf), at + PIECE
+        while ahead < len(buf):
+            gaps = np.flatnonzero(~NOT_SPACE[buf[at:ahead]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+                break
+            ahead += ahead - at
+        w = _spaced(np.concatenate((carried, buf[at:end])))
+        if len(w.starts) >= n:
+            more, made = _sums(w, n, seed)
+            ones, size = ones + more, size + made
+        carried = w.buf[w.starts[-(n - 1) :][0] :].copy() if n > 1 and len(w.starts) else np.zeros(0, np.uint8)
+        at = end
+    return majority(ones, size) if size[0] else majority(*_sums(_spaced(carried), n, seed))
+
+
 def simhash(texts: pa.Array, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Fingerprints of an array of texts, as unsigned 64-bit numbers; zero where a text has no word."""
     buf, at = bytes_of(texts)
-    w = squeezed(words_of(LOWER[buf], at, NOT_SPACE))
-    out = np.zeros(len(at) - 1, np.uint64)
-    count = np.diff(w.first)
-    shingles = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
-    some = np.flatnonzero(shingles)
-    if not len(some):
-        return out
-    first_of = np.concatenate(([0], np.cumsum(shingles[some])[:-1]))
-    word = np.arange(int(shingles.sum())) - np.repeat(first_of, shingles[some]) + np.repeat(w.first[:-1][some], shingles[some])
-    last = word + np.repeat(np.minimum(count[some], n), shingles[some]) - 1
-    h = xxh64(w.buf, w.starts[word], w.ends[last], seed)
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, first_of, axis=0, dtype=np.int64)
-    out[some] = np.packbits(ones * 2 > shingles[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    if len(at) == 2 and len(buf) > PIECE:
+        return _long_simhash(buf, n, seed)
+    return majority(*_sums(squeezed(words_of(LOWER[buf], at, NOT_SPACE)), n, seed))
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", n: int = SHINGLE, seed: int = SEED) -> DataFrame:

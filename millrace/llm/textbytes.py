@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,15 +87,21 @@ def words_of(buf: np.ndarray, at: np.ndarray, inside: np.ndarray) -> Words:
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULT, -1, 1 << 64)
+RUN = 1 << 20  # bytes that word hashes are summed over at a time, longer words aside
+BITS_RUN = 1 << 16  # values whose bits are unpacked at a time
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        table = np.full(max(n, 1 << 16), base, U)
-        table[0] = 1
-        _powers[base] = np.multiply.accumulate(table)
-    return _powers[base][:n]
+    """Powers of ``base`` from 0 on; only a table of ``RUN`` entries is kept."""
+    if n <= RUN and base in _powers:
+        return _powers[base][:n]
+    table = np.full(max(n, RUN), base, U)
+    table[0] = 1
+    np.multiply.accumulate(table, out=table)
+    if n <= RUN:
+        _powers[base] = table
+    return table[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -107,14 +113,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, taken from running sums, then mixed."""
-    n = len(w.buf)
-    if n == 0:
-        return np.zeros(0, U)
-    sums = np.empty(n + 1, U)
-    sums[0] = 0
-    np.cumsum((w.buf.astype(U) + U(1)) * _power_table(_MULT, n), out=sums[1:])
-    return mix((sums[w.ends] - sums[w.starts]) * _power_table(_INVERSE, n)[w.starts])
+    """A 64-bit hash of each word: a polynomial in its bytes, taken from running sums over runs of words, then mixed."""
+    out, i = np.empty(len(w.starts), U), 0
+    while i < len(out):
+        begin = int(w.starts[i])
+        j = max(i + 1, int(np.searchsorted(w.ends, begin + RUN, side="right")))
+        n = int(w.ends[j - 1]) - begin
+        sums = np.empty(n + 1, U)
+        sums[0] = 0
+        np.cumsum((w.buf[begin : begin + n].astype(U) + U(1)) * _power_table(_MULT, n), out=sums[1:])
+        out[i:j] = (sums[w.ends[i:j] - begin] - sums[w.starts[i:j] - begin]) * _power_table(_INVERSE, n)[w.starts[i:j] - begin]
+        i = j
+    return mix(out)
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -127,6 +137,24 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def bit_sums(run: Callable[[int, int], np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set in each group's values; ``run(i, j)`` gives values i to j of all groups one after another."""
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    ones = np.zeros((len(sizes), 64), np.int64)
+    for i in range(0, int(edges[-1]), BITS_RUN):
+        j = min(i + BITS_RUN, int(edges[-1]))
+        first, last = int(np.searchsorted(edges, i, side="right")) - 1, int(np.searchsorted(edges, j, side="left"))
+        bits = np.unpackbits(run(i, j).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        some = first + np.flatnonzero(sizes[first:last])
+        ones[some] += np.add.reduceat(bits, np.maximum(edges[some], i) - i, axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the bits that over half the values of each group have."""
+    return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def squeezed(w: Words) -> Words:
     """The same words in a buffer with one space between the words of a text."""
     lengths = w.ends - w.starts
@@ -136,7 +164,7 @@ def squeezed(w: Words) -> Words:
     keep = np.zeros(len(w.buf) + 1, np.int8)
     keep[w.starts] += 1
     keep[w.ends] -= 1
-    inside = np.cumsum(keep[:-1]).astype(bool)
+    inside = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
     out = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)
     room = np.ones(len(out), bool)
     room[starts + lengths] = False
