@@ -146,7 +146,7 @@ def bit_sums(run: Callable[[int, int], np.ndarray], sizes: np.ndarray) -> np.nda
         first, last = int(np.searchsorted(edges, i, side="right")) - 1, int(np.searchsorted(edges, j, side="left"))
         bits = np.unpackbits(run(i, j).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         some = first + np.flatnonzero(sizes[first:last])
-        ones[some] += np.add.reduceat(bits, np.maximum(edges[some], i) - i, axis=0, dtype=np.int64)
+        ones[some] += np.add.reduceat(bits, np.maximum(edges[some], i) - i, axis=0, dtype=np.int32)
     return ones
 
 
