@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+# each round reads a table, not a checkpoint: a checkpoint hands on its plan's orderings and sizes, which double with every round
+from ..sources.shared import stored as kept
 from .numbering import numbered, running
 
 
@@ -61,23 +62,22 @@ def breadth_first(edges: DataFrame, start, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("the graph is deeper than the number of rounds allowed")
 
 
-def rooted(tree: DataFrame, root) -> DataFrame:
-    """``(node, depth, parent, first_hop)`` of every node that edges ``tree(a, b)`` of a forest join to ``root``, the root with nulls.
+def toured(tree: DataFrame, root) -> DataFrame | None:
+    """``(a, b, place, back, down)`` of each step of a tour from ``root`` around its tree; None if it has no edge.
 
     Each edge is walked both ways, around each node from one neighbour to the
     next: one tour of the whole tree, whose places are found by doubling how far
-    each step looks ahead.  The first of an edge's two steps goes down.  A tree
-    takes as many rounds as its number of steps has binary digits, however deep
-    it is; neither a path nor a node's neighbours are ever brought together.
+    each step looks ahead.  The first of an edge's two steps goes down; ``back``
+    is the place of the other one.  A tree takes as many rounds as its number of
+    steps has binary digits, however deep it is; neither a path nor a node's
+    neighbours are ever brought together.
     """
-    node = tree.schema["a"].dataType
     steps = kept(numbered(both_ways(tree.select("a", "b")).distinct(), ["a", "b"], "id"))
     n = steps.count()
-    alone = steps.sparkSession.range(1).select(F.lit(root).cast(node).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(node).alias("parent"), F.lit(None).cast(node).alias("first_hop"))
     first = steps.groupBy("a").agg(F.min("id").alias("first"))
     start = steps.where(F.col("a") == F.lit(root)).agg(F.min("id")).first()[0]
     if start is None:
-        return alone
+        return None
     after = steps.select((F.col("id") - 1).alias("id"), F.col("a").alias("next_a"))
     turned = steps.join(after, "id", "left").join(first, "a").select(F.col("a").alias("b"), F.col("b").alias("a"), F.when(F.col("next_a") == F.col("a"), F.col("id") + 1).otherwise(F.col("first")).alias("to"))
     # where the tour would come back to its first step it ends
@@ -87,34 +87,38 @@ def rooted(tree: DataFrame, root) -> DataFrame:
         ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("on"), F.col("left").alias("more"))
         jump = kept(jump.join(ahead, "to", "left").select("id", F.col("on").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
     # steps of other trees go round without an end
-    toured = jump.where("to is null").join(steps, "id")
-    placed = kept(toured.select("a", "b", (-F.col("left")).alias("place")))
+    placed = kept(jump.where("to is null").join(steps, "id").select("a", "b", (-F.col("left")).alias("place")))
     back = placed.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("place").alias("back"))
-    placed = placed.join(back, ["a", "b"]).select("a", "b", "place", (F.col("place") < F.col("back")).alias("down"))
-    deep = running(placed, "place", "depth", F.sum, F.when(F.col("down"), 1).otherwise(-1).cast("long"))
-    top = F.when(F.col("down") & (F.col("depth") == 1), F.struct("place", F.col("b").alias("hop")))
-    hops = running(deep, "place", "top", F.max, top)
-    return hops.where("down").select(F.col("b").alias("node"), F.col("depth").cast("int").alias("depth"), F.col("a").alias("parent"), F.col("top.hop").alias("first_hop")).unionByName(alone)
+    return placed.join(back, ["a", "b"]).select("a", "b", "place", "back", (F.col("place") < F.col("back")).alias("down"))
+
+
+def rooted(tree: DataFrame, root) -> DataFrame:
+    """``(node, depth, parent, first_hop)`` of every node that edges ``tree(a, b)`` of a forest join to ``root``, the root with nulls."""
+    node = tree.schema["a"].dataType
+    alone = tree.sparkSession.range(1).select(F.lit(root).cast(node).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(node).alias("parent"), F.lit(None).cast(node).alias("first_hop"))
+    steps = toured(tree, root)
+    return alone if steps is None else _told(steps).unionByName(alone)
 
 
-def tree_walk(tree: DataFrame, root) -> DataFrame:
-    """``(node, depth, parent, path)`` of a tree from ``root`` down; never back to a node's parent, so it ends on trees only."""
-    return tree.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(node, depth, parent, path) MAX RECURSION LEVEL 100000 AS (
-          SELECT cast(:root AS bigint), 0, cast(NULL AS bigint), array(cast(:root AS bigint))
-          UNION ALL
-          SELECT w.b, walk.depth + 1, walk.node, concat(walk.path, array(w.b)) FROM walk JOIN {ways} w ON w.a = walk.node WHERE walk.parent IS NULL OR w.b <> walk.parent)
-        SELECT * FROM walk
-        """,
-        args={"root": root},
-        ways=both_ways(tree.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))),
-    )
+def _told(steps: DataFrame) -> DataFrame:
+    """Nodes below the root, from the steps of its tour."""
+    deep = running(steps, "place", "depth", F.sum, F.when(F.col("down"), 1).otherwise(-1).cast("long"))
+    top = F.when(F.col("down") & (F.col("depth") == 1), F.struct("place", F.col("b").alias("hop")))
+    hops = running(deep, "place", "top", F.max, top)
+    return hops.where("down").select(F.col("b").alias("node"), F.col("depth").cast("int").alias("depth"), F.col("a").alias("parent"), F.col("top.hop").alias("first_hop"))
 
 
 def is_connected(nodes: DataFrame, edges: DataFrame, start, node: str = "node") -> DataFrame:
-    """One row: nodes, nodes reached, and whether that is all."""
-    reached = breadth_first(edges, start).select(F.col("node").alias("_n"))
+    """One row: nodes, nodes reached, and whether that is all.
+
+    Components are merged, in rounds that grow with the logarithm of their
+    number of nodes; how many links lie between two nodes doesn't count.
+    """
+    _, label = _merged(edges.select("a", "b", F.lit(0).alias("w")))
+    mine = label.where(F.col("node") == F.lit(start)).select("root")
+    reached = label.join(F.broadcast(mine), "root", "left_semi").select(F.col("node").alias("_n"))
+    alone = reached.sparkSession.range(1).select(F.lit(start).cast(reached.schema["_n"].dataType).alias("_n"))
+    reached = reached.unionByName(alone).distinct()
     found = nodes.join(reached, nodes[node] == reached["_n"], "left").agg(F.count(node).alias("nodes"), F.count("_n").alias("reached"))
     return found.withColumn("connected", F.col("nodes") == F.col("reached"))
 
@@ -126,6 +130,11 @@ def spanning_forest(edges: DataFrame, rounds: int = 64) -> DataFrame:
     (w, a, b), and joins the component at its other end.  That order has no
     ties, so the forest is the only one.  Components at least halve each round.
     """
+    return _merged(edges, rounds)[0]
+
+
+def _merged(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The forest, and ``(node, root)``: a node of its tree that stands for it."""
     edges = kept(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")))
     label = kept(both_ways(edges).select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     tree = edges.limit(0)
@@ -133,7 +142,7 @@ def spanning_forest(edges: DataFrame, rounds: int = 64) -> DataFrame:
         la, lb = label.select(F.col("node").alias("a"), F.col("root").alias("ra")), label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         crossing = kept(edges.join(la, "a").join(lb, "b").where("ra <> rb"))
         if crossing.isEmpty():
-            return tree
+            return tree, label
         each = crossing.select(F.explode(F.array(F.struct(F.col("ra").alias("root"), F.col("rb").alias("to")), F.struct(F.col("rb").alias("root"), F.col("ra").alias("to")))).alias("r"), F.struct("w", "a", "b").alias("e"))
         chosen = kept(each.groupBy("r.root").agg(F.min(F.struct("e", "r.to")).alias("m")).select("root", "m.e", "m.to"))
         tree = kept(tree.unionByName(chosen.select("e.a", "e.b", "e.w").distinct()))

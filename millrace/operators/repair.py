@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import stored as kept
 from .numbering import numbered
 from .overlay import both_ways, canonical, is_connected, regular_edges
 
