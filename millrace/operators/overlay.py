@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored as kept
 from .numbering import numbered, running
 
+BLOCK = 1 << 16  # nodes whose depths one task settles at a time
+
 
 def regular_edges(nodes: DataFrame, k: int, node: str = "node") -> DataFrame:
     """``(a, b)`` with a < b: every node linked to its k/2 next ones on the ring of ids, and for odd k to the one across.
@@ -44,22 +49,70 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", *rest).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest))
 
 
-def breadth_first(edges: DataFrame, start, rounds: int = 1000) -> DataFrame:
-    """``(node, depth, parent, first_hop)`` of every node that ``start`` reaches; of several parents the smallest.
+def breadth_first(edges: DataFrame, start, block: int = BLOCK) -> DataFrame:
+    """``(node, depth, parent, first_hop)`` of every node that ``start`` reaches, itself with nulls; of several parents the smallest."""
+    found = kept(levels(edges, start, block))
+    # ways up are doubled until all end below the start
+    hop = found.where("parent is not null").select("node", F.when(F.col("depth") > 1, F.col("parent")).alias("up"), F.col("node").alias("first_hop"))
+    most = found.agg(F.max("depth")).first()[0]
+    for _ in range(most.bit_length()):
+        above = hop.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("first_hop").alias("there"))
+        hop = kept(hop.join(above, "up", "left").select("node", F.col("further").alias("up"), F.coalesce("there", "first_hop").alias("first_hop")))
+    return found.join(hop.select("node", "first_hop"), "node", "left")
+
 
-    One join of the frontier with the edges for each level.
+def levels(edges: DataFrame, start, block: int = BLOCK) -> DataFrame:
+    """``(node, depth, parent)`` as ``breadth_first`` has them.
+
+    Nodes are dealt by id into blocks of at most ``block``.  A round settles
+    depths inside each block that something came into, each in a task of its
+    own, and sends what got smaller over links to other blocks.  So rounds are
+    as many as blocks on a shortest way, where near ids are linked, and at worst
+    as many as levels.
     """
-    ways = both_ways(edges.select("a", "b"))
-    seen = kept(ways.where(F.col("a") == start).select(F.col("a").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(ways.schema["a"].dataType).alias("parent"), F.lit(None).cast(ways.schema["a"].dataType).alias("first_hop")).distinct())
-    edge = seen
-    for depth in range(1, rounds):
-        step = edge.join(ways, edge["node"] == ways["a"]).select(ways["b"].alias("node"), F.col("node").alias("parent"), F.coalesce("first_hop", ways["b"]).alias("first_hop"))
-        fresh = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("parent", "first_hop")).alias("p"))
-        edge = kept(fresh.select("node", F.lit(depth).alias("depth"), "p.parent", "p.first_hop"))
-        if edge.isEmpty():
-            return seen
-        seen = kept(seen.unionByName(edge))
-    raise RuntimeError("the graph is deeper than the number of rounds allowed")
+    kind = edges.schema["a"].dataType
+    pairs = both_ways(edges.select("a", "b")).where("a <> b").distinct()
+    alone = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(alone).distinct()
+    dealt = kept(numbered(nodes, ["node"]).select("node", F.floor(F.col("at") / block).alias("block")))
+    ways = kept(pairs.join(dealt.select(F.col("node").alias("a"), F.col("block").alias("block")), "a").join(dealt.select(F.col("node").alias("b"), F.col("block").alias("to")), "b"))
+    inner, cross = ways.where("block = to").select("block", "a", "b"), ways.where("block <> to").select("a", F.col("b").alias("node"), F.col("to").alias("block"))
+    come = dealt.join(alone, "node").select("block", "node", F.lit(0).alias("depth"))
+    known = come.limit(0)
+    schema = come.select("block", "node", "depth").schema
+    while True:
+        active = F.broadcast(come.select("block").distinct())
+        marks = known.withColumn("fresh", F.lit(False)).unionByName(come.withColumn("fresh", F.lit(True))).join(active, "block", "left_semi")
+        smaller = kept(inner.join(active, "block", "left_semi").groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_settled, schema))
+        known = kept(known.unionByName(smaller).groupBy("block", "node").agg(F.min("depth").alias("depth")))
+        sent = smaller.join(cross.drop("block"), smaller["node"] == cross["a"]).select(cross["node"].alias("node"), (F.col("depth") + 1).alias("depth")).groupBy("node").agg(F.min("depth").alias("depth"))
+        had = known.select("node", F.col("depth").alias("had"))
+        come = kept(sent.join(had, "node", "left").where("had is null or depth < had").join(dealt, "node").select("block", "node", "depth"))
+        if come.isEmpty():
+            break
+    above = known.select(F.col("node").alias("b"), F.col("depth").alias("above"))
+    parents = known.join(pairs, F.col("node") == F.col("a")).join(above, "b").where("above = depth - 1").groupBy("node").agg(F.min("b").alias("parent"))
+    return known.join(parents, "node", "left").select("node", "depth", "parent")
+
+
+def _settled(ways: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    """The depths of one block that ``marks`` that are fresh make smaller, by ``ways`` inside it."""
+    near: dict = {}
+    for a, b in zip(ways["a"], ways["b"]):
+        near.setdefault(a, []).append(b)
+    old = marks[~marks["fresh"]]
+    best, found = dict(zip(old["node"], old["depth"])), {}
+    fresh = marks[marks["fresh"]]
+    todo = list(zip(fresh["depth"], fresh["node"]))
+    heapq.heapify(todo)
+    while todo:
+        depth, node = heapq.heappop(todo)
+        if depth < best.get(node, depth + 1):
+            best[node] = found[node] = depth
+            for other in near.get(node, ()):
+                if depth + 1 < best.get(other, depth + 2):
+                    heapq.heappush(todo, (depth + 1, other))
+    return pd.DataFrame({"block": marks["block"].iloc[0] if found else [], "node": list(found.keys()), "depth": list(found.values())})
 
 
 def toured(tree: DataFrame, root) -> DataFrame | None:
@@ -164,16 +217,53 @@ def _roots(points: DataFrame) -> DataFrame:
 
 
 def relays(messages: DataFrame, tree: DataFrame, root) -> DataFrame:
-    """``(node, relayed_count)``: how often each node passes on a message on its way along the tree.
+    """``(node, relayed_count)``: how often each node passes on a message on its way along the tree; nodes that pass on none are left out.
 
     A message's way goes up from both ends to where they meet; inner nodes of
-    it relay.  Ways are cut from each end's path to the root.
+    it relay.  A link is crossed by what is sent or received below it, less what
+    meets there too; an inner node has two of a way's links, an end has one.
     """
-    done = tree_walk(tree, root)
-    a, b = done.select(F.col("node").alias("source"), F.col("path").alias("pa")), done.select(F.col("node").alias("sink"), F.col("path").alias("pb"))
+    steps = toured(tree, root)
+    if steps is None:
+        return messages.select(F.col("source").alias("node"), F.lit(0).cast("long").alias("relayed_count")).limit(0)
+    steps = kept(steps)
+    told = kept(_told(steps).select("node", F.col("depth").cast("long").alias("depth"), "parent"))
+    alone = told.sparkSession.range(1).select(F.lit(root).cast(told.schema["node"].dataType).alias("node"), F.lit(0).cast("long").alias("depth"))
+    depths = told.select("node", "depth").unionByName(alone)
     counted = messages.groupBy("source", "sink").agg(F.count("*").alias("n")).where("source <> sink")
-    joined = counted.join(a, "source").join(b, "sink")
-    meet = F.size(F.filter(F.arrays_zip("pa", "pb"), lambda z: z["pa"] == z["pb"]))
-    way = F.concat(F.slice("pa", meet, F.size("pa")), F.slice("pb", meet + 1, F.size("pb")))
-    inner = F.array_except(way, F.array("source", "sink"))
-    return joined.select("n", F.explode(inner).alias("node")).groupBy("node").agg(F.sum("n").alias("relayed_count"))
+    ends = counted
+    for c in ("source", "sink"):
+        ends = ends.join(depths.select(F.col("node").alias(c), F.col("depth").alias(f"{c}_depth")), c)
+    ends = kept(ends)
+    met = _meetings(ends, told)
+    own = ends.select(F.explode(F.array("source", "sink")).alias("node"), "n").groupBy("node").agg(F.sum("n").alias("ends"))
+    less = met.groupBy(F.col("meet").alias("node")).agg((-2 * F.sum("n")).alias("ends"))
+    below = own.unionByName(less).groupBy(F.col("node").alias("b")).agg(F.sum("ends").alias("value"))
+    valued = steps.join(below, "b", "left").withColumn("value", F.when(F.col("down"), F.coalesce("value", F.lit(0))).otherwise(0))
+    summed = kept(running(valued, "place", "sum", F.sum, F.col("value")))
+    up = summed.select(F.col("place").alias("back"), F.col("sum").alias("all"))
+    crossed = summed.where("down").join(up, "back").select("a", "b", (F.col("all") - F.col("sum") + F.col("value")).alias("crossed"))
+    links = crossed.select(F.explode(F.array("a", "b")).alias("node"), "crossed").groupBy("node").agg(F.sum("crossed").alias("crossed"))
+    passed = links.join(own, "node", "left").select("node", F.expr("(crossed - coalesce(ends, 0)) div 2").alias("relayed_count"))
+    return passed.where("relayed_count > 0")
+
+
+def _meetings(ends: DataFrame, told: DataFrame) -> DataFrame:
+    """``(meet, n)`` of ``ends(source, sink, source_depth, sink_depth, n)``: the lowest node above both, by steps up of powers of two."""
+    most = told.agg(F.max("depth")).first()[0]
+    ups = [told.select("node", F.col("parent").alias("up"))]
+    for _ in range(most.bit_length() - 1):
+        more = ups[-1].select(F.col("node").alias("up"), F.col("up").alias("further"))
+        ups.append(kept(ups[-1].join(more, "up").select("node", F.col("further").alias("up"))))
+    deep = F.col("source_depth") >= F.col("sink_depth")
+    pairs = ends.select(F.when(deep, F.col("source")).otherwise(F.col("sink")).alias("low"), F.when(deep, F.col("sink")).otherwise(F.col("source")).alias("high"), F.abs(F.col("source_depth") - F.col("sink_depth")).alias("gap"), "n")
+    for k, up in enumerate(ups):
+        step = up.select(F.col("node").alias("low"), F.col("up").alias("low_up"))
+        pairs = kept(pairs.join(step, "low", "left").withColumn("low", F.when(F.shiftright("gap", k).bitwiseAND(1) == 1, F.col("low_up")).otherwise(F.col("low"))).drop("low_up"))
+    for up in reversed(ups):
+        low, high = up.select(F.col("node").alias("low"), F.col("up").alias("low_up")), up.select(F.col("node").alias("high"), F.col("up").alias("high_up"))
+        moves = F.coalesce((F.col("low") != F.col("high")) & (F.col("low_up") != F.col("high_up")), F.lit(False))
+        both = pairs.join(low, "low", "left").join(high, "high", "left")
+        pairs = kept(both.select(F.when(moves, F.col("low_up")).otherwise(F.col("low")).alias("low"), F.when(moves, F.col("high_up")).otherwise(F.col("high")).alias("high"), "n"))
+    above = told.select(F.col("node").alias("low"), "parent")
+    return pairs.join(above, "low", "left").select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("parent")).alias("meet"), "n")

@@ -103,7 +103,7 @@ def overlay_connected(spark, sf_dir):
 
 
 def overlay_bfs(spark, sf_dir):
-    return overlay.breadth_first(_edges(spark, sf_dir), 1).select("node", "depth", "parent")
+    return overlay.levels(_edges(spark, sf_dir), 1)
 
 
 def mst(spark, sf_dir):
