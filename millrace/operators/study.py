@@ -9,7 +9,6 @@ from ..sources.shared import kept
 from .numbering import numbered
 
 SCORE = "decimal(5,2)"
-SHORT = 16  # characters that longer texts and keys are joined on
 
 # fixed values: marks of quiz files, what answers look like, topics by keyword (in names or questions; in names only), and how code begins
 SPLIT = r"Results for question \d+\."
@@ -124,26 +123,27 @@ def tidy(text: Column) -> Column:
 def match_prefix(questions: DataFrame, entries: DataFrame, text: str = "question_text") -> DataFrame:
     """The first entry ``(place, key, explanation)`` that a text begins with, or that begins with it.
 
-    Where both have ``SHORT`` characters they are joined on that many and then
-    compared; the shorter ones of either side are joined whole to the other
-    side's prefixes of fewer characters, so a text gives at most ``SHORT`` rows.
+    Of entries with one key, and of those that go on from one beginning, only
+    the first is joined.  A text is cut to each length that keys have, a key to
+    each that texts have, so rows are at most texts times lengths of keys and
+    keys times lengths of texts, however many agree.  Of entries of one place
+    the smallest explanation counts; equal rows of ``questions`` are told once.
     Empty texts and keys match nothing.
     """
-    q = questions.withColumn("_t", tidy(F.col(text))).withColumn("_n", F.char_length("_t"))
-    e = entries.withColumn("_k", tidy(F.col("key"))).withColumn("_m", F.char_length("_k"))
+    q = questions.withColumn("_t", tidy(F.col(text))).withColumn("_n", F.char_length("_t")).where("_n > 0")
+    e = entries.select(tidy(F.col("key")).alias("_k"), F.struct("place", "explanation").alias("_e")).where("_k <> ''").groupBy("_k").agg(F.min("_e").alias("_e"))
+    e = e.withColumn("_m", F.char_length("_k"))
 
-    def prefixes(df: DataFrame, text: str, longest: Column) -> DataFrame:
-        return df.withColumn("_l", F.explode(F.sequence(F.lit(1), longest))).withColumn("_p", F.expr(f"left({text}, _l)"))
+    def prefixes(df: DataFrame, text: str, lengths: DataFrame, fits: str) -> DataFrame:
+        return df.join(F.broadcast(lengths), F.expr(fits)).withColumn("_p", F.expr(f"left({text}, _l)"))
 
-    told = [*questions.columns, "place", "explanation"]
-    short_keys = e.where(F.col("_m").between(1, SHORT - 1)).select("place", "explanation", F.col("_k").alias("_p"))
-    down = prefixes(q.where("_n > 0"), "_t", F.least("_n", F.lit(SHORT - 1))).join(short_keys, "_p").select(told)
-    cut_keys = prefixes(e.where("_m > 1"), "_k", F.least(F.col("_m") - 1, F.lit(SHORT - 1))).select("place", "explanation", "_p")
-    up = q.where(F.col("_n").between(1, SHORT - 1)).withColumn("_p", F.col("_t")).join(cut_keys, "_p").select(told)
-    long_texts = q.where(F.col("_n") >= SHORT).withColumn("_p", F.expr(f"left(_t, {SHORT})"))
-    long_keys = e.where(F.col("_m") >= SHORT).select("place", "explanation", "_k", F.expr(f"left(_k, {SHORT})").alias("_p"))
-    both = long_texts.join(long_keys, "_p").where(F.startswith("_t", "_k") | F.startswith("_k", "_t")).select(told)
-    return _first(down.unionByName(up).unionByName(both), questions.columns)
+    told = [*questions.columns, "_e"]
+    keys = e.select(F.col("_k").alias("_p"), "_e")
+    down = prefixes(q, "_t", e.select(F.col("_m").alias("_l")).distinct(), "_l <= _n").join(keys, "_p").select(told)
+    cut_keys = prefixes(e, "_k", q.select(F.col("_n").alias("_l")).distinct(), "_l < _m").groupBy("_p").agg(F.min("_e").alias("_e"))
+    up = q.withColumn("_p", F.col("_t")).join(cut_keys, "_p").select(told)
+    first = down.unionByName(up).groupBy(*questions.columns).agg(F.min("_e").alias("_e"))
+    return first.select(*questions.columns, "_e.explanation")
 
 
 GRAM = 4  # characters of the pieces that phrases are looked up by
@@ -188,11 +188,6 @@ def match_phrases(texts: DataFrame, phrases: DataFrame, text: str = "question_te
     return texts.join(first.where("explanation is not null"), "id").select(*texts.columns, "explanation")
 
 
-def _first(met: DataFrame, keys: list[str]) -> DataFrame:
-    order = Window.partitionBy("id").orderBy("place")
-    return met.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*keys, "explanation")
-
-
 # Quiz files
 
 
@@ -206,22 +201,27 @@ def parse(texts: DataFrame, strict: bool = False) -> DataFrame:
     question.  ``strict`` leaves out blocks that hold an option marked
     incorrect, where the first option would be taken for the truth.
     """
+
+    def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+        """A column exploded from an array of one: filters that use it aren't moved to where it would be computed again, for each line."""
+        return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
     blocks = texts.select("file", F.posexplode(F.split("text", SPLIT)).alias("block", "body"))
     lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
-    listed = blocks.withColumn("ls", lines)
+    listed = once(blocks, lines, "ls").drop("body")
     kept = F.filter(
         F.transform("ls", lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get("ls", i + 1), F.lit("")).alias("next"), F.when(i > 0, F.get("ls", i - 1)).otherwise("").alias("prior"))),
         lambda x: ~((x["line"].rlike(r"^\d+$") & x["next"].rlike(POINTS)) | (x["line"].rlike(POINTS) & x["prior"].rlike(r"^\d+$"))),
     )
-    listed = listed.withColumn("ls", F.transform(kept, lambda x: x["line"]))
+    listed = once(listed, F.transform(kept, lambda x: x["line"]), "ls")
     marks = F.transform("ls", lambda x: x.isin(*TRUTHS) | x.startswith(ANSWER))
-    listed = listed.withColumn("ends", F.array_position(marks, True)).where("ends > 1")
+    listed = once(listed, F.array_position(marks, True), "ends").where("ends > 1")
     told = F.array_position(F.transform("ls", lambda x: x.startswith(ANSWER)), True)
     options = F.filter(F.slice("ls", F.col("told") + 1, F.size("ls")), lambda x: ~F.contains(x, F.lit(NOT_CHOSEN)))
     found = F.when(F.col("told") > 0, F.get(options, 0))
     ended = F.get("ls", (F.col("ends") - 1).cast("int"))
     answer = F.coalesce(found, F.when(ended.isin(*TRUTHS), ended))
-    listed = listed.withColumn("told", told.cast("int")).withColumn("correct_answer", answer).where("correct_answer is not null")
+    listed = once(once(listed, told.cast("int"), "told"), answer, "correct_answer").where("correct_answer is not null")
     if strict:
         listed = listed.where(~F.exists("ls", lambda x: F.lower(x).startswith("incorrect answer")))
     kind = F.when(F.col("correct_answer").rlike(r"^\d+$"), "numeric").when(F.col("correct_answer").isin(*CHOICES), "choice").otherwise("boolean")
