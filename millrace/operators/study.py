@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
+from ..sources.shared import stored as kept
 from .numbering import numbered
+from .phrases import HEAD, first_ranks, with_hashes
 
 SCORE = "decimal(5,2)"
 
@@ -146,45 +147,22 @@ def match_prefix(questions: DataFrame, entries: DataFrame, text: str = "question
     return first.select(*questions.columns, "_e.explanation")
 
 
-GRAM = 4  # characters of the pieces that phrases are looked up by
-
-
-def _grams(df: DataFrame, text: str, sizes: list[int], *keep: str) -> DataFrame:
-    """``keep`` and ``gram``: the different stretches of so many characters in each text, found in one walk for each size."""
-    each = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    return df.select(*keep, F.explode(F.array_distinct(F.concat(*each))).alias("gram"))
-
-
-def match_phrases(texts: DataFrame, phrases: DataFrame, text: str = "question_text") -> DataFrame:
+def match_phrases(texts: DataFrame, phrases: DataFrame, text: str = "question_text", head: int = HEAD) -> DataFrame:
     """Of ``phrases(place, phrase, explanation)`` the first by place that each text holds, letter case aside.
 
     ``texts`` has a row for each ``id``; only rows whose explanation, if they
     have that column, is null are matched, and those without a match are left
-    out.  A phrase is looked up by whichever of its pieces the fewest texts hold,
-    then compared whole; one with a piece that no text holds is not compared at
-    all.  Empty and null phrases and texts match nothing; of phrases of one
-    place the smallest explanation counts.
+    out.  Texts are looked through once for each different length of phrases;
+    each stretch of one meets at most the phrase it equals.  Empty and null
+    phrases and texts match nothing; of phrases of one place the smallest
+    explanation counts.
     """
     if "explanation" in texts.columns:
         texts = texts.where("explanation is null").drop("explanation")
-    wanted = kept(phrases.select("place", F.lower("phrase").alias("phrase"), "explanation").where("phrase <> ''"))
-    sizes = [r[0] for r in wanted.select(F.least(F.char_length("phrase"), F.lit(GRAM)).alias("n")).distinct().collect()]  # four at most
-    if not sizes:
-        return texts.withColumn("explanation", F.lit(None).cast("string")).limit(0)
-    parts = []
-    for n in sizes:
-        whole = wanted.where(F.char_length("phrase") >= GRAM) if n == GRAM else wanted.where(F.char_length("phrase") == n)
-        parts.append(_grams(whole, "phrase", [n], "phrase").distinct())
-    pieces = parts[0]
-    for more in parts[1:]:
-        pieces = pieces.unionByName(more)
-    pieces = kept(pieces)
-    held = kept(_grams(texts.select("id", F.lower(text).alias("_t")), "_t", sizes, "id").join(pieces.select("gram").distinct(), "gram", "left_semi"))
-    common = held.groupBy("gram").agg(F.count("*").alias("texts"))
-    rarest = pieces.join(common, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("r")).where("r.texts > 0")
-    keyed = rarest.select("phrase", F.col("r.gram").alias("gram")).join(wanted, "phrase")
-    met = held.join(keyed, "gram").join(texts.select("id", F.lower(text).alias("_t")), "id").where(F.contains("_t", "phrase"))
-    first = met.groupBy("id").agg(F.min(F.struct("place", "explanation")).alias("f")).select("id", F.col("f.explanation").alias("explanation"))
+    wanted = phrases.select(F.lower("phrase").alias("phrase"), F.struct("place", "explanation").alias("_e")).where("phrase <> ''").groupBy("phrase").agg(F.min("_e").alias("_e"))
+    wanted = kept(with_hashes(numbered(wanted.select("phrase", "_e.*"), ["place", "explanation", "phrase"], "rank"), "phrase"))
+    ranks = first_ranks(texts.select("id", F.lower(text).alias("text")), wanted, head)
+    first = ranks.join(wanted.select("rank", "explanation"), "rank").select("id", "explanation")
     return texts.join(first.where("explanation is not null"), "id").select(*texts.columns, "explanation")
 
 
