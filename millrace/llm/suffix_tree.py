@@ -17,9 +17,14 @@ The logarithm of that is a sum over the text's word sequences: each stored
 sequence g = cs adds log P(s | c) - log P(s | suffix of c) - log share(c), and
 each that is a state adds log share(g) for the word after it.  So the tree is
 one table from a sequence's hash to a number, and scoring adds up numbers.  The
-most frequent sequences, a fixed number of them, go to all tasks; the rest, which
-grows with the corpus, is joined, after a bitmap of fixed size has sorted out
-what isn't in it.  Nothing else is sent anywhere whole.
+most frequent sequences, a fixed number of them, go to all tasks; of the rest,
+which grows with the corpus, each batch of texts asks once for each sequence that
+a bitmap of fixed size doesn't sort out.  Nothing else is sent anywhere whole.
+
+What tasks count or ask for is dealt out by ranges of keys as packed columns, one
+row for each batch and range: sorted numbers as their steps, bytes of equal
+weight together.  Frequent contexts and words, again a fixed number of them, are
+counted by their places in a list; others by their hashes.
 
 Words and sequences are known by 64-bit hashes: of v distinct ones some two are
 expected to agree with probability v * v / 2^65.
@@ -28,16 +33,20 @@ expected to agree with probability v * v / 2^65.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, table, text_of, with_row_key
+from ..sources.shared import stored
+from .common import broadcast_if_small, table, text_of
 from .textbytes import LOWER, NOT_SPACE, P1, P2, P3, P4, P5, U, Words, bytes_of, slices, word_hashes, words_of
 
 END, BEGIN = 1, 2  # keys of the end of a text, which is a word to predict, and of its beginning, which is only a context
@@ -45,6 +54,8 @@ BLOCK = 1 << 20  # bytes whose words are hashed together
 SCALE = float(1 << 32)  # log10 values are added as integers, so sums don't depend on their order
 UNITS = float(1 << 48)  # the same for probabilities
 MOST_BITS = 26
+HELD = 1 << 22  # sequences that a task holds before it gives them out, packed
+RANGE = 1 << 19  # words of the corpus for each range of keys
 
 
 @dataclass(frozen=True)
@@ -57,6 +68,7 @@ class Settings:
     prior: float = 8.0
     test: float = 16.0
     head: int = 1 << 18  # sequences that are sent to all tasks
+    listed: int = 1 << 20  # contexts, and words, that are counted by their places in a list
 
 
 @dataclass(frozen=True)
@@ -68,6 +80,15 @@ class Tree:
     words: int
     settings: Settings
 
+    @property
+    def range_bits(self) -> int:
+        return _range_bits(self.tokens)
+
+
+def _range_bits(tokens: int) -> int:
+    """64 ranges of keys or more, in proportion to the corpus."""
+    return min(24, max(6, math.ceil(math.log2(max(1, tokens) / RANGE))))
+
 
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
@@ -153,47 +174,212 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+# packed numbers
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers, most of them small or alike, in little room."""
+    wide = np.ascontiguousarray(values).astype("<u8")
+    width = (int(wide.max(initial=0)).bit_length() + 7) // 8
+    planes = wide.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return struct.pack("<QB", len(wide), width) + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", data)
+    out = np.zeros((n, 8), np.uint8)
+    if n and width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    return packed(np.diff(ascending, prepend=U(0)))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=U)
+
+
+def _cuts(ascending: np.ndarray, bits: int, ranges: int) -> Iterator[tuple[int, slice]]:
+    """Each range of keys of ``bits`` bits that has some, by its number, with the stretch of them."""
+    of = (ascending >> U(bits - ranges)).astype(np.int64)
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    for i, n in zip(at.tolist(), np.diff(at, append=len(of)).tolist(), strict=True):
+        yield int(of[i]), slice(i, i + n)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the sum of its ``n``, or else its number."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    if n is None:
+        return ordered[at], order[at], np.diff(at, append=len(keys))
+    return ordered[at], order[at], np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
+
+
+@dataclass(frozen=True)
+class Places:
+    """Keys in order, with the place where each stretch of them begins; the last is no key, and what isn't found is there."""
+
+    key: np.ndarray
+    starts: np.ndarray
+    shift: int
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or of the last if it isn't there."""
+        at = self.starts[(keys >> U(self.shift)).astype(np.int64)]
+        behind = np.flatnonzero(self.key[at] < keys)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.key[at[behind]] < keys[behind]]
+        return np.where(self.key[at] == keys, at, len(self.key) - 1)
+
+
+def _places(ordered: np.ndarray) -> Places:
+    bits = max(1, min(22, math.ceil(math.log2(len(ordered) + 2))))
+    key = np.append(ordered, U(0xFFFFFFFFFFFFFFFF))
+    starts = np.searchsorted(key, np.arange(1 << bits, dtype=U) << U(64 - bits)).astype(np.int32)
+    return Places(key, starts, 64 - bits)
+
+
+@dataclass(frozen=True)
+class Listed:
+    """The most frequent of some keys; ``whole`` if they are all of them."""
+
+    places: Places
+    whole: bool
+
+    def __len__(self) -> int:
+        return len(self.places.key) - 1
+
+
+def _least(rows: DataFrame, room: int) -> tuple[int, int]:
+    """``n`` from which on ``rows(n)`` are at most ``room``, a power of two or 0, and the number of rows below."""
+    by_size = rows.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect()  # 64 rows at most
+    for i, r in enumerate(by_size):
+        room -= r["rows"]
+        if room < 0:
+            return 1 << (r["size"] + 1), sum(x["rows"] for x in by_size[i:])
+    return 0, 0
+
+
+def listed(rows: DataFrame, room: int) -> Listed:
+    """Of ``rows(key, n)``."""
+    least, below = _least(rows, room)
+    key = rows.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy().view(U)
+    return Listed(_places(np.sort(key)), below == 0)
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Numbers of pairs of a listed context and a listed word: spread evenly over ``bits`` bits, and one to one."""
+
+    contexts: Listed
+    words: Listed
+    ranges: int
+
+    @property
+    def bits(self) -> int:
+        return max(self.ranges, (max(1, len(self.contexts)) * max(1, len(self.words))).bit_length())
+
+    def of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (context.astype(U) * U(len(self.words)) + word.astype(U)) * U(SPREAD) & U((1 << self.bits) - 1)
+
+    def keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain = codes * U(pow(SPREAD, -1, 1 << 64)) & U((1 << self.bits) - 1)
+        context, word = np.divmod(plain, U(max(1, len(self.words))))
+        return self.contexts.places.key[context.astype(np.int64)], self.words.places.key[word.astype(np.int64)]
+
+
+SPREAD = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+
+
 def _after(keys: np.ndarray, ok: np.ndarray, word: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Contexts that ``ok`` marks by their last place, each with the word after it, where ``often`` marks that."""
     follows = np.flatnonzero(ok[:-1] & often[1:]) + 1
     return keys[follows - 1], word[follows]
 
 
-def pair_counts(texts: DataFrame, contexts: Bitmap, stored: Bitmap, depth: tuple[int, int]) -> DataFrame:
-    """``(level, prefix, word, n)``: how often words follow contexts of ``depth[0]`` to ``depth[1]`` words.
+PACKED_PAIRS = pa.schema([("range", pa.int32()), ("codes", pa.binary()), ("code_n", pa.binary()), ("prefix", pa.binary()), ("word", pa.binary()), ("pair_n", pa.binary())])
+
+
+class _Held:
+    """Pairs of a task that weren't given out yet: codes, and contexts and words of those that have none."""
+
+    def __init__(self, codes: Codes) -> None:
+        self.by, self.codes, self.prefix, self.word, self.n = codes, [], [], [], 0
+
+    def add(self, prefix: np.ndarray, word: np.ndarray) -> None:
+        by = self.by
+        c, w = by.contexts.places.find(prefix), by.words.places.find(word)
+        no_c, no_w = c == len(by.contexts), w == len(by.words)
+        both = ~(no_c | no_w)
+        # what a whole list hasn't is no frequent context, or no word that is seen often enough
+        others = np.flatnonzero(~both & ~(no_c & by.contexts.whole) & ~(no_w & by.words.whole))
+        self.codes.append(by.of(c[both], w[both]))
+        self.prefix.append(prefix[others])
+        self.word.append(word[others])
+        self.n += len(self.codes[-1]) + len(others)
+
+    def given_out(self) -> pa.RecordBatch:
+        rows: dict[int, dict] = {}
+        codes, _, n = _summed(np.concatenate(self.codes))
+        for r, part in _cuts(codes, self.by.bits, self.by.ranges):
+            rows[r] = {"range": r, "codes": _steps(codes[part]), "code_n": packed(n[part])}
+        prefix, word = np.concatenate(self.prefix), np.concatenate(self.word)
+        key, at, n = _summed(joined(prefix, word))
+        for r, part in _cuts(key, 64, self.by.ranges):
+            rows[r] = rows.get(r, {"range": r}) | {"prefix": packed(prefix[at[part]]), "word": packed(word[at[part]]), "pair_n": packed(n[part])}
+        self.codes, self.prefix, self.word, self.n = [], [], [], 0
+        return pa.RecordBatch.from_pylist(list(rows.values()), PACKED_PAIRS)
+
+
+def pair_counts(texts: DataFrame, contexts: Bitmap, often: Bitmap, codes: Codes, level: int, least: int) -> DataFrame:
+    """``(prefix, word, n)``: how often words follow frequent contexts of ``level`` words, if ``least`` times or more.
 
-    ``contexts`` marks frequent contexts of ``depth[0]`` words, ``stored``
-    sequences of as many that are seen often enough to be stored.  A longer
-    context counts if each such part of it is marked, and a word after it if the
-    last such part, with the word, is: else neither can be frequent.
+    ``contexts`` marks the contexts, ``often`` sequences of as many words that
+    are seen often enough to be stored.  A word after a context counts if its
+    last ``level`` words are marked: else it can't be frequent.
     """
     sc = texts.sparkSession.sparkContext
-    sent = sc.broadcast((contexts, stored))
+    sent = sc.broadcast((contexts, often, codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, often = sent.value
+        frequent, stored_, by = sent.value
+        held = _Held(by)
         for batch in batches:
             for part in slices(batch, limit=4 << 20):
                 t = tokens_of(part.column("text"))
-                place = t.place
-                keys = [t.key]
-                for _ in range(depth[0] - 1):
-                    keys.append(_longer(keys[-1], t.key))
-                marked = frequent.has(keys[-1]) & (place >= depth[0] - 1)
-                last = often.has(keys[-1]) & (place >= depth[0])
-                ok = marked
-                for level in range(depth[0], depth[1] + 1):
-                    if level > depth[0]:
-                        keys.append(_longer(keys[-1], t.key))
-                        ok = np.concatenate(([False], ok[:-1])) & marked & (place >= level - 1)
-                    prefix, word = _after(keys[-1], ok, t.key, last)
-                    if not len(prefix):
-                        continue
-                    _, at, n = np.unique(joined(prefix, word), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, np.int32)), _signed(prefix[at]), _signed(word[at]), pa.array(n)], ["level", "prefix", "word", "n"])
-
-    found = texts.select("text").mapInArrow(run, "level int, prefix long, word long, n long")
-    return found.groupBy("level", "prefix", "word").agg(F.sum("n").alias("n"))
+                place, keys = t.place, t.key
+                for _ in range(level - 1):
+                    keys = _longer(keys, t.key)
+                held.add(*_after(keys, frequent.has(keys) & (place >= level - 1), t.key, stored_.has(keys) & (place >= level)))
+                if held.n >= HELD:
+                    yield held.given_out()
+        if held.n:
+            yield held.given_out()
+
+    def total(group: pa.Table) -> pa.Table:
+        by, rows = sent.value[2], group.to_pylist()
+        some = [r for r in rows if r["codes"] is not None]
+        found = []
+        if some:
+            code, _, n = _summed(np.concatenate([_from_steps(r["codes"]) for r in some]), np.concatenate([unpacked(r["code_n"]) for r in some]).view(np.int64))
+            enough = n >= least
+            found.append((*by.keys(code[enough]), n[enough]))
+        some = [r for r in rows if r["prefix"] is not None]
+        if some:
+            prefix, word, n = (np.concatenate([unpacked(r[c]) for r in some]) for c in ("prefix", "word", "pair_n"))
+            _, at, n = _summed(joined(prefix, word), n.view(np.int64))
+            enough = n >= least
+            found.append((prefix[at[enough]], word[at[enough]], n[enough]))
+        prefix, word, n = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"prefix": _signed(prefix), "word": _signed(word), "n": pa.array(n)})
+
+    asked = texts.select("text").mapInArrow(run, "range int, codes binary, code_n binary, prefix binary, word binary, pair_n binary")
+    return asked.groupBy("range").applyInArrow(total, "prefix long, word long, n long")
 
 
 def _longer(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -236,30 +422,27 @@ def grown(texts: DataFrame, settings: Settings = Settings()) -> Tree:
 
 
 def _grown(texts: DataFrame, s: Settings) -> Tree:
-    words = cut(word_counts(texts))
+    words = stored(word_counts(texts))
     seen = words.where(F.col("key") != BEGIN)
     tokens, kinds, frequent = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") >= s.context)).first()
     root = words.select("key", "n", F.lit(None).cast("long").alias("suffix"), F.when(F.col("key") != BEGIN, F.log((F.col("n") + 1) / F.lit(float(tokens + kinds + 1)))).alias("lp"))
     grams = [root]
-    contexts = [cut(root.where((F.col("n") >= s.context) & (F.col("key") != END)).select("key", "n", "suffix", F.lit(None).cast("long").alias("prefix")))]
-    if s.depth >= 1:
-        often = bitmap(words.where(F.col("n") >= s.pair), kinds)
-        counted = pair_counts(texts, bitmap(contexts[0], frequent + 1), often, (1, 1)).where(F.col("n") >= s.pair)
-        grams.append(cut(_smoothed(counted, contexts[0], root, 1, s)))
-    if s.depth >= 2:
-        contexts.append(_contexts(grams[1], s))
-        often = bitmap(grams[1], grams[1].count())
-        counted = cut(pair_counts(texts, bitmap(contexts[1], contexts[1].count()), often, (2, s.depth)).where(F.col("n") >= s.pair))
-        for level in range(2, s.depth + 1):
-            grams.append(cut(_smoothed(counted.where(F.col("level") == level), contexts[level - 1], grams[level - 1], level, s)))
-            if level < s.depth:
-                contexts.append(_contexts(grams[level], s))
+    contexts = [stored(root.where((F.col("n") >= s.context) & (F.col("key") != END)).select("key", "n", "suffix", F.lit(None).cast("long").alias("prefix")))]
+    often = words.where(F.col("n") >= s.pair)
+    known = listed(often, s.listed) if s.depth else None
+    for level in range(1, s.depth + 1):
+        marks = bitmap(contexts[-1], frequent + 1 if level == 1 else contexts[-1].count()), bitmap(often, kinds if level == 1 else often.count())
+        counted = pair_counts(texts, *marks, Codes(listed(contexts[-1], s.listed), known, _range_bits(tokens)), level, s.pair)
+        grams.append(stored(_smoothed(counted, contexts[-1], grams[-1], level, s)))
+        often = grams[-1]
+        if level < s.depth:
+            contexts.append(_contexts(grams[-1], s))
     return Tree(_table(grams, contexts, s), tokens, kinds, s)
 
 
 def _contexts(grams: DataFrame, s: Settings) -> DataFrame:
     """Stored sequences that are candidates: frequent, and not at a text's end."""
-    return cut(grams.where((F.col("n") >= s.context) & (F.col("word") != END)).select("key", "n", "suffix", "prefix"))
+    return stored(grams.where((F.col("n") >= s.context) & (F.col("word") != END)).select("key", "n", "suffix", "prefix"))
 
 
 def _smoothed(counted: DataFrame, contexts: DataFrame, shorter: DataFrame, level: int, s: Settings) -> DataFrame:
@@ -298,10 +481,10 @@ def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> Da
     kept: list[DataFrame] = [None] * (s.depth + 1)
     ends = None  # parts of longer kept contexts
     for level in range(s.depth, 0, -1):
-        states = cut(_states(grams[level], s))
+        states = stored(_states(grams[level], s))
         mine = states.where("passes").select("key")
         mine = (mine if ends is None else mine.unionByName(ends)).distinct()
-        kept[level] = cut(mine.join(states, "key", "left").select("key", F.coalesce("share", F.lit(0.0)).alias("share")))
+        kept[level] = stored(mine.join(states, "key", "left").select("key", F.coalesce("share", F.lit(0.0)).alias("share")))
         if level > 1:
             parts = contexts[level - 1].join(broadcast_if_small(kept[level].select("key"), 8), "key", "left_semi")
             ends = parts.select(F.explode(F.array("prefix", "suffix")).alias("key"))
@@ -322,7 +505,7 @@ def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> Da
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
-    return cut(out)
+    return stored(out)
 
 
 # scores
@@ -330,35 +513,23 @@ def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> Da
 
 @dataclass(frozen=True)
 class Head:
-    """The most frequent sequences, sorted by key, with the place where each stretch of keys begins."""
+    """The most frequent sequences by their places, with what they add; at the last place nothing."""
 
-    key: np.ndarray
+    places: Places
     score: np.ndarray
     base: np.ndarray
     flags: np.ndarray  # 1: a known word, 2: a state
-    starts: np.ndarray
-    shift: int
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or the number of keys if it isn't there."""
-        at = self.starts[(keys >> U(self.shift)).astype(np.int64)]
-        behind = np.flatnonzero(self.key[at] < keys)
-        while len(behind):
-            at[behind] += 1
-            behind = behind[self.key[at[behind]] < keys[behind]]
-        return np.where(self.key[at] == keys, at, len(self.key) - 1)
 
 
 def _head(rows: DataFrame) -> Head:
     got = rows.select("key", "score", "base", (F.col("known").cast("int") + 2 * F.col("grow").cast("int")).cast("byte").alias("flags")).toArrow()
     key = got.column("key").to_numpy().view(U)
     order = np.argsort(key)
-    # a last row that no sequence has: what isn't found points there
-    arrays = [np.append(got.column(c).to_numpy()[order], 0) for c in ("score", "base", "flags")]
-    bits = max(1, min(22, math.ceil(math.log2(len(key) + 2))))
-    sorted_ = np.append(key[order], U(0xFFFFFFFFFFFFFFFF))
-    starts = np.searchsorted(sorted_, np.arange(1 << bits, dtype=U) << U(64 - bits)).astype(np.int32)
-    return Head(sorted_, *arrays, starts, 64 - bits)
+    return Head(_places(key[order]), *(np.append(got.column(c).to_numpy()[order], 0) for c in ("score", "base", "flags")))
+
+
+ASKED = "_flush long, _place int, _range int, _a binary, _b binary, _c binary"
+ANSWERS = pa.schema([("_flush", pa.int64()), ("_range", pa.int32()), ("_a", pa.binary()), ("_b", pa.binary()), ("_c", pa.binary())])
 
 
 def scored(docs: DataFrame, tree: Tree, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -366,45 +537,59 @@ def scored(docs: DataFrame, tree: Tree, keys: tuple[str, ...] = ("doc_id",), tex
 
     Scores are log10 probabilities of the words, lower-cased, and of the end.
     """
-    s, sc = tree.settings, docs.sparkSession.sparkContext
-    by_size = tree.rows.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect()  # 64 rows at most
-    least, room = 0, s.head
-    for r in by_size:
-        room -= r["rows"]
-        if room < 0:
-            least = 1 << (r["size"] + 1)
-            break
+    with shuffles_freed(docs.sparkSession):
+        return _scored(docs, tree, keys, text)
+
+
+def _scored(docs: DataFrame, tree: Tree, keys: tuple[str, ...], text: str) -> DataFrame:
+    s, sc, ranges = tree.settings, docs.sparkSession.sparkContext, tree.range_bits
+    least, n_rest = _least(tree.rows, s.head)
     head = sc.broadcast(_head(tree.rows.where(F.col("n") >= least)))
     rest = tree.rows.where(F.col("n") < least)
-    n_rest = sum(r["rows"] for r in by_size if r["size"] < math.log2(least)) if least else 0
     marks = sc.broadcast(bitmap(rest, n_rest) if n_rest else None)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema), "n_tokens long, n_known long, _base long, _score long, _rest array<long>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema), "n_tokens long, n_known long, _base long, _score long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flush, rows, asked_at, asked_key = TaskContext.get().partitionId() << 32, 0, [], []
+        kinds = None
         for batch in batches:
             for part in slices(batch, "_text"):
                 t = tokens_of(part.column("_text"))
-                sums, rest_ = _added(t, head.value, marks.value, s.depth)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(np.diff(t.first) - 1), *map(pa.array, sums), rest_], [*keys, "n_tokens", "n_known", "_base", "_score", "_rest"])
-
-    found = docs.select(*keys, text_of(text).alias("_text")).mapInArrow(run, schema)
+                sums, at, key = _added(t, head.value, marks.value, s.depth)
+                n = part.num_rows
+                place = pa.array(np.arange(rows, rows + n, dtype=np.int32))
+                out = pa.table({**{k: part.column(k) for k in keys}, "n_tokens": np.diff(t.first) - 1, "n_known": sums[0], "_base": sums[1], "_score": sums[2], "_flush": np.full(n, flush), "_place": place, "_range": pa.nulls(n, pa.int32()), **{c: pa.nulls(n, pa.binary()) for c in ("_a", "_b", "_c")}})
+                kinds = out.schema
+                yield from out.to_batches()
+                rows += n
+                asked_at.append(at + (rows - n))
+                asked_key.append(key)
+                if sum(map(len, asked_key)) >= HELD:
+                    yield _asked(flush, asked_at, asked_key, ranges, kinds)
+                    flush, rows, asked_at, asked_key = flush + 1, 0, [], []
+        if any(map(len, asked_key)):
+            yield _asked(flush, asked_at, asked_key, ranges, kinds)
+
+    found = docs.select(*keys, text_of(text).alias("_text")).mapInArrow(run, f"{schema}, {ASKED}")
     if n_rest:
-        found = cut(with_row_key(found))
-        more = found.select("_row", F.explode("_rest").alias("key")).join(rest.select("key", "base", "score", "known"), "key")
-        more = more.groupBy("_row").agg(F.sum("base").alias("_b"), F.sum("score").alias("_s"), F.count_if("known").alias("_k"))
-        found = found.join(more, "_row", "left").withColumns({a: F.col(a) + F.coalesce(F.col(b), F.lit(0)) for a, b in (("_base", "_b"), ("_score", "_s"), ("n_known", "_k"))})
+        found = stored(found)
+        asked = found.where("_range >= 0").select("_flush", "_range", "_a")
+        rows = rest.select(F.shiftrightunsigned("key", 64 - ranges).cast("int").alias("_range"), "key", "base", (F.col("score") - F.col("base")).alias("more"), F.col("known").cast("int").alias("known"))
+        answers = asked.groupBy("_range").cogroup(rows.groupBy("_range")).applyInArrow(_answered, "_flush long, _range int, _a binary, _b binary, _c binary")
+        both = found.where("_range is null or _range < 0").unionByName(answers, allowMissingColumns=True)
+        found = both.groupBy("_flush").applyInArrow(_with_rest, schema)
     each = F.col("n_tokens") * math.log10(tree.tokens + tree.words + 1)
     return found.select(*keys, "n_tokens", "n_known", (F.col("_base") / SCALE - each).alias("base_score"), (F.col("_score") / SCALE - each).alias("score"))
 
 
-def _added(t: Tokens, head: Head, marks: Bitmap | None, depth: int) -> tuple[list[np.ndarray], pa.Array]:
-    """By text: known words, base and score of sequences in the head; and keys of those that may be among the rest."""
+def _added(t: Tokens, head: Head, marks: Bitmap | None, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """By text: known words, base and score of sequences in the head; and keys of those that may be among the rest, each with its text's number."""
     n, place = len(t.key), t.place
     score, base, known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     at, keys = np.arange(n), t.key
     rest_at, rest_key = [np.zeros(0, np.int64)], [np.zeros(0, U)]
     for level in range(1, depth + 2):
-        where = head.find(keys)
+        where = head.places.find(keys)
         score[at] += head.score[where]
         flags = head.flags[where]
         if level == 1:
@@ -412,7 +597,7 @@ def _added(t: Tokens, head: Head, marks: Bitmap | None, depth: int) -> tuple[lis
             known += flags & 1
         grow = flags & 2 != 0
         if marks is not None:
-            lost = np.flatnonzero(where == len(head.key) - 1)
+            lost = np.flatnonzero(where == len(head.score) - 1)
             lost = lost[marks.has(keys[lost])]
             rest_at.append(at[lost])
             rest_key.append(keys[lost])
@@ -423,10 +608,58 @@ def _added(t: Tokens, head: Head, marks: Bitmap | None, depth: int) -> tuple[lis
         keys, at = joined(keys[grow], t.key[at[grow] + 1]), at[grow] + 1
     ends = np.stack([known, base, score]).cumsum(axis=1)
     ends = np.concatenate([np.zeros((3, 1), np.int64), ends], axis=1)[:, t.first]
-    rest_at, rest_key = np.concatenate(rest_at), np.concatenate(rest_key)
-    order = np.argsort(rest_at, kind="stable")
-    offsets = np.searchsorted(rest_at[order], t.first).astype(np.int32)
-    return list(np.diff(ends, axis=1)), pa.ListArray.from_arrays(pa.array(offsets), _signed(rest_key[order]))
+    text = np.searchsorted(t.first, np.concatenate(rest_at), side="right") - 1
+    return list(np.diff(ends, axis=1)), text, np.concatenate(rest_key)
+
+
+def _asked(flush: int, at: list[np.ndarray], key: list[np.ndarray], ranges: int, schema: pa.Schema) -> pa.RecordBatch:
+    """A row for each range, with the keys asked for; and one, of range -1, that says how often each is asked for and for which rows."""
+    at, key = np.concatenate(at), np.concatenate(key)
+    order = np.argsort(key, kind="stable")
+    kinds, _, n = _summed(key[order])
+    rows = [{"_flush": flush, "_range": r, "_a": _steps(kinds[part])} for r, part in _cuts(kinds, 64, ranges)]
+    return pa.RecordBatch.from_pylist([*rows, {"_flush": flush, "_range": -1, "_a": packed(n), "_b": packed(at[order])}], schema)
+
+
+def _answered(asked: pa.Table, rows: pa.Table) -> pa.Table:
+    """What each key of a range adds to base and score, and whether it is a known word; nothing if it isn't in ``rows``."""
+    out = []
+    if asked.num_rows:
+        if rows.num_rows:
+            key = rows.column("key").to_numpy().view(U)
+            order = np.argsort(key)
+            key = key[order]
+            base, more, known = (np.append(rows.column(c).to_numpy()[order].astype(np.int64), 0) for c in ("base", "more", "known"))
+        for r in asked.to_pylist():
+            keys = _from_steps(r["_a"])
+            if rows.num_rows:
+                at = np.searchsorted(key, keys)
+                at = np.where(key[np.minimum(at, len(key) - 1)] == keys, at, len(key))
+                r |= {"_a": packed(base[at]), "_b": packed((more[at] << 1) ^ (more[at] >> 63)), "_c": packed(known[at])}
+            else:
+                r |= dict.fromkeys(("_a", "_b", "_c"), packed(np.zeros(len(keys), U)))
+            out.append(r)
+    return pa.Table.from_pylist(out, ANSWERS)
+
+
+def _with_rest(group: pa.Table) -> pa.Table:
+    """Rows of texts with what their sequences among the rest add."""
+    texts = group.filter(pa.compute.is_valid(group.column("_place")))
+    asked = group.filter(pa.compute.is_valid(group.column("_range"))).select(["_range", "_a", "_b", "_c"]).sort_by("_range").to_pylist()
+    names = [c for c in group.column_names if c not in ("_flush", "_place", "_range", "_a", "_b", "_c")]
+    out = texts.select(names)
+    if not asked:
+        return out
+    times, at = unpacked(asked[0]["_a"]).astype(np.int64), unpacked(asked[0]["_b"]).astype(np.int64)
+    base, more, known = (np.concatenate([unpacked(r[c]) for r in asked[1:]]) for c in ("_a", "_b", "_c"))
+    base, more, known = base.view(np.int64), (more >> U(1)).view(np.int64) ^ -(more & U(1)).view(np.int64), known.view(np.int64)
+    place = texts.column("_place").to_numpy()
+    for name, value in (("n_known", known), ("_base", base), ("_score", base + more)):
+        sums = np.zeros(texts.num_rows, np.int64)
+        np.add.at(sums, at, np.repeat(value, times))
+        i = names.index(name)
+        out = out.set_column(i, name, pa.array(out.column(i).to_numpy() + sums[place]))
+    return out
 
 
 def op12_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
