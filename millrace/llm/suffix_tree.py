@@ -17,14 +17,15 @@ The logarithm of that is a sum over the text's word sequences: each stored
 sequence g = cs adds log P(s | c) - log P(s | suffix of c) - log share(c), and
 each that is a state adds log share(g) for the word after it.  So the tree is
 one table from a sequence's hash to a number, and scoring adds up numbers.  The
-most frequent sequences, a fixed number of them, go to all tasks; of the rest,
-which grows with the corpus, each batch of texts asks once for each sequence that
-a bitmap of fixed size doesn't sort out.  Nothing else is sent anywhere whole.
+most frequent words, states and other sequences, fixed numbers of them, go to all
+tasks; the rest, which grows with the corpus, is asked for what a bitmap of fixed
+size doesn't sort out, and answers with sums for each text.  Nothing else is sent
+anywhere whole.
 
 What tasks count or ask for is dealt out by ranges of keys as packed columns, one
 row for each batch and range: sorted numbers as their steps, bytes of equal
-weight together.  Frequent contexts and words, again a fixed number of them, are
-counted by their places in a list; others by their hashes.
+weight together.  A sequence of a context and a word that all tasks have is known
+by their two numbers, which take less room than its hash; others by the hash.
 
 Words and sequences are known by 64-bit hashes: of v distinct ones some two are
 expected to agree with probability v * v / 2^65.
@@ -40,7 +41,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +54,7 @@ BLOCK = 1 << 20  # bytes whose words are hashed together
 SCALE = float(1 << 32)  # log10 values are added as integers, so sums don't depend on their order
 UNITS = float(1 << 48)  # the same for probabilities
 MOST_BITS = 26
-HELD = 1 << 22  # sequences that a task holds before it gives them out, packed
-RANGE = 1 << 19  # words of the corpus for each range of keys
+RANGE = 1 << 21  # words of the corpus for each range of keys
 
 
 @dataclass(frozen=True)
@@ -68,12 +67,13 @@ class Settings:
     prior: float = 8.0
     test: float = 16.0
     head: int = 1 << 18  # sequences that are sent to all tasks
-    listed: int = 1 << 20  # contexts, and words, that are counted by their places in a list
+    listed: int = 1 << 20  # contexts, and words, that all tasks have a number for
+    held: int = 1 << 22  # sequences that a task gathers before it gives them out, packed
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``rows(key, score, base, known, grow, n)``: sequences with their additions; ``tokens`` and ``words`` of the corpus."""
+    """``rows(key, prefix, word, score, base, known, grow, n)``: sequences, of a prefix and a word if they are longer, with their additions; ``tokens`` and ``words`` of the corpus."""
 
     rows: DataFrame
     tokens: int
@@ -273,24 +273,41 @@ def listed(rows: DataFrame, room: int) -> Listed:
 
 
 @dataclass(frozen=True)
-class Codes:
-    """Numbers of pairs of a listed context and a listed word: spread evenly over ``bits`` bits, and one to one."""
+class Grid:
+    """Codes of pairs of one of ``contexts`` and one of ``words`` numbers: spread evenly over ``bits`` bits, and one to one."""
 
-    contexts: Listed
-    words: Listed
+    contexts: int
+    words: int
     ranges: int
 
     @property
     def bits(self) -> int:
-        return max(self.ranges, (max(1, len(self.contexts)) * max(1, len(self.words))).bit_length())
+        return max(self.ranges, (max(1, self.contexts) * max(1, self.words)).bit_length())
 
     def of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return (context.astype(U) * U(len(self.words)) + word.astype(U)) * U(SPREAD) & U((1 << self.bits) - 1)
+        return (context.astype(U) * U(self.words) + word.astype(U)) * U(SPREAD) & U((1 << self.bits) - 1)
 
-    def keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def parts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         plain = codes * U(pow(SPREAD, -1, 1 << 64)) & U((1 << self.bits) - 1)
-        context, word = np.divmod(plain, U(max(1, len(self.words))))
-        return self.contexts.places.key[context.astype(np.int64)], self.words.places.key[word.astype(np.int64)]
+        context, word = np.divmod(plain, U(max(1, self.words)))
+        return context.astype(np.int64), word.astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Codes of listed contexts, each with a listed word."""
+
+    contexts: Listed
+    words: Listed
+    ranges: int
+
+    @property
+    def grid(self) -> Grid:
+        return Grid(len(self.contexts), len(self.words), self.ranges)
+
+    def keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        context, word = self.grid.parts(codes)
+        return self.contexts.places.key[context], self.words.places.key[word]
 
 
 SPREAD = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
@@ -318,7 +335,7 @@ class _Held:
         both = ~(no_c | no_w)
         # what a whole list hasn't is no frequent context, or no word that is seen often enough
         others = np.flatnonzero(~both & ~(no_c & by.contexts.whole) & ~(no_w & by.words.whole))
-        self.codes.append(by.of(c[both], w[both]))
+        self.codes.append(by.grid.of(c[both], w[both]))
         self.prefix.append(prefix[others])
         self.word.append(word[others])
         self.n += len(self.codes[-1]) + len(others)
@@ -326,7 +343,7 @@ class _Held:
     def given_out(self) -> pa.RecordBatch:
         rows: dict[int, dict] = {}
         codes, _, n = _summed(np.concatenate(self.codes))
-        for r, part in _cuts(codes, self.by.bits, self.by.ranges):
+        for r, part in _cuts(codes, self.by.grid.bits, self.by.ranges):
             rows[r] = {"range": r, "codes": _steps(codes[part]), "code_n": packed(n[part])}
         prefix, word = np.concatenate(self.prefix), np.concatenate(self.word)
         key, at, n = _summed(joined(prefix, word))
@@ -336,8 +353,8 @@ class _Held:
         return pa.RecordBatch.from_pylist(list(rows.values()), PACKED_PAIRS)
 
 
-def pair_counts(texts: DataFrame, contexts: Bitmap, often: Bitmap, codes: Codes, level: int, least: int) -> DataFrame:
-    """``(prefix, word, n)``: how often words follow frequent contexts of ``level`` words, if ``least`` times or more.
+def pair_counts(texts: DataFrame, contexts: Bitmap, often: Bitmap, codes: Codes, level: int, s: Settings) -> DataFrame:
+    """``(prefix, word, n)``: how often words follow frequent contexts of ``level`` words, if ``s.pair`` times or more.
 
     ``contexts`` marks the contexts, ``often`` sequences of as many words that
     are seen often enough to be stored.  A word after a context counts if its
@@ -356,7 +373,7 @@ def pair_counts(texts: DataFrame, contexts: Bitmap, often: Bitmap, codes: Codes,
                 for _ in range(level - 1):
                     keys = _longer(keys, t.key)
                 held.add(*_after(keys, frequent.has(keys) & (place >= level - 1), t.key, stored_.has(keys) & (place >= level)))
-                if held.n >= HELD:
+                if held.n >= s.held:
                     yield held.given_out()
         if held.n:
             yield held.given_out()
@@ -367,13 +384,13 @@ def pair_counts(texts: DataFrame, contexts: Bitmap, often: Bitmap, codes: Codes,
         found = []
         if some:
             code, _, n = _summed(np.concatenate([_from_steps(r["codes"]) for r in some]), np.concatenate([unpacked(r["code_n"]) for r in some]).view(np.int64))
-            enough = n >= least
+            enough = n >= s.pair
             found.append((*by.keys(code[enough]), n[enough]))
         some = [r for r in rows if r["prefix"] is not None]
         if some:
             prefix, word, n = (np.concatenate([unpacked(r[c]) for r in some]) for c in ("prefix", "word", "pair_n"))
             _, at, n = _summed(joined(prefix, word), n.view(np.int64))
-            enough = n >= least
+            enough = n >= s.pair
             found.append((prefix[at[enough]], word[at[enough]], n[enough]))
         prefix, word, n = map(np.concatenate, zip(*found, strict=True))
         return pa.table({"prefix": _signed(prefix), "word": _signed(word), "n": pa.array(n)})
@@ -432,7 +449,7 @@ def _grown(texts: DataFrame, s: Settings) -> Tree:
     known = listed(often, s.listed) if s.depth else None
     for level in range(1, s.depth + 1):
         marks = bitmap(contexts[-1], frequent + 1 if level == 1 else contexts[-1].count()), bitmap(often, kinds if level == 1 else often.count())
-        counted = pair_counts(texts, *marks, Codes(listed(contexts[-1], s.listed), known, _range_bits(tokens)), level, s.pair)
+        counted = pair_counts(texts, *marks, Codes(listed(contexts[-1], s.listed), known, _range_bits(tokens)), level, s)
         grams.append(stored(_smoothed(counted, contexts[-1], grams[-1], level, s)))
         often = grams[-1]
         if level < s.depth:
@@ -492,16 +509,16 @@ def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> Da
     for level in range(s.depth + 1):
         given = grams[level]
         if level == 0:
-            given = given.select("key", "n", F.when(F.col("lp").isNull(), 0).otherwise(F.log(F.col("n") + 1.0)).alias("adds"), F.col("lp").isNotNull().alias("known"))
+            given = given.select("key", F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("word"), "n", F.when(F.col("lp").isNull(), 0).otherwise(F.log(F.col("n") + 1.0)).alias("adds"), F.col("lp").isNotNull().alias("known"))
         else:
             before = broadcast_if_small(kept[level].select(F.col("key").alias("prefix"), F.col("share").alias("given")), 16)
-            given = given.join(before, "prefix").select("key", "n", (F.col("lp") - F.col("lp_suffix") - F.col("given")).alias("adds"), F.lit(False).alias("known"))
+            given = given.join(before, "prefix").select("key", "prefix", "word", "n", (F.col("lp") - F.col("lp_suffix") - F.col("given")).alias("adds"), F.lit(False).alias("known"))
         if level < s.depth:
             given = given.join(broadcast_if_small(kept[level + 1], 16), "key", "left")
         else:
             given = given.withColumn("share", F.lit(None).cast("double"))
         base = F.when(F.col("known"), fixed(F.col("adds"))).otherwise(F.lit(0))
-        rows.append(given.select("key", "n", (fixed(F.col("adds")) + fixed(F.coalesce("share", F.lit(0.0)))).alias("score"), base.cast("long").alias("base"), "known", F.col("share").isNotNull().alias("grow")))
+        rows.append(given.select("key", "prefix", "word", "n", (fixed(F.col("adds")) + fixed(F.coalesce("share", F.lit(0.0)))).alias("score"), base.cast("long").alias("base"), "known", F.col("share").isNotNull().alias("grow")))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
@@ -513,23 +530,29 @@ def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> Da
 
 @dataclass(frozen=True)
 class Head:
-    """The most frequent sequences by their places, with what they add; at the last place nothing."""
+    """What all tasks have of the tree, by place, with what it adds; at the last place nothing.  States and words are numbered."""
 
     places: Places
     score: np.ndarray
     base: np.ndarray
     flags: np.ndarray  # 1: a known word, 2: a state
+    word: np.ndarray  # its number, or -1
+    state: np.ndarray
+    whole: bool  # there are no other states
+    ranges: int
+
+    @property
+    def grid(self) -> Grid:
+        return Grid(int(self.state.max()) + 1, int(self.word.max()) + 1, self.ranges)
 
 
-def _head(rows: DataFrame) -> Head:
+def _head(rows: DataFrame, whole: bool, ranges: int) -> Head:
     got = rows.select("key", "score", "base", (F.col("known").cast("int") + 2 * F.col("grow").cast("int")).cast("byte").alias("flags")).toArrow()
     key = got.column("key").to_numpy().view(U)
     order = np.argsort(key)
-    return Head(_places(key[order]), *(np.append(got.column(c).to_numpy()[order], 0) for c in ("score", "base", "flags")))
-
-
-ASKED = "_flush long, _place int, _range int, _a binary, _b binary, _c binary"
-ANSWERS = pa.schema([("_flush", pa.int64()), ("_range", pa.int32()), ("_a", pa.binary()), ("_b", pa.binary()), ("_c", pa.binary())])
+    score, base, flags = (np.append(got.column(c).to_numpy()[order], 0) for c in ("score", "base", "flags"))
+    word, state = (np.where(flags & bit != 0, np.cumsum(flags & bit != 0) - 1, -1).astype(np.int32) for bit in (1, 2))
+    return Head(_places(key[order]), score, base, flags, word, state, whole, ranges)
 
 
 def scored(docs: DataFrame, tree: Tree, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -543,51 +566,63 @@ def scored(docs: DataFrame, tree: Tree, keys: tuple[str, ...] = ("doc_id",), tex
 
 def _scored(docs: DataFrame, tree: Tree, keys: tuple[str, ...], text: str) -> DataFrame:
     s, sc, ranges = tree.settings, docs.sparkSession.sparkContext, tree.range_bits
-    least, n_rest = _least(tree.rows, s.head)
-    head = sc.broadcast(_head(tree.rows.where(F.col("n") >= least)))
-    rest = tree.rows.where(F.col("n") < least)
+    least, _ = _least(tree.rows, s.head)
+    least_word, _ = _least(tree.rows.where("known"), s.listed)
+    least_state, others = _least(tree.rows.where("grow"), s.listed)
+    sent = (F.col("n") >= least) | (F.col("known") & (F.col("n") >= least_word)) | (F.col("grow") & (F.col("n") >= least_state))
+    head = sc.broadcast(_head(tree.rows.where(sent), others == 0, ranges))
+    rest = tree.rows.where(~sent)
+    n_rest = rest.count()
     marks = sc.broadcast(bitmap(rest, n_rest) if n_rest else None)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema), "n_tokens long, n_known long, _base long, _score long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush, rows, asked_at, asked_key = TaskContext.get().partitionId() << 32, 0, [], []
-        kinds = None
+        flush, rows, asked, grid, kinds = TaskContext.get().partitionId() << 32, 0, [], head.value.grid, None
         for batch in batches:
             for part in slices(batch, "_text"):
                 t = tokens_of(part.column("_text"))
-                sums, at, key = _added(t, head.value, marks.value, s.depth)
+                sums, at, name, coded = _added(t, head.value, grid, marks.value, s.depth)
                 n = part.num_rows
-                place = pa.array(np.arange(rows, rows + n, dtype=np.int32))
-                out = pa.table({**{k: part.column(k) for k in keys}, "n_tokens": np.diff(t.first) - 1, "n_known": sums[0], "_base": sums[1], "_score": sums[2], "_flush": np.full(n, flush), "_place": place, "_range": pa.nulls(n, pa.int32()), **{c: pa.nulls(n, pa.binary()) for c in ("_a", "_b", "_c")}})
+                out = pa.table({**{k: part.column(k) for k in keys}, "n_tokens": np.diff(t.first) - 1, "n_known": sums[0], "_base": sums[1], "_score": sums[2], "_flush": np.full(n, flush), "_place": np.arange(rows, rows + n, dtype=np.int32), "_range": pa.nulls(n, pa.int32()), "_coded": pa.nulls(n, pa.bool_()), **{c: pa.nulls(n, pa.binary()) for c in PACKED}})
                 kinds = out.schema
                 yield from out.to_batches()
+                asked.append(((at + rows).astype(np.int32), name, coded))
                 rows += n
-                asked_at.append(at + (rows - n))
-                asked_key.append(key)
-                if sum(map(len, asked_key)) >= HELD:
-                    yield _asked(flush, asked_at, asked_key, ranges, kinds)
-                    flush, rows, asked_at, asked_key = flush + 1, 0, [], []
-        if any(map(len, asked_key)):
-            yield _asked(flush, asked_at, asked_key, ranges, kinds)
-
-    found = docs.select(*keys, text_of(text).alias("_text")).mapInArrow(run, f"{schema}, {ASKED}")
+                if sum(len(x[1]) for x in asked) >= s.held:
+                    yield _asked(flush, asked, grid, kinds)
+                    flush, rows, asked = flush + 1, 0, []
+        if asked:
+            yield _asked(flush, asked, grid, kinds)
+
+    found = docs.select(*keys, text_of(text).alias("_text")).mapInArrow(run, f"{schema}, _flush long, _place int, _range int, _coded boolean, _a binary, _b binary, _c binary, _d binary")
     if n_rest:
         found = stored(found)
-        asked = found.where("_range >= 0").select("_flush", "_range", "_a")
-        rows = rest.select(F.shiftrightunsigned("key", 64 - ranges).cast("int").alias("_range"), "key", "base", (F.col("score") - F.col("base")).alias("more"), F.col("known").cast("int").alias("known"))
-        answers = asked.groupBy("_range").cogroup(rows.groupBy("_range")).applyInArrow(_answered, "_flush long, _range int, _a binary, _b binary, _c binary")
-        both = found.where("_range is null or _range < 0").unionByName(answers, allowMissingColumns=True)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some: list[pa.RecordBatch] = []
+            for batch in batches:
+                some.append(batch)
+                if sum(x.num_rows for x in some) >= s.held:
+                    yield _dealt(pa.Table.from_batches(some), head.value)
+                    some = []
+            if some:
+                yield _dealt(pa.Table.from_batches(some), head.value)
+
+        held = rest.select("key", "prefix", "word", "base", (F.col("score") - F.col("base")).alias("more"), F.col("known").cast("long").alias("known")).mapInArrow(dealt, "_range int, _coded boolean, _a binary, _b binary, _c binary, _d binary")
+        asked = found.where("_range is not null").select("_flush", "_range", "_coded", "_a", "_b", "_c")
+        answers = asked.groupBy("_range").cogroup(held.groupBy("_range")).applyInArrow(_answered, "_flush long, _a binary, _b binary, _c binary, _d binary")
+        both = found.where("_range is null").unionByName(answers, allowMissingColumns=True)
         found = both.groupBy("_flush").applyInArrow(_with_rest, schema)
     each = F.col("n_tokens") * math.log10(tree.tokens + tree.words + 1)
     return found.select(*keys, "n_tokens", "n_known", (F.col("_base") / SCALE - each).alias("base_score"), (F.col("_score") / SCALE - each).alias("score"))
 
 
-def _added(t: Tokens, head: Head, marks: Bitmap | None, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """By text: known words, base and score of sequences in the head; and keys of those that may be among the rest, each with its text's number."""
+def _added(t: Tokens, head: Head, grid: Grid, marks: Bitmap | None, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """By text: known words, base and score of sequences in the head.  And of those that may be among the rest: the text's number, code or hash, and which it is."""
     n, place = len(t.key), t.place
     score, base, known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at, keys = np.arange(n), t.key
-    rest_at, rest_key = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    at, keys, state, word = np.arange(n), t.key, np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    rest_at, rest_name, rest_coded = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, bool)]
     for level in range(1, depth + 2):
         where = head.places.find(keys)
         score[at] += head.score[where]
@@ -595,70 +630,109 @@ def _added(t: Tokens, head: Head, marks: Bitmap | None, depth: int) -> tuple[lis
         if level == 1:
             base += head.base[where]
             known += flags & 1
+            word = head.word[where]
         grow = flags & 2 != 0
         if marks is not None:
             lost = np.flatnonzero(where == len(head.score) - 1)
             lost = lost[marks.has(keys[lost])]
+            coded = (state[lost] >= 0) & (word[at[lost]] >= 0)
             rest_at.append(at[lost])
-            rest_key.append(keys[lost])
-            grow[lost] = True  # whether it is a state isn't known here: longer ones are looked up, too
+            rest_name.append(np.where(coded, grid.of(state[lost], word[at[lost]]), keys[lost]))
+            rest_coded.append(coded)
+            grow[lost] = not head.whole  # whether it is a state isn't known here, if it may be: longer ones are looked up, too
         if level > depth:
             break
         grow &= t.key[at] != END
-        keys, at = joined(keys[grow], t.key[at[grow] + 1]), at[grow] + 1
+        keys, at, state = joined(keys[grow], t.key[at[grow] + 1]), at[grow] + 1, head.state[where[grow]]
     ends = np.stack([known, base, score]).cumsum(axis=1)
     ends = np.concatenate([np.zeros((3, 1), np.int64), ends], axis=1)[:, t.first]
     text = np.searchsorted(t.first, np.concatenate(rest_at), side="right") - 1
-    return list(np.diff(ends, axis=1)), text, np.concatenate(rest_key)
+    return list(np.diff(ends, axis=1)), text, np.concatenate(rest_name), np.concatenate(rest_coded)
 
 
-def _asked(flush: int, at: list[np.ndarray], key: list[np.ndarray], ranges: int, schema: pa.Schema) -> pa.RecordBatch:
-    """A row for each range, with the keys asked for; and one, of range -1, that says how often each is asked for and for which rows."""
-    at, key = np.concatenate(at), np.concatenate(key)
-    order = np.argsort(key, kind="stable")
-    kinds, _, n = _summed(key[order])
-    rows = [{"_flush": flush, "_range": r, "_a": _steps(kinds[part])} for r, part in _cuts(kinds, 64, ranges)]
-    return pa.RecordBatch.from_pylist([*rows, {"_flush": flush, "_range": -1, "_a": packed(n), "_b": packed(at[order])}], schema)
+def _zigzag(values: np.ndarray) -> np.ndarray:
+    return ((values << 1) ^ (values >> 63)).view(U)
 
 
-def _answered(asked: pa.Table, rows: pa.Table) -> pa.Table:
-    """What each key of a range adds to base and score, and whether it is a known word; nothing if it isn't in ``rows``."""
+def _signs(values: np.ndarray) -> np.ndarray:
+    return (values >> U(1)).view(np.int64) ^ -(values & U(1)).view(np.int64)
+
+
+PACKED = ("_a", "_b", "_c", "_d")
+
+
+def _asked(flush: int, asked: list[tuple[np.ndarray, ...]], grid: Grid, schema: pa.Schema) -> pa.RecordBatch:
+    """A row for each range and kind of names: the names, how often each is asked for, and for which texts."""
+    at, name, coded = (np.concatenate(x) for x in zip(*asked, strict=True))
+    rows = []
+    for kind in (True, False):  # codes, hashes
+        mine = np.flatnonzero(coded == kind)
+        mine = mine[np.argsort(name[mine], kind="stable")]
+        names, _, n = _summed(name[mine])
+        ends = np.concatenate(([0], np.cumsum(n)))
+        for r, part in _cuts(names, grid.bits if kind else 64, grid.ranges):
+            rows.append({"_flush": flush, "_range": r, "_coded": kind, "_a": _steps(names[part]), "_b": packed(n[part]), "_c": packed(at[mine[ends[part.start] : ends[part.stop]]])})
+    return pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _dealt(rows: pa.Table, head: Head) -> pa.RecordBatch:
+    """Rows of the rest, packed by range and kind of names, as they are asked for."""
+    grid, none = head.grid, len(head.score) - 1
+    key, prefix, word = (rows.column(c).fill_null(0).to_numpy().view(U) for c in ("key", "prefix", "word"))
+    longer = rows.column("prefix").is_valid().to_numpy()
+    c, w = head.places.find(prefix), head.places.find(word)
+    c, w = head.state[c], head.word[w]
+    coded = longer & (c >= 0) & (w >= 0)
+    name = np.where(coded, grid.of(c, w), key)
+    values = [rows.column("base").to_numpy().view(U), _zigzag(rows.column("more").to_numpy()), rows.column("known").to_numpy().view(U)]
     out = []
-    if asked.num_rows:
-        if rows.num_rows:
-            key = rows.column("key").to_numpy().view(U)
-            order = np.argsort(key)
-            key = key[order]
-            base, more, known = (np.append(rows.column(c).to_numpy()[order].astype(np.int64), 0) for c in ("base", "more", "known"))
-        for r in asked.to_pylist():
-            keys = _from_steps(r["_a"])
-            if rows.num_rows:
-                at = np.searchsorted(key, keys)
-                at = np.where(key[np.minimum(at, len(key) - 1)] == keys, at, len(key))
-                r |= {"_a": packed(base[at]), "_b": packed((more[at] << 1) ^ (more[at] >> 63)), "_c": packed(known[at])}
-            else:
-                r |= dict.fromkeys(("_a", "_b", "_c"), packed(np.zeros(len(keys), U)))
-            out.append(r)
-    return pa.Table.from_pylist(out, ANSWERS)
+    for kind in (True, False):  # codes, hashes
+        mine = np.flatnonzero(coded == kind)
+        mine = mine[np.argsort(name[mine])]
+        for r, part in _cuts(name[mine], grid.bits if kind else 64, grid.ranges):
+            out.append({"_range": r, "_coded": kind, "_a": _steps(name[mine[part]])} | {c: packed(v[mine[part]]) for c, v in zip(PACKED[1:], values, strict=True)})
+    return pa.RecordBatch.from_pylist(out, pa.schema([("_range", pa.int32()), ("_coded", pa.bool_()), *((c, pa.binary()) for c in PACKED)]))
+
+
+def _answered(asked: pa.Table, rows: pa.Table) -> pa.Table:
+    """For each batch of texts that asks: the texts that have sequences of ``rows``, and what those add to base, score and known words."""
+    out, given, wanted = [], rows.to_pylist(), asked.to_pylist()
+    for kind in (True, False):  # codes, hashes
+        mine = [r for r in given if r["_coded"] == kind]
+        if not mine:
+            continue
+        name = np.concatenate([_from_steps(r["_a"]) for r in mine])
+        order = np.argsort(name)
+        name = name[order]
+        base, more, known = (np.concatenate([unpacked(r[c]) for r in mine])[order] for c in PACKED[1:])
+        base, known = base.view(np.int64), known.view(np.int64)
+        score = base + _signs(more)
+        for r in wanted:
+            if r["_coded"] != kind:
+                continue
+            names = _from_steps(r["_a"])
+            at = np.minimum(np.searchsorted(name, names), len(name) - 1)
+            hit = np.repeat(name[at] == names, unpacked(r["_b"]).astype(np.int64))
+            at = np.repeat(at, unpacked(r["_b"]).astype(np.int64))[hit]
+            texts, place = np.unique(unpacked(r["_c"])[hit], return_inverse=True)
+            sums = np.zeros((3, len(texts)), np.int64)
+            for total, value in zip(sums, (base, score, known), strict=True):
+                np.add.at(total, place, value[at])
+            out.append({"_flush": r["_flush"], "_a": _steps(texts), "_b": packed(sums[0]), "_c": packed(_zigzag(sums[1])), "_d": packed(sums[2])})
+    return pa.Table.from_pylist(out, pa.schema([("_flush", pa.int64()), *((c, pa.binary()) for c in PACKED)]))
 
 
 def _with_rest(group: pa.Table) -> pa.Table:
     """Rows of texts with what their sequences among the rest add."""
-    texts = group.filter(pa.compute.is_valid(group.column("_place")))
-    asked = group.filter(pa.compute.is_valid(group.column("_range"))).select(["_range", "_a", "_b", "_c"]).sort_by("_range").to_pylist()
-    names = [c for c in group.column_names if c not in ("_flush", "_place", "_range", "_a", "_b", "_c")]
-    out = texts.select(names)
-    if not asked:
-        return out
-    times, at = unpacked(asked[0]["_a"]).astype(np.int64), unpacked(asked[0]["_b"]).astype(np.int64)
-    base, more, known = (np.concatenate([unpacked(r[c]) for r in asked[1:]]) for c in ("_a", "_b", "_c"))
-    base, more, known = base.view(np.int64), (more >> U(1)).view(np.int64) ^ -(more & U(1)).view(np.int64), known.view(np.int64)
+    texts = group.filter(group.column("_place").is_valid())
+    out = texts.select([c for c in group.column_names if c not in ("_flush", "_place", "_range", "_coded", *PACKED)])
+    sums = np.zeros((3, texts.num_rows), np.int64)
+    for r in group.filter(group.column("_place").is_null()).select(list(PACKED)).to_pylist():
+        sums[:, _from_steps(r["_a"]).astype(np.int64)] += np.stack([unpacked(r["_b"]).view(np.int64), _signs(unpacked(r["_c"])), unpacked(r["_d"]).view(np.int64)])
     place = texts.column("_place").to_numpy()
-    for name, value in (("n_known", known), ("_base", base), ("_score", base + more)):
-        sums = np.zeros(texts.num_rows, np.int64)
-        np.add.at(sums, at, np.repeat(value, times))
-        i = names.index(name)
-        out = out.set_column(i, name, pa.array(out.column(i).to_numpy() + sums[place]))
+    for name, total in zip(("_base", "_score", "n_known"), sums, strict=True):
+        i = out.column_names.index(name)
+        out = out.set_column(i, name, pa.array(out.column(i).to_numpy() + total[place]))
     return out
 
 

@@ -16,18 +16,18 @@ def test_codes_are_one_to_one():
     key = np.arange(1, 41, dtype=np.uint64) << np.uint64(50)
     codes = st.Codes(st.Listed(st._places(key[:30]), True), st.Listed(st._places(key), True), 6)
     c, w = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(40)))
-    got = codes.of(c, w)
-    assert len(np.unique(got)) == 1200 and int(got.max()).bit_length() <= codes.bits
+    got = codes.grid.of(c, w)
+    assert len(np.unique(got)) == 1200 and int(got.max()).bit_length() <= codes.grid.bits
     assert [x.tolist() for x in codes.keys(got)] == [key[c].tolist(), key[w].tolist()]
-    assert len(np.unique(got >> np.uint64(codes.bits - 6))) == 64  # all ranges have some
+    assert len(np.unique(got >> np.uint64(codes.grid.bits - 6))) == 64  # all ranges have some
 
 
-@pytest.mark.parametrize("listed", [1 << 20, 8, 0])
-def test_scores_with_short_lists(spark, listed):
+@pytest.mark.parametrize(("listed", "held"), [(1 << 20, 50), (8, 1 << 22), (0, 50)])
+def test_scores_with_short_lists_and_many_batches(spark, listed, held):
     rows = [*corpus(5, 120), (900, None), (901, "sea Sea " * 500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     plain = Plain([t for _, t in rows], SMALL)
-    got = {r["doc_id"]: r for r in st.scored(docs, st.grown(docs, st.Settings(**SMALL.__dict__ | {"head": 20, "listed": listed}))).collect()}
+    got = {r["doc_id"]: r for r in st.scored(docs, st.grown(docs, st.Settings(**SMALL.__dict__ | {"head": 20, "listed": listed, "held": held}))).collect()}
     for i, t in rows:
         assert got[i]["n_tokens"] == got[i]["n_known"] == len(tokens(t))
         assert (got[i]["base_score"], got[i]["score"]) == pytest.approx((plain.base(t), plain.score(t)), rel=1e-8)
