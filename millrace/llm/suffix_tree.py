@@ -35,17 +35,17 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import passing, stored
 from .common import broadcast_if_small, table, text_of
 from .textbytes import LOWER, NOT_SPACE, P1, P2, P3, P4, P5, U, Words, bytes_of, slices, word_hashes, words_of
 
@@ -353,15 +353,14 @@ class _Held:
         return pa.RecordBatch.from_pylist(list(rows.values()), PACKED_PAIRS)
 
 
-def pair_counts(texts: DataFrame, contexts: Bitmap, often: Bitmap, codes: Codes, level: int, s: Settings) -> DataFrame:
+def pair_counts(texts: DataFrame, sent: Broadcast, level: int, s: Settings) -> DataFrame:
     """``(prefix, word, n)``: how often words follow frequent contexts of ``level`` words, if ``s.pair`` times or more.
 
-    ``contexts`` marks the contexts, ``often`` sequences of as many words that
-    are seen often enough to be stored.  A word after a context counts if its
-    last ``level`` words are marked: else it can't be frequent.
+    ``sent`` has a bitmap of the contexts, one of sequences of as many words
+    that are seen often enough to be stored, and the codes.  A word after a
+    context counts if its last ``level`` words are marked: else it can't be
+    frequent.
     """
-    sc = texts.sparkSession.sparkContext
-    sent = sc.broadcast((contexts, often, codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, stored_, by = sent.value
@@ -434,32 +433,33 @@ def bitmap(keys: DataFrame, n: int) -> Bitmap:
 
 def grown(texts: DataFrame, settings: Settings = Settings()) -> Tree:
     """The tree of ``texts(text)``; a null text is an empty one, and a corpus without texts gives a tree that knows no word."""
-    with shuffles_freed(texts.sparkSession):
-        return _grown(texts.select(text_of().alias("text")), settings)
+    with shuffles_freed(texts.sparkSession), passing(texts.sparkSession) as put:
+        return _grown(texts.select(text_of().alias("text")), settings, put)
 
 
-def _grown(texts: DataFrame, s: Settings) -> Tree:
-    words = stored(word_counts(texts))
+def _grown(texts: DataFrame, s: Settings, put: Callable[[DataFrame], DataFrame]) -> Tree:
+    words = put(word_counts(texts))
     seen = words.where(F.col("key") != BEGIN)
     tokens, kinds, frequent = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") >= s.context)).first()
     root = words.select("key", "n", F.lit(None).cast("long").alias("suffix"), F.when(F.col("key") != BEGIN, F.log((F.col("n") + 1) / F.lit(float(tokens + kinds + 1)))).alias("lp"))
     grams = [root]
-    contexts = [stored(root.where((F.col("n") >= s.context) & (F.col("key") != END)).select("key", "n", "suffix", F.lit(None).cast("long").alias("prefix")))]
+    contexts = [put(root.where((F.col("n") >= s.context) & (F.col("key") != END)).select("key", "n", "suffix", F.lit(None).cast("long").alias("prefix")))]
     often = words.where(F.col("n") >= s.pair)
     known = listed(often, s.listed) if s.depth else None
     for level in range(1, s.depth + 1):
         marks = bitmap(contexts[-1], frequent + 1 if level == 1 else contexts[-1].count()), bitmap(often, kinds if level == 1 else often.count())
-        counted = pair_counts(texts, *marks, Codes(listed(contexts[-1], s.listed), known, _range_bits(tokens)), level, s)
-        grams.append(stored(_smoothed(counted, contexts[-1], grams[-1], level, s)))
+        sent = texts.sparkSession.sparkContext.broadcast((*marks, Codes(listed(contexts[-1], s.listed), known, _range_bits(tokens))))
+        grams.append(put(_smoothed(pair_counts(texts, sent, level, s), contexts[-1], grams[-1], level, s)))
+        sent.destroy()  # else each executor keeps it on its disk
         often = grams[-1]
         if level < s.depth:
-            contexts.append(_contexts(grams[-1], s))
-    return Tree(_table(grams, contexts, s), tokens, kinds, s)
+            contexts.append(put(_contexts(grams[-1], s)))
+    return Tree(stored(_table(grams, contexts, s, put)), tokens, kinds, s)
 
 
 def _contexts(grams: DataFrame, s: Settings) -> DataFrame:
     """Stored sequences that are candidates: frequent, and not at a text's end."""
-    return stored(grams.where((F.col("n") >= s.context) & (F.col("word") != END)).select("key", "n", "suffix", "prefix"))
+    return grams.where((F.col("n") >= s.context) & (F.col("word") != END)).select("key", "n", "suffix", "prefix")
 
 
 def _smoothed(counted: DataFrame, contexts: DataFrame, shorter: DataFrame, level: int, s: Settings) -> DataFrame:
@@ -489,7 +489,7 @@ def _states(grams: DataFrame, s: Settings) -> DataFrame:
     return summed.select("key", share.alias("share"), ((F.col("kl") + left * share) * F.col("total") >= s.test).alias("passes"))
 
 
-def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> DataFrame:
+def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Kept states from the longest down, then what each sequence adds."""
 
     def fixed(nats: Column) -> Column:
@@ -498,10 +498,10 @@ def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> Da
     kept: list[DataFrame] = [None] * (s.depth + 1)
     ends = None  # parts of longer kept contexts
     for level in range(s.depth, 0, -1):
-        states = stored(_states(grams[level], s))
+        states = put(_states(grams[level], s))
         mine = states.where("passes").select("key")
         mine = (mine if ends is None else mine.unionByName(ends)).distinct()
-        kept[level] = stored(mine.join(states, "key", "left").select("key", F.coalesce("share", F.lit(0.0)).alias("share")))
+        kept[level] = put(mine.join(states, "key", "left").select("key", F.coalesce("share", F.lit(0.0)).alias("share")))
         if level > 1:
             parts = contexts[level - 1].join(broadcast_if_small(kept[level].select("key"), 8), "key", "left_semi")
             ends = parts.select(F.explode(F.array("prefix", "suffix")).alias("key"))
@@ -522,7 +522,7 @@ def _table(grams: list[DataFrame], contexts: list[DataFrame], s: Settings) -> Da
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
-    return stored(out)
+    return out
 
 
 # scores

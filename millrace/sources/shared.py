@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
 import pyarrow.fs
@@ -42,3 +44,19 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a ``stored`` whose tables are deleted in the end; what is returned must not read them any more."""
+    top = f"{shared_dir(spark)}/passing-{uuid.uuid4().hex}"
+
+    def put(df: DataFrame) -> DataFrame:
+        df.write.parquet(path := f"{top}/{uuid.uuid4().hex}")
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield put
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(top)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,8 +1,12 @@
 """Counts and lookups of the suffix tree dealt out as packed columns, with lists too short for all words and contexts."""
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pytest
 from millrace.llm import suffix_tree as st
+from millrace.sources.shared import shared_dir
 
 from .test_suffix_tree import SMALL, Plain, corpus, tokens
 
@@ -47,3 +51,13 @@ def test_a_task_gives_out_a_row_for_each_range():
         n = sum(int(st.unpacked(r[c]).sum()) for r in out.to_pylist() for c in ("code_n", "pair_n") if r[c])
         assert n == 200_000
         assert out.nbytes < (5 if room == 5000 else 20) * 200_000
+
+
+def test_what_the_tree_was_made_from_is_deleted(spark):
+    """Only the tree's own table stays in the shared folder."""
+    docs = spark.createDataFrame(list(corpus(7, 60)), "doc_id long, text string")
+    top = Path(re.sub("^file:/*", "/", shared_dir(spark)))
+    before = set(top.iterdir())
+    tree = st.grown(docs, SMALL)
+    assert len([p for p in set(top.iterdir()) - before if any(p.rglob("*.parquet"))]) == 1
+    assert tree.rows.count() > 0
